@@ -1,0 +1,6 @@
+"""Empty on purpose.
+
+Every analysis of this library reads a closed time range and is refreshed by a
+batch run (``slotwise.plans.refresh``).  There is no watermark, window state or
+late-data rule to express, so there is no streaming job to build.
+"""
