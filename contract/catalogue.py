@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contract.derived import DerivedTables
-from slotwise.plans import catalogue
+from slotwise.functions.labels import clamped_utilization
+from slotwise.plans import catalogue, cpu
 from slotwise.sources.scan import Period
 
 NODE = "node-3"
 ALL_BLOCKS = (None, None)
 DAY_A, DAY_B = "2020-12-01", "2020-12-02"
-CL_CLIENTS = ("lighthouse", "prysm", "lodestar", "nimbus")
 
 # Parameters that differ from the published ones, by catalogue number.
 PARAMS: dict[int, dict] = {n: {"period": Period()} for n in catalogue.CATALOGUE}
@@ -43,6 +44,16 @@ for _n in (42, 43):
     PARAMS[_n]["min_observations"] = 100
 
 
+def _reference_against_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal figures next to the average measured in the CPU table."""
+    samples = DerivedTables(spark, sf_dir)["cpu_utilization"]
+    cores = clamped_utilization(F.col("total_on_cpu_ns"), F.col("interval_ms"), F.col("system_cores"))
+    measured = samples.groupBy(F.col("client_type").alias("el_client")).agg(
+        F.round(F.avg(cores), 3).alias("measured_avg_cores")
+    )
+    return cpu.reference_figures(spark).join(measured, "el_client", "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
     for number, (name, _) in catalogue.CATALOGUE.items():
@@ -51,4 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             return catalogue.run(name, DerivedTables(spark, sf_dir), spark, **params)
 
         out[name] = build
+    out["cpu_reference_figures"] = _reference_against_measured
     return out

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NOISE_DIGITS = 10
+
 
 def _ladder(steps: Iterable[tuple[Column, object]], default: Column) -> Column:
     steps = list(steps)
@@ -94,6 +96,15 @@ def normalise_key(value: Column, length: int = 42) -> Column:
     return F.lower(F.substring(value.cast("string"), 1, length))
 
 
+def tidy(value: Column | str, digits: int = 0) -> Column:
+    """Round half up, after dropping binary noise beyond ten digits.
+
+    Without the first step 48.35 that came out as 48.349999999999994 would round
+    down on one engine or order of additions and up on another.
+    """
+    return F.round(F.round(value, NOISE_DIGITS), digits)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double division, NULL when the denominator is zero."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -101,4 +112,4 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def percentage(numerator: Column, denominator: Column, digits: int | None = None) -> Column:
     out = F.try_divide(numerator.cast("double") * F.lit(100.0), denominator.cast("double"))
-    return out if digits is None else F.round(out, digits)
+    return out if digits is None else tidy(out, digits)

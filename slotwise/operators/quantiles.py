@@ -25,21 +25,23 @@ def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
     """Whole number that never falls as ``value`` rises.
 
     Sum of three such numbers: even steps, steps that are fine near the minimum
-    and steps that are fine near the maximum, so that neither a long tail nor a
-    far outlier puts most values into one bucket.  Minimum and maximum do not
-    depend on row order, so a task that runs again places its rows alike.
+    and steps that are fine near the maximum (eighth roots), so that neither a
+    long tail nor a far outlier puts most values into one bucket.  Minimum and
+    maximum do not depend on row order and square roots are exactly rounded, so
+    a task that runs again places its rows alike.
     """
     x, lo, hi = (c.cast("double") for c in (value, low, high))
     span = hi - lo
     n = F.lit(float(buckets))
 
+    def root(share: Column) -> Column:
+        return F.sqrt(F.sqrt(F.sqrt(share)))
+
     def steps(share: Column) -> Column:
         return F.floor(n * F.coalesce(share, F.lit(0.0))).cast("bigint")
 
-    even = F.try_divide(x - lo, span)
-    near_low = F.try_divide(F.log1p(x - lo), F.log1p(span))
-    near_high = F.lit(1.0) - F.try_divide(F.log1p(hi - x), F.log1p(span))
-    return steps(even) + steps(near_low) + steps(near_high)
+    from_low, from_high = F.try_divide(x - lo, span), F.try_divide(hi - x, span)
+    return steps(from_low) + steps(root(from_low)) + steps(F.lit(1.0) - root(from_high))
 
 
 def values_at_ranks(
@@ -53,6 +55,11 @@ def values_at_ranks(
 
     ``ranks`` maps an output name to a function of the group's row count.  The
     row count comes out as ``_total``.  NULL values are left out.
+
+    The counted values are shuffled by (key, value) once and by key once; both
+    joins read the same shuffle.  A hot key is split there by adaptive skew
+    handling, as no aggregation by key alone follows either join.  The hash
+    side of the joins has one row per key, so it is even whatever the skew.
     """
     keys = list(keys)
     group = keys or ["_all"]
@@ -65,25 +72,37 @@ def values_at_ranks(
     bounds = counted.groupBy(*group).agg(
         F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
     )
-    placed = null_safe_join(counted, bounds, group).select(
-        *group, "_v", "_n", "_total", _bucket(F.col("_v"), F.col("_low"), F.col("_high"), buckets).alias("_b")
+    place = _bucket(F.col("_v"), F.col("_low"), F.col("_high"), buckets)
+    facts = ["_low", "_high", "_total"]
+    mass = (
+        null_safe_join(counted, bounds.hint("shuffle_hash"), group)
+        .groupBy(*group, place.alias("_b"))
+        .agg(F.sum("_n").alias("_mass"), *[F.max(c).alias(c) for c in facts])
     )
     # At most 3 * buckets + 1 rows per group reach this window.
     upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    mass = (
-        placed.groupBy(*group, "_b")
-        .agg(F.sum("_n").alias("_mass"), F.max("_total").alias("_total"))
-        .withColumn("_end", F.sum("_mass").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_mass"))
-    )
+    mass = mass.withColumn("_end", F.sum("_mass").over(upto)).withColumn("_start", F.col("_end") - F.col("_mass"))
     wanted = [rank(F.col("_total")) for rank in ranks.values()]
     hit = F.lit(False)
     for rank in wanted:
         hit = hit | ((rank >= F.col("_start")) & (rank < F.col("_end")))
-    opened = mass.where(hit).select(*group, "_b", "_start")
+    # One entry per wanted rank at most.
+    opened = (
+        mass.where(hit)
+        .groupBy(*group)
+        .agg(F.collect_list(F.struct("_b", "_start")).alias("_open"), *[F.max(c).alias(c) for c in facts])
+    )
     inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = null_safe_join(placed, opened, [*group, "_b"]).withColumn(
-        "_stop", F.col("_start") + F.sum("_n").over(inside)
+    bins, starts = F.col("_open").getField("_b"), F.col("_open").getField("_start")
+    ranked = (
+        null_safe_join(
+            counted, opened.withColumn("_bins", bins).withColumn("_starts", starts).hint("shuffle_hash"), group
+        )
+        .where(F.array_contains(F.col("_bins"), place))
+        .select(*group, "_v", "_n", "_total", "_bins", "_starts", place.alias("_b"))
+        .withColumn("_start", F.element_at("_starts", F.array_position("_bins", F.col("_b")).cast("int")))
+        .select(*group, "_v", "_n", "_b", "_total", "_start")
+        .withColumn("_stop", F.col("_start") + F.sum("_n").over(inside))
     )
     first = F.col("_stop") - F.col("_n")
     picked = ranked.groupBy(*group).agg(

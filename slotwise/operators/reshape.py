@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.labels import percentage, ratio
+from slotwise.functions.labels import percentage, ratio, tidy
 from slotwise.operators.joins import null_safe_join
 from slotwise.operators.shares import top_k
 
@@ -98,4 +98,4 @@ def bar_colour(z: Column) -> Column:
 
 
 def bar_width(z: Column) -> Column:
-    return F.round((z + 3) / F.lit(8.0) * 100, 1)
+    return tidy((z + 3) / F.lit(8.0) * 100, 1)

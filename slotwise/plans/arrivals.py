@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import range_label
+from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import conditional, distinct_count, union_metrics, win_rate, winners
 from slotwise.operators.quantiles import agg_with_quantiles, bounded_quantile
 from slotwise.operators.shares import rank_of_members
@@ -59,7 +59,7 @@ def win_rate_vs_nodes(t: Tables, period: Period = WEEK, node: str = NODE) -> Dat
 
 def delta_daily(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
     stats = _block_stats(_in_limit(t, period), ["day", *BLOCK], node)
-    delta = F.round(F.avg(F.col("ours") - F.col("middle")))
+    delta = tidy(F.avg(F.col("ours") - F.col("middle")))
     return stats.groupBy("day").agg(delta.alias("Delta from Median")).orderBy("day")
 
 
@@ -68,9 +68,9 @@ def timing_daily(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFram
     return (
         stats.groupBy("day")
         .agg(
-            F.round(F.avg("ours")).alias("Our Node"),
-            F.round(F.avg("middle")).alias("Network Median"),
-            F.round(F.avg("fastest")).alias("Network Fastest"),
+            tidy(F.avg("ours")).alias("Our Node"),
+            tidy(F.avg("middle")).alias("Network Median"),
+            tidy(F.avg("fastest")).alias("Network Fastest"),
         )
         .orderBy("day")
     )
@@ -80,7 +80,7 @@ def comparison(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
     """Six named averages over the same blocks, from one pass."""
 
     def mean(value: Column) -> Column:
-        return F.round(F.avg(value))
+        return tidy(F.avg(value))
 
     ours, middle, fastest = F.col("ours"), F.col("middle"), F.col("fastest")
     metrics = {
@@ -99,9 +99,9 @@ def scatter(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
     stats = _block_stats(_in_limit(t, period), ["slot"], node)
     return stats.select(
         "slot",
-        F.round("middle").alias("network_median_ms"),
+        tidy("middle").alias("network_median_ms"),
         F.col("ours").cast("double").alias("our_time_ms"),
-        F.round(F.col("ours") - F.col("middle")).alias("diff_ms"),
+        tidy(F.col("ours") - F.col("middle")).alias("diff_ms"),
     ).orderBy("slot")
 
 
@@ -114,9 +114,9 @@ def _rank_percentiles(t: Tables, period: Period, node: str) -> DataFrame:
 
 def rank_daily(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
     probs = {"median_percentile": 0.5, "p25_percentile": 0.25, "p75_percentile": 0.75}
-    aggs = [F.round(F.avg("percentile"), 1).alias("mean_percentile"), F.count("*").alias("block_count")]
+    aggs = [tidy(F.avg("percentile"), 1).alias("mean_percentile"), F.count("*").alias("block_count")]
     out = agg_with_quantiles(_rank_percentiles(t, period, node), ["day"], aggs, "percentile", probs)
-    return out.withColumns({p: F.round(p, 1) for p in probs}).select(
+    return out.withColumns({p: tidy(p, 1) for p in probs}).select(
         "day", "median_percentile", "mean_percentile", "p25_percentile", "p75_percentile", "block_count"
     ).orderBy("day")
 
@@ -127,9 +127,9 @@ def rank_quartiles_daily(t: Tables, period: Period = WEEK, node: str = NODE) ->
     rows = _rank_percentiles(t, period, node).withColumn(
         "percentile", (1 - (F.col("rank") - 1) / F.col("group_size")) * 100
     )
-    aggs = [F.round(F.avg("percentile"), 1).alias("Mean")]
+    aggs = [tidy(F.avg("percentile"), 1).alias("Mean")]
     out = agg_with_quantiles(rows, ["day"], aggs, "percentile", probs)
-    return out.select("day", *[F.round(c, 1).alias(c) for c in ("P25", "Median", "Mean", "P75")]).orderBy("day")
+    return out.select("day", *[tidy(c, 1).alias(c) for c in ("P25", "Median", "Mean", "P75")]).orderBy("day")
 
 
 def slot_by_client(t: Tables, period: Period = INCIDENT_DAY, slot: int | None = INCIDENT_SLOT) -> DataFrame:
@@ -146,7 +146,7 @@ def slot_by_client(t: Tables, period: Period = INCIDENT_DAY, slot: int | None =
     ]
     out = agg_with_quantiles(rows, keys, aggs, SEEN, {"p50_arrival_ms": 0.5})
     return out.select(
-        *keys, "min_arrival_ms", F.round("p50_arrival_ms").alias("p50_arrival_ms"), "max_arrival_ms", "node_count"
+        *keys, "min_arrival_ms", tidy("p50_arrival_ms").alias("p50_arrival_ms"), "max_arrival_ms", "node_count"
     ).orderBy(*keys[:-1], "p50_arrival_ms", "cl_client")
 
 

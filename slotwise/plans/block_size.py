@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.labels import range_label
+from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import dispersion, first_seen, min_sample
 from slotwise.operators.joins import membership_flag
 from slotwise.operators.quantiles import MAX_DOMAIN, bounded_quantile, exact_quantiles
@@ -56,14 +56,14 @@ def _dispersed(t: Tables, period: Period) -> DataFrame:
 
 
 def _quantile_columns(value: str, names: dict[str, float]) -> list:
-    return [F.round(bounded_quantile(F.col(value), q), 0).alias(n) for n, q in names.items()]
+    return [tidy(bounded_quantile(F.col(value), q), 0).alias(n) for n, q in names.items()]
 
 
 def arrival_by_size(t: Tables, period: Period = WEEK, min_observations: int = 1000) -> DataFrame:
     rows = _individual(_seen(t, period)).join(_blocks(t, period), BLOCK)
     label = range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=True))
     out = rows.groupBy(label.alias("bin_label")).agg(
-        F.round(F.avg("post_kb"), 0).alias("bin_mid_kb"),
+        tidy(F.avg("post_kb"), 0).alias("bin_mid_kb"),
         F.count("*").alias("observations"),
         *_quantile_columns(SEEN, {"p50_seen_ms": 0.5, "p95_seen_ms": 0.95, "p99_seen_ms": 0.99}),
     )
@@ -75,7 +75,7 @@ def dispersion_by_size(t: Tables, period: Period = WEEK, min_observations: int =
     label = range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=True))
     names = {"p50_disp_ms": 0.5, "p75_disp_ms": 0.75, "p95_disp_ms": 0.95, "p99_disp_ms": 0.99}
     out = rows.groupBy(label.alias("bin_label")).agg(
-        F.round(F.avg("post_kb"), 0).alias("bin_mid_kb"),
+        tidy(F.avg("post_kb"), 0).alias("bin_mid_kb"),
         F.count("*").alias("observations"),
         *_quantile_columns("dispersion_ms", names),
     )
@@ -91,12 +91,12 @@ def dispersion_by_size_and_source(t: Tables, period: Period = WEEK, min_observat
     for side, holds in (("mev", F.col("_relayed")), ("local", ~F.col("_relayed"))):
         for q in (50, 75, 95, 99):
             value = F.when(holds, F.col("dispersion_ms"))
-            quantiles.append(F.round(bounded_quantile(value, q / 100), 0).alias(f"{side}_p{q}"))
+            quantiles.append(tidy(bounded_quantile(value, q / 100), 0).alias(f"{side}_p{q}"))
     out = rows.groupBy(
         range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=False)).alias("size_bin"),
         range_label(F.col("post_kb"), EDGES_KB, STARTS_KB).alias("sort_key"),
     ).agg(
-        F.round(F.avg("pre_kb"), 0).alias("avg_pre_kb"),
+        tidy(F.avg("pre_kb"), 0).alias("avg_pre_kb"),
         F.count_if(F.col("_relayed")).alias("mev_n"),
         F.count_if(~F.col("_relayed")).alias("local_n"),
         *quantiles,
@@ -125,10 +125,10 @@ def headline_by_source(t: Tables, period: Period = WEEK) -> DataFrame:
     return out.select(
         "source",
         "blocks",
-        F.round(F.col("_pre50") / 1024, 0).alias("p50_pre_kb"),
-        F.round(F.col("_post50") / 1024, 0).alias("p50_post_kb"),
-        F.round(F.col("_pre95") / 1024, 0).alias("p95_pre_kb"),
-        F.round(F.col("_gas50") / 1e6, 1).alias("p50_gas_M"),
+        tidy(F.col("_pre50") / 1024, 0).alias("p50_pre_kb"),
+        tidy(F.col("_post50") / 1024, 0).alias("p50_post_kb"),
+        tidy(F.col("_pre95") / 1024, 0).alias("p95_pre_kb"),
+        tidy(F.col("_gas50") / 1e6, 1).alias("p50_gas_M"),
         "p50_t_first_ms",
         "p95_t_first_ms",
     ).orderBy("source")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.labels import id_bucket, label_lookup, percentage
+from slotwise.functions.labels import id_bucket, label_lookup, percentage, tidy
 from slotwise.operators.aggregates import counts_of_counts
 from slotwise.operators.joins import parent_child
 from slotwise.operators.quantiles import agg_with_quantiles
@@ -97,7 +97,7 @@ def callers(
     out = linked.groupBy(*keys).agg(
         F.sum("_n").alias(count),
         F.sum("_sum").alias("total_gas"),
-        F.round(F.try_divide(F.sum("_sum").cast("double"), F.sum("_n")), 0).alias("avg_gas"),
+        tidy(F.try_divide(F.sum("_sum").cast("double"), F.sum("_n")), 0).alias("avg_gas"),
         F.min("_min").alias("min_gas"),
         F.max("_max").alias("max_gas"),
     )
@@ -135,7 +135,7 @@ def ranking(t: Tables, blocks=ALL_BLOCKS) -> DataFrame:
     aggs = [
         F.count("*").alias("call_count"),
         F.sum("gas").alias("total_gas"),
-        F.round(F.avg("gas"), 0).alias("avg_gas"),
+        tidy(F.avg("gas"), 0).alias("avg_gas"),
     ]
     # Totals over the operations: a scalar of a few aggregated rows.
     sums = rows.groupBy("precompile").agg(F.count("*").alias("n"), F.sum("gas").alias("g"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import clamped_utilization
+from slotwise.functions.labels import clamped_utilization, tidy
 from slotwise.operators.quantiles import agg_with_quantiles
 from slotwise.sources.scan import Period, inline_rows
 from slotwise.sources.tables import Tables
@@ -57,7 +57,7 @@ def _samples(t: Tables, period: Period, clients: Sequence[str] | None, nodes: Se
 
 
 def _average(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.round(F.avg("cores"), 3).alias("avg_cores")).orderBy(*keys)
+    return rows.groupBy(*keys).agg(tidy(F.avg("cores"), 3).alias("avg_cores")).orderBy(*keys)
 
 
 def by_cycle_position(t: Tables, period=WEEK, clients=CONSENSUS_CLIENTS, nodes=CONSENSUS_NODES) -> DataFrame:
@@ -100,6 +100,6 @@ def summary(
     aggs = [F.avg("cores").alias("avg_cores"), F.max("cores").alias("peak_cores")]
     out = agg_with_quantiles(_samples(t, period, clients, nodes), keys, aggs, "cores", probs)
     names = ["avg_cores", *probs, "peak_cores"]
-    out = out.select(*keys, *[F.round(c, 2).alias(c) for c in names])
+    out = out.select(*keys, *[tidy(c, 2).alias(c) for c in names])
     first = F.col("avg_cores").desc() if per_node else F.col("avg_cores")
     return out.orderBy(first, *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import blank_default, histogram_bin, label_like, percentage, position_in, range_label
+from slotwise.functions.labels import blank_default, histogram_bin, label_like, percentage, position_in, range_label, tidy
 from slotwise.operators.aggregates import min_sample, novel_vs_repeat
 from slotwise.operators.joins import shifted_join
 from slotwise.operators.quantiles import agg_with_quantiles, bounded_quantile
@@ -81,9 +81,9 @@ def _slot_status(t: Tables, period: Period, seconds: tuple[int, int]) -> DataFra
 def tail_vs_next_block(t: Tables, period: Period = DAY) -> DataFrame:
     """Median tail arrival of slot N next to median block arrival of slot N + 1."""
     diff = F.col("propagation_slot_start_diff")
-    tail = _messages(t, period, *TAIL).groupBy("slot").agg(F.round(bounded_quantile(diff, 0.5)).alias("tail_p50"))
+    tail = _messages(t, period, *TAIL).groupBy("slot").agg(tidy(bounded_quantile(diff, 0.5)).alias("tail_p50"))
     blocks = t.window("libp2p_gossipsub_beacon_block", period).where(diff.between(0, 12000))
-    nxt = blocks.groupBy("slot").agg(F.round(bounded_quantile(diff, 0.5)).alias("next_block_p50"))
+    nxt = blocks.groupBy("slot").agg(tidy(bounded_quantile(diff, 0.5)).alias("next_block_p50"))
     return shifted_join(tail, nxt, "slot", 1).select("slot", "tail_p50", "next_block_p50").orderBy("slot")
 
 
@@ -149,7 +149,7 @@ def peer_tail_box(t: Tables, period: Period = DAY, min_messages: int = 100) -> D
         probs,
         domain=1001,
     )
-    return out.withColumns({p: F.round(p, 1) for p in probs}).orderBy(F.col("median").desc(), "client")
+    return out.withColumns({p: tidy(p, 1) for p in probs}).orderBy(F.col("median").desc(), "client")
 
 
 def repeat_histogram(t: Tables, period: Period = HOUR, high: int = 24000, width: int = 1000) -> DataFrame:
@@ -176,7 +176,7 @@ def behind_classes(t: Tables, period: Period = QUARTER_HOUR, seconds: tuple[int,
     )
     out = rows.groupBy("category").agg(
         F.count("*").alias("peer_count"),
-        F.round(F.avg("behind_pct"), 1).alias("avg_behind_pct"),
+        tidy(F.avg("behind_pct"), 1).alias("avg_behind_pct"),
         F.coalesce(F.sum("peak"), F.lit(0)).alias("total_peak_msgs"),
         F.coalesce(F.sum("tail"), F.lit(0)).alias("total_tail_msgs"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import arrays
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import extract_group, percentage, position_in, range_label, ratio
+from slotwise.functions.labels import extract_group, percentage, position_in, range_label, ratio, tidy
 from slotwise.operators.aggregates import period_delta
 from slotwise.operators.quantiles import agg_with_quantiles
 from slotwise.operators.shares import share_of_total
@@ -80,10 +80,10 @@ def day_comparison(
     return (
         rows.groupBy("el_client")
         .agg(
-            F.round(parts["before"], 2).alias(names[0]),
-            F.round(parts["after"], 2).alias(names[1]),
-            F.round(parts["delta"], 2).alias("delta_ms"),
-            F.round(parts["delta_pct"], 1).alias("delta_pct"),
+            tidy(parts["before"], 2).alias(names[0]),
+            tidy(parts["after"], 2).alias(names[1]),
+            tidy(parts["delta"], 2).alias("delta_ms"),
+            tidy(parts["delta_pct"], 1).alias("delta_pct"),
         )
         .orderBy("el_client")
     )
@@ -96,14 +96,14 @@ def difference_by_client(
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95, "p99_overhead_ms": 0.99}
     aggs = [
         F.count("*").alias("slots"),
-        F.round(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
-        F.round(F.avg("inner_ms"), 2).alias("avg_el_ms"),
-        F.round(F.avg("overhead"), 2).alias("avg_overhead_ms"),
+        tidy(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
+        tidy(F.avg("inner_ms"), 2).alias("avg_el_ms"),
+        tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"),
         percentage(F.avg("overhead"), F.avg("outer_ms"), 1).alias("overhead_pct"),
     ]
     out = agg_with_quantiles(rows.where(F.col("el_client") != ""), ["el_client"], aggs, "overhead", probs)
     first = ["el_client", "slots", "avg_cl_ms", "avg_el_ms", "avg_overhead_ms"]
-    return out.select(*first, *[F.round(p, 2).alias(p) for p in probs], "overhead_pct").orderBy("el_client")
+    return out.select(*first, *[tidy(p, 2).alias(p) for p in probs], "overhead_pct").orderBy("el_client")
 
 
 def difference_hourly(
@@ -113,10 +113,10 @@ def difference_hourly(
         {"el_client": _client(), "hour": tp.hour(F.col(EVENT_TIME))}
     )
     keys, probs = ["hour", "el_client"], {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}
-    aggs = [F.round(F.avg("overhead"), 2).alias("avg_overhead_ms"), F.count("*").alias("samples")]
+    aggs = [tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"), F.count("*").alias("samples")]
     out = agg_with_quantiles(rows.where(F.col("el_client") != ""), keys, aggs, "overhead", probs)
     return out.select(
-        *keys, "avg_overhead_ms", *[F.round(p, 2).alias(p) for p in probs], "samples"
+        *keys, "avg_overhead_ms", *[tidy(p, 2).alias(p) for p in probs], "samples"
     ).orderBy(*keys)
 
 
@@ -134,10 +134,10 @@ def difference_by_size(t: Tables, period: Period = FETCH_DAY, node_pattern: str
         rows.groupBy(F.col("_size").alias("blob_count"))
         .agg(
             F.count("*").alias("calls"),
-            F.round(F.avg("inner_ms"), 2).alias("avg_el_ms"),
-            F.round(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
-            F.round(F.avg("overhead"), 2).alias("overhead_ms"),
-            F.round(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("per_blob_ms"),
+            tidy(F.avg("inner_ms"), 2).alias("avg_el_ms"),
+            tidy(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
+            tidy(F.avg("overhead"), 2).alias("overhead_ms"),
+            tidy(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("per_blob_ms"),
         )
         .orderBy("blob_count")
     )
@@ -151,8 +151,8 @@ def difference_per_element(
     aggs = [
         F.count("*").alias("calls"),
         F.sum("_size").alias("total_blobs"),
-        F.round(F.avg("overhead"), 2).alias("avg_overhead_ms"),
-        F.round(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("overhead_per_blob_ms"),
+        tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"),
+        tidy(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("overhead_per_blob_ms"),
     ]
     out = agg_with_quantiles(rows.where(F.col("el_client") != ""), ["el_client"], aggs, "overhead", probs)
     return out.select(
@@ -160,6 +160,6 @@ def difference_per_element(
         "calls",
         "total_blobs",
         "avg_overhead_ms",
-        *[F.round(p, 2).alias(p) for p in probs],
+        *[tidy(p, 2).alias(p) for p in probs],
         "overhead_per_blob_ms",
     ).orderBy("el_client")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import arrays
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import extract_group, percentage, range_label, ratio
+from slotwise.functions.labels import extract_group, percentage, range_label, ratio, tidy
 from slotwise.operators.aggregates import distinct_count, min_sample, outcome_status
 from slotwise.operators.joins import membership_flag, null_safe_join, with_every_outcome
 from slotwise.operators.quantiles import agg_with_quantiles
@@ -52,11 +52,11 @@ def timing_by_client(t: Tables, period: Period = FOUR_DAYS, min_observations: in
     out = agg_with_quantiles(
         rows.where(F.col("el_client") != ""),
         ["el_client", "getblobs_status"],
-        [F.count("*").alias("observations"), F.round(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
+        [F.count("*").alias("observations"), tidy(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
         "head_time_ms",
         {"median_head_time_ms": 0.5},
     )
-    out = out.withColumn("median_head_time_ms", F.round("median_head_time_ms", 1))
+    out = out.withColumn("median_head_time_ms", tidy("median_head_time_ms", 1))
     return min_sample(out, "observations", min_observations).orderBy("el_client", "getblobs_status")
 
 
@@ -92,9 +92,9 @@ def by_source(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
         rows.groupBy("block_source", "mempool_status")
         .agg(
             F.count("*").alias("slots"),
-            F.round(F.avg("_blobs"), 1).alias("avg_blobs"),
-            F.round(F.avg(percentage(F.col("_bad"), F.col("_nodes"))), 1).alias("avg_empty_pct"),
-            F.round(F.avg("_nodes"), 1).alias("avg_nodes_observed"),
+            tidy(F.avg("_blobs"), 1).alias("avg_blobs"),
+            tidy(F.avg(percentage(F.col("_bad"), F.col("_nodes"))), 1).alias("avg_empty_pct"),
+            tidy(F.avg("_nodes"), 1).alias("avg_nodes_observed"),
         )
         .orderBy(F.col("block_source").desc(), "mempool_status")
     )
@@ -112,21 +112,21 @@ def timing(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
     out = agg_with_quantiles(
         rows,
         keys,
-        [F.count("*").alias("observations"), F.round(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
+        [F.count("*").alias("observations"), tidy(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
         "head_time_ms",
         probs,
     )
     out = null_safe_join(out, distinct_count(rows, keys, "slot", "unique_slots"), keys)
     return out.select(
-        *keys, "observations", "unique_slots", "avg_head_time_ms", *[F.round(p, 1).alias(p) for p in probs]
+        *keys, "observations", "unique_slots", "avg_head_time_ms", *[tidy(p, 1).alias(p) for p in probs]
     ).orderBy(*keys)
 
 
 def shares(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
     out = _fetches(t, period).groupBy("status").agg(
         F.count("*").alias("observations"),
-        F.round(F.avg("requested_count"), 1).alias("avg_blobs_requested"),
-        F.round(F.avg("returned_count"), 1).alias("avg_blobs_returned"),
+        tidy(F.avg("requested_count"), 1).alias("avg_blobs_requested"),
+        tidy(F.avg("returned_count"), 1).alias("avg_blobs_returned"),
     )
     out = share_of_total(out, "observations", "pct", 2)
     return out.select("status", "observations", "pct", "avg_blobs_requested", "avg_blobs_returned").orderBy(
@@ -140,7 +140,7 @@ def timing_by_size(t: Tables, period: Period = FOUR_DAYS, min_observations: int
     out = agg_with_quantiles(
         rows, keys, [F.count("*").alias("observations")], "head_time_ms", {"median_head_time_ms": 0.5}
     )
-    out = out.withColumn("median_head_time_ms", F.round("median_head_time_ms", 0))
+    out = out.withColumn("median_head_time_ms", tidy("median_head_time_ms", 0))
     return min_sample(out, "observations", min_observations).orderBy(*keys)
 
 
@@ -215,7 +215,7 @@ def summary_by_submitter(t: Tables, period: Period = FOUR_DAYS, min_blobs: int =
         F.sum("_none").alias("unavailable"),
         F.sum("_mixed").alias("partial"),
         F.sum("_full").alias("full_propagation"),
-        F.round(ratio(F.sum("_rate"), F.sum("_n")), 1).alias("empty_rate"),
+        tidy(ratio(F.sum("_rate"), F.sum("_n")), 1).alias("empty_rate"),
     )
     order = [F.col("unavailable").desc(), F.col("empty_rate").desc(), F.col("submitter_name")]
     return top_k(min_sample(out, "total_blobs", min_blobs), order, n)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import label_like, null_default, percentage
+from slotwise.functions.labels import label_like, null_default, percentage, tidy
 from slotwise.operators.aggregates import min_sample
 from slotwise.operators.joins import null_safe_join, parent_child
 from slotwise.operators.quantiles import exact_quantiles
@@ -146,7 +146,7 @@ def top_entities(
     sums = rows.groupBy("entity").agg(*_stale_columns(), _count_orphaned_stale().alias("orphaned_truly_stale"))
     best = min_sample(sums, "total_blocks", min_blocks)
     out = null_safe_join(best, _stale_distance_quantiles(rows, "entity"), ["entity"], "left")
-    out = out.withColumns({p: F.round(p, 1) for p in ("p50_distance", "p95_distance")})
+    out = out.withColumns({p: tidy(p, 1) for p in ("p50_distance", "p95_distance")})
     return top_k(out, [F.col("truly_stale_pct").desc(), F.col("entity")], n)
 
 

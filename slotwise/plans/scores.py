@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.labels import null_default, percentage, position_in, range_label
+from slotwise.functions.labels import null_default, percentage, position_in, range_label, tidy
 from slotwise.operators.aggregates import first_seen, min_sample, zscore_class, zscores
 from slotwise.operators.joins import left_fill
 from slotwise.operators.quantiles import agg_with_quantiles
@@ -49,8 +49,8 @@ def _listed(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "entity",
         "block_count",
-        F.round("median_arrival_seconds", 3).alias("arrival_seconds"),
-        F.round("_z", 2).alias("z_score"),
+        tidy("median_arrival_seconds", 3).alias("arrival_seconds"),
+        tidy("_z", 2).alias("z_score"),
         *more,
     )
 
@@ -62,7 +62,7 @@ def classes(t: Tables, period: Period = EIGHT_DAYS) -> DataFrame:
         .agg(
             F.count("*").alias("entity_count"),
             F.sum("block_count").alias("total_blocks"),
-            F.round(F.avg("median_arrival_seconds"), 3).alias("avg_arrival_seconds"),
+            tidy(F.avg("median_arrival_seconds"), 3).alias("avg_arrival_seconds"),
         )
         .orderBy(position_in(F.col("classification"), CLASSES))
     )
@@ -139,7 +139,7 @@ def _late(t: Tables, period: Period) -> DataFrame:
 
 def late_by_entity(t: Tables, period: Period = EIGHT_DAYS, n: int = 15) -> DataFrame:
     out = _late(t, period).groupBy("entity").agg(
-        F.count("*").alias("late_block_count"), F.round(F.avg("arrival_seconds"), 3).alias("avg_arrival_seconds")
+        F.count("*").alias("late_block_count"), tidy(F.avg("arrival_seconds"), 3).alias("avg_arrival_seconds")
     )
     return top_k(out, [F.col("late_block_count").desc(), F.col("entity")], n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import label_like, null_default, percentage
+from slotwise.functions.labels import label_like, null_default, percentage, tidy
 from slotwise.operators.aggregates import (
     distinct_count,
     min_sample,
@@ -53,7 +53,7 @@ def participation_daily(t: Tables, period: Period = DAILY_PERIOD) -> DataFrame:
     rates = [f"{m}_participation_rate" for m in ("avg", "p50", "p05", "min")]
     rows = t.window("fct_attestation_participation_rate_daily", period)
     return rows.select(
-        F.col("day_start_date").alias("date"), "slot_count", *[F.round(c, 2).alias(c) for c in rates]
+        F.col("day_start_date").alias("date"), "slot_count", *[tidy(c, 2).alias(c) for c in rates]
     ).orderBy("date")
 
 
