@@ -31,7 +31,7 @@ def dense_axis(
     The axis is an exploded literal per distinct key, not a product of rows.
     """
     kind = df.schema[position].dataType.simpleString()
-    axis = F.explode(F.sequence(F.lit(low), F.lit(high))).cast(kind).alias(position)
+    axis = F.explode(F.sequence(F.lit(low).cast(kind), F.lit(high).cast(kind))).alias(position)
     grid = df.select(*keys).distinct().select(*keys, axis)
     out = null_safe_join(grid, df, [*keys, position], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})

@@ -85,7 +85,7 @@ def counter_rate(
         .withColumn("_first", first)
         .withColumn("_last", last)
         .where(F.col("_last") >= F.col("_first"))
-        .select(*keys, "_gain", F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("at"))
-        .groupBy(*keys, "at")
+        .select(*keys, "_gain", F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("step_at"))
+        .groupBy(*keys, "step_at")
         .agg((F.sum("_gain") / F.lit(float(window))).alias("rate"))
     )
