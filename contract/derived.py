@@ -241,8 +241,15 @@ def texts(dialect: str) -> dict[str, str]:
     }
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read once per application."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if at not in _OPENED:
+        _OPENED[at] = spark.read.parquet(at[1])
+    return _OPENED[at]
 
 
 class DerivedTables(Tables):

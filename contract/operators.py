@@ -193,8 +193,8 @@ CORES = "least(l_extendedprice / (l_quantity * 1e6), 0.0015)"
 def clamped_utilization_prj6(d: Given) -> DataFrame:
     used = clamped_utilization(F.col("l_extendedprice"), F.col("l_quantity"), F.lit(0.0015))
     rows = d.lineitem.select("l_returnflag", used.alias("used"))
-    out = quantiles.agg_with_quantiles(
-        rows, ["l_returnflag"], [F.avg("used").alias("mean"), F.max("used").alias("peak")], "used", {"p50": 0.5, "p90": 0.9}
+    out = quantiles.summarize(
+        rows, ["l_returnflag"], "used", {"p50": 0.5, "p90": 0.9}, mean=quantiles.MEAN, peak=quantiles.HIGH
     )
     return out.select("l_returnflag", *[tidy(c, 8).alias(c) for c in ("mean", "p50", "p90", "peak")])
 
@@ -295,9 +295,7 @@ def alias_reuse_prj16(d: Given) -> DataFrame:
 
 def _customer_scores(d: Given) -> DataFrame:
     """Median order value per customer, scored over all customers."""
-    orders = quantiles.agg_with_quantiles(
-        d.orders, ["o_custkey"], [F.count("*").alias("orders")], "o_totalprice", {"middle": 0.5}
-    )
+    orders = quantiles.summarize(d.orders, ["o_custkey"], "o_totalprice", {"middle": 0.5}, orders=quantiles.COUNT)
     return agg.zscores(orders, "middle").withColumn(
         "class", agg.zscore_class(F.col("z_score"), ["low", "usual", "high"])
     )
@@ -461,9 +459,10 @@ def offset_join_of_aggregates_jn8_jn10(d: Given) -> DataFrame:
 def controlled_comparison_jn9(d: Given) -> DataFrame:
     lines = d.lineitem.where(F.col("l_returnflag").isin("R", "A"))
     rows = joins.with_every_outcome(lines, ["l_orderkey"], "l_returnflag", ["R", "A"])
-    aggs = [F.count("*").alias("lines"), tidy(F.avg("l_extendedprice"), 4).alias("mean_price")]
-    out = quantiles.agg_with_quantiles(rows, ["l_returnflag"], aggs, "l_extendedprice", {"median_price": 0.5})
-    return out.withColumn("median_price", tidy("median_price", 4))
+    out = quantiles.summarize(
+        rows, ["l_returnflag"], "l_extendedprice", {"median_price": 0.5}, lines=quantiles.COUNT, mean_price=quantiles.MEAN
+    )
+    return out.withColumns({c: tidy(c, 4) for c in ("mean_price", "median_price")})
 
 
 @query(
@@ -624,8 +623,16 @@ def min_sample_ag11(d: Given) -> DataFrame:
         {rnd(quant('value', 0.05), 4)} as p05, {rnd(quant('value', 0.95), 4)} as p95 from events"""
 )
 def global_agg_ag12(d: Given) -> DataFrame:
-    aggs = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")]
-    out = quantiles.agg_with_quantiles(d.events, [], aggs, "value", {"p05": 0.05, "p95": 0.95})
+    out = quantiles.summarize(
+        d.events,
+        [],
+        "value",
+        {"p05": 0.05, "p95": 0.95},
+        n=quantiles.COUNT,
+        mean=quantiles.MEAN,
+        low=quantiles.LOW,
+        high=quantiles.HIGH,
+    )
     return out.select("n", tidy("mean", 6).alias("mean"), "low", "high", tidy("p05", 4).alias("p05"), tidy("p95", 4).alias("p95"))
 
 
@@ -683,9 +690,9 @@ def first_seen_dispersion_ag16(d: Given) -> DataFrame:
     """The minimum is over all lines, the measured rows leave one flag out."""
     kept = d.lineitem.where(F.col("l_returnflag") != "R")
     rows = agg.dispersion(d.lineitem, ["l_orderkey"], "l_extendedprice", "above", rows=kept)
-    aggs = [F.count("*").alias("lines"), tidy(F.avg("above"), 4).alias("mean_above")]
-    out = quantiles.agg_with_quantiles(rows, ["l_returnflag"], aggs, "above", {"p50": 0.5, "p95": 0.95})
-    return out.withColumns({"p50": tidy("p50", 4), "p95": tidy("p95", 4)})
+    probs = {"p50": 0.5, "p95": 0.95}
+    out = quantiles.summarize(rows, ["l_returnflag"], "above", probs, lines=quantiles.COUNT, mean_above=quantiles.MEAN)
+    return out.withColumns({c: tidy(c, 4) for c in ("mean_above", *probs)})
 
 
 LIMITS17 = (400000, 300000, 200000, 100000)
@@ -734,10 +741,9 @@ def observer_difference_ag20(d: Given) -> DataFrame:
     rows = d.lineitem.join(prices, "l_partkey").withColumn(
         "diff", F.col("l_extendedprice") - F.col("p_retailprice") * F.col("l_quantity")
     )
-    aggs = [F.count("*").alias("n"), tidy(F.avg("diff"), 4).alias("mean")]
     probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    out = quantiles.agg_with_quantiles(rows, ["l_returnflag"], aggs, "diff", probs)
-    return out.withColumns({p: tidy(p, 4) for p in probs})
+    out = quantiles.summarize(rows, ["l_returnflag"], "diff", probs, n=quantiles.COUNT, mean=quantiles.MEAN)
+    return out.withColumns({c: tidy(c, 4) for c in ("mean", *probs)})
 
 
 # --- windows, order, sets ------------------------------------------------------
@@ -930,7 +936,7 @@ def top_n_across_rs5(d: Given) -> DataFrame:
 )
 def share_of_column_rs6(d: Given) -> DataFrame:
     kind = F.col("event_type")
-    wide = d.events.groupBy(F.hour("ts").alias("hour")).agg(
+    wide = d.events.groupBy(F.hour("ts").cast("bigint").alias("hour")).agg(
         F.count_if(kind == "view").alias("view"), F.count_if(kind == "click").alias("click")
     )
     return reshape.share_of_columns(wide, ["view", "click"])

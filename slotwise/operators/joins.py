@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join where NULL keys match each other; the right key columns are dropped."""
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns]
-    )
-    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+    renamed = right.selectExpr(*[f"`{c}` as `_r_{c}`" if c in on else f"`{c}`" for c in right.columns])
+    matched = F.expr(" and ".join(f"`{c}` <=> `_r_{c}`" for c in on))
+    return left.join(renamed, matched, how).drop(*[f"_r_{c}" for c in on])
 
 
 def left_fill(left: DataFrame, right: DataFrame, on: Sequence[str], defaults: Mapping) -> DataFrame:

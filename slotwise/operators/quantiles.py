@@ -9,9 +9,9 @@ each in a task of its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.operators.joins import null_safe_join
@@ -21,8 +21,9 @@ BUCKETS = 4096
 MAX_DOMAIN = 100_000
 
 
-def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
-    """Whole number that never falls as ``value`` rises.
+def _bucket(buckets: int) -> str:
+    """Expression over ``_v``, ``_low`` and ``_high``: a whole number that never
+    falls as the value rises.
 
     Sum of three such numbers: even steps, steps that are fine near the minimum
     and steps that are fine near the maximum (eighth roots), so that neither a
@@ -30,114 +31,130 @@ def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
     maximum do not depend on row order and square roots are exactly rounded, so
     a task that runs again places its rows alike.
     """
-    x, lo, hi = (c.cast("double") for c in (value, low, high))
-    span = hi - lo
-    n = F.lit(float(buckets))
-
-    def root(share: Column) -> Column:
-        return F.sqrt(F.sqrt(F.sqrt(share)))
-
-    def steps(share: Column) -> Column:
-        return F.floor(n * F.coalesce(share, F.lit(0.0))).cast("bigint")
-
-    from_low, from_high = F.try_divide(x - lo, span), F.try_divide(hi - x, span)
-    return steps(from_low) + steps(root(from_low)) + steps(F.lit(1.0) - root(from_high))
+    value, low, high = (f"cast({c} as double)" for c in ("_v", "_low", "_high"))
+    from_low = f"coalesce(try_divide({value} - {low}, {high} - {low}), 0D)"
+    from_high = f"coalesce(try_divide({high} - {value}, {high} - {low}), 0D)"
+    root = "sqrt(sqrt(sqrt({})))"
+    steps = [from_low, root.format(from_low), f"1D - {root.format(from_high)}"]
+    return " + ".join(f"floor({buckets}D * ({step}))" for step in steps)
 
 
 def values_at_ranks(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    ranks: Mapping[str, Callable[[Column], Column]],
+    ranks: Mapping[str, str],
+    constants: Mapping[str, Column] | None = None,
+    stats: Mapping[str, str] | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Per key the value at each rank (0 is the smallest); NULL past the end.
 
-    ``ranks`` maps an output name to a function of the group's row count.  The
-    row count comes out as ``_total``.  NULL values are left out.
+    ``ranks`` maps an output name to an SQL expression over ``_total``, the
+    group's row count, and the ``constants``.  ``stats`` are aggregates over the
+    counted values (``_v``, ``_n``).  ``_total`` and the stats come out as well.
+    NULL values are left out.
 
     The counted values are shuffled by (key, value) once and by key once; both
     joins read the same shuffle.  A hot key is split there by adaptive skew
     handling, as no aggregation by key alone follows either join.  The hash
     side of the joins has one row per key, so it is even whatever the skew.
     """
-    keys = list(keys)
-    group = keys or ["_all"]
+    group = list(keys) or ["_all"]
+    names = [f"`{c}`" for c in group]
+    by = ", ".join(names)
     base = df if keys else df.withColumn("_all", F.lit(0))
     counted = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        base.selectExpr(*names, f"`{value}` as _v")
+        .where("_v is not null")
+        .groupBy(*group, "_v")
+        .agg(F.expr("count(*) as _n"))
     )
+    stats = stats or {}
     bounds = counted.groupBy(*group).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
+        F.expr("min(_v) as _low"),
+        F.expr("max(_v) as _high"),
+        F.expr("sum(_n) as _total"),
+        *[F.expr(f"{text} as `{name}`") for name, text in stats.items()],
     )
-    place = _bucket(F.col("_v"), F.col("_low"), F.col("_high"), buckets)
-    facts = ["_low", "_high", "_total"]
+    if constants:
+        bounds = bounds.withColumns(dict(constants))
+    facts = ["_low", "_high", "_total", *(constants or {}), *stats]
+    kept = [F.expr(f"max(`{c}`) as `{c}`") for c in facts]
+    place = f"{_bucket(buckets)} as _b"
+    # At most 3 * buckets + 1 rows per group reach this window.
     mass = (
         null_safe_join(counted, bounds.hint("shuffle_hash"), group)
-        .groupBy(*group, place.alias("_b"))
-        .agg(F.sum("_n").alias("_mass"), *[F.max(c).alias(c) for c in facts])
+        .selectExpr(*names, "_n", *[f"`{c}`" for c in facts], place)
+        .groupBy(*group, "_b")
+        .agg(F.expr("sum(_n) as _mass"), *kept)
+        .selectExpr(
+            "*",
+            f"sum(_mass) over (partition by {by} order by _b rows between unbounded preceding and current row) as _end",
+        )
+        .selectExpr("*", "_end - _mass as _start")
     )
-    # At most 3 * buckets + 1 rows per group reach this window.
-    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    mass = mass.withColumn("_end", F.sum("_mass").over(upto)).withColumn("_start", F.col("_end") - F.col("_mass"))
-    wanted = [rank(F.col("_total")) for rank in ranks.values()]
-    hit = F.lit(False)
-    for rank in wanted:
-        hit = hit | ((rank >= F.col("_start")) & (rank < F.col("_end")))
+    hit = " or ".join(f"({rank} >= _start and {rank} < _end)" for rank in ranks.values())
     # One entry per wanted rank at most.
-    opened = (
-        mass.where(hit)
-        .groupBy(*group)
-        .agg(F.collect_list(F.struct("_b", "_start")).alias("_open"), *[F.max(c).alias(c) for c in facts])
-    )
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    bins, starts = F.col("_open").getField("_b"), F.col("_open").getField("_start")
+    opened = mass.where(hit).groupBy(*group).agg(F.expr("collect_list(struct(_b, _start)) as _open"), *kept)
+    opened = opened.selectExpr(*names, *[f"`{c}`" for c in facts], "_open._b as _bins", "_open._start as _starts")
     ranked = (
-        null_safe_join(
-            counted, opened.withColumn("_bins", bins).withColumn("_starts", starts).hint("shuffle_hash"), group
+        null_safe_join(counted, opened.hint("shuffle_hash"), group)
+        .where(f"array_contains(_bins, {_bucket(buckets)})")
+        .selectExpr("*", place)
+        .selectExpr("*", "_starts[cast(array_position(_bins, _b) as int) - 1] as _start")
+        .selectExpr(
+            "*",
+            f"_start + sum(_n) over (partition by {by}, _b order by _v "
+            "rows between unbounded preceding and current row) as _stop",
         )
-        .where(F.array_contains(F.col("_bins"), place))
-        .select(*group, "_v", "_n", "_total", "_bins", "_starts", place.alias("_b"))
-        .withColumn("_start", F.element_at("_starts", F.array_position("_bins", F.col("_b")).cast("int")))
-        .select(*group, "_v", "_n", "_b", "_total", "_start")
-        .withColumn("_stop", F.col("_start") + F.sum("_n").over(inside))
     )
-    first = F.col("_stop") - F.col("_n")
     picked = ranked.groupBy(*group).agg(
         *[
-            F.max(F.when((rank >= first) & (rank < F.col("_stop")), F.col("_v"))).alias(name)
-            for name, rank in zip(ranks, wanted)
+            F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`")
+            for name, rank in ranks.items()
         ],
-        F.max("_total").alias("_total"),
+        F.expr("max(_total) as _total"),
+        *[F.expr(f"max(`{name}`) as `{name}`") for name in stats],
     )
     return picked if keys else picked.drop("_all")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = BUCKETS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    stats: Mapping[str, str] | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Interpolated quantiles per key, one output column per entry of ``probs``."""
+    ranks, out = {}, [f"`{name}`" for name in stats or {}]
+    for name, q in probs.items():
+        place = f"((_total - 1) * {q!r}D)"
+        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = f"floor{place}", f"ceil{place}"
+        low, high = f"cast(`_lo_{name}` as double)", f"cast(`_hi_{name}` as double)"
+        part = f"({place} - floor{place})"
+        out.append(f"{low} * (1D - {part}) + {high} * {part} as `{name}`")
+    picked = values_at_ranks(df, keys, value, ranks, stats=stats, buckets=buckets)
+    return picked.selectExpr(*[f"`{c}`" for c in keys], *out)
 
-    def below(q: float):
-        return lambda total: F.floor((total - 1) * F.lit(q))
 
-    def above(q: float):
-        return lambda total: F.ceil((total - 1) * F.lit(q))
+# Aggregates of the value itself, from its counted values.
+COUNT, TOTAL, MEAN = "sum(_n)", "sum(_v * _n)", "sum(_v * _n) / sum(_n)"
+LOW, HIGH = "min(_v)", "max(_v)"
 
-    ranks: dict[str, Callable[[Column], Column]] = {}
-    for name, q in probs.items():
-        ranks[f"_lo_{name}"] = below(q)
-        ranks[f"_hi_{name}"] = above(q)
-    picked = values_at_ranks(df, keys, value, ranks, buckets)
-    out = []
-    for name, q in probs.items():
-        place = (F.col("_total") - 1) * F.lit(q)
-        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        part = place - F.floor(place)
-        out.append((low * (1 - part) + high * part).alias(name))
-    return picked.select(*keys, *out)
+
+def summarize(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], **stats: str
+) -> DataFrame:
+    """Quantiles with count, sum, mean, minimum or maximum of the same column.
+
+    All come from the counted values, so the input is read once; rows with a
+    NULL value count nowhere.  Example: ``summarize(df, ["day"], "ms", {"p50":
+    0.5}, blocks=COUNT, mean_ms=MEAN)``.
+    """
+    return exact_quantiles(df, keys, value, probs, stats)
 
 
 def bounded_quantile(value: Column, q: float) -> Column:
@@ -153,7 +170,7 @@ def agg_with_quantiles(
     probs: Mapping[str, float],
     domain: int | None = None,
 ) -> DataFrame:
-    """Grouped aggregates plus exact quantiles of one column.
+    """Grouped aggregates, also of other columns, plus exact quantiles of one.
 
     ``domain``: number of distinct values a group can have at most, when a
     filter proves one; small domains take a single pass.
@@ -172,5 +189,5 @@ def agg_with_quantiles(
     return both.drop("_all")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, aggs: Sequence[Column] = ()) -> DataFrame:
-    return agg_with_quantiles(df, keys, list(aggs), value, {out: 0.5})
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return exact_quantiles(df, keys, value, {out: 0.5})

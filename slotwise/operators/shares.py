@@ -60,4 +60,4 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 def top_ranked(df: DataFrame, order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
     """The n first rows with their number.  Only those n rows are numbered."""
-    return top_k(df, order, n).withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    return top_k(df, order, n).withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import conditional, distinct_count, union_metrics, win_rate, winners
-from slotwise.operators.quantiles import agg_with_quantiles, bounded_quantile
+from slotwise.operators.quantiles import COUNT, HIGH, LOW, MEAN, bounded_quantile, summarize
 from slotwise.operators.shares import rank_of_members
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import SLOT_TIME, Tables
@@ -114,11 +114,10 @@ def _rank_percentiles(t: Tables, period: Period, node: str) -> DataFrame:
 
 def rank_daily(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
     probs = {"median_percentile": 0.5, "p25_percentile": 0.25, "p75_percentile": 0.75}
-    aggs = [tidy(F.avg("percentile"), 1).alias("mean_percentile"), F.count("*").alias("block_count")]
-    out = agg_with_quantiles(_rank_percentiles(t, period, node), ["day"], aggs, "percentile", probs)
-    return out.withColumns({p: tidy(p, 1) for p in probs}).select(
-        "day", "median_percentile", "mean_percentile", "p25_percentile", "p75_percentile", "block_count"
-    ).orderBy("day")
+    rows = _rank_percentiles(t, period, node)
+    out = summarize(rows, ["day"], "percentile", probs, mean_percentile=MEAN, block_count=COUNT)
+    shown = ("median_percentile", "mean_percentile", "p25_percentile", "p75_percentile")
+    return out.select("day", *[tidy(c, 1).alias(c) for c in shown], "block_count").orderBy("day")
 
 
 def rank_quartiles_daily(t: Tables, period: Period = WEEK, node: str = NODE) -> DataFrame:
@@ -127,8 +126,7 @@ def rank_quartiles_daily(t: Tables, period: Period = WEEK, node: str = NODE) ->
     rows = _rank_percentiles(t, period, node).withColumn(
         "percentile", (1 - (F.col("rank") - 1) / F.col("group_size")) * 100
     )
-    aggs = [tidy(F.avg("percentile"), 1).alias("Mean")]
-    out = agg_with_quantiles(rows, ["day"], aggs, "percentile", probs)
+    out = summarize(rows, ["day"], "percentile", probs, Mean=MEAN)
     return out.select("day", *[tidy(c, 1).alias(c) for c in ("P25", "Median", "Mean", "P75")]).orderBy("day")
 
 
@@ -139,12 +137,9 @@ def slot_by_client(t: Tables, period: Period = INCIDENT_DAY, slot: int | None =
     keys = ["cl_client"] if slot is not None else ["slot", "cl_client"]
     if slot is not None:
         rows = rows.where(F.col("slot") == slot)
-    aggs = [
-        F.min(SEEN).alias("min_arrival_ms"),
-        F.max(SEEN).alias("max_arrival_ms"),
-        F.count("*").alias("node_count"),
-    ]
-    out = agg_with_quantiles(rows, keys, aggs, SEEN, {"p50_arrival_ms": 0.5})
+    out = summarize(
+        rows, keys, SEEN, {"p50_arrival_ms": 0.5}, min_arrival_ms=LOW, max_arrival_ms=HIGH, node_count=COUNT
+    )
     return out.select(
         *keys, "min_arrival_ms", tidy("p50_arrival_ms").alias("p50_arrival_ms"), "max_arrival_ms", "node_count"
     ).orderBy(*keys[:-1], "p50_arrival_ms", "cl_client")
@@ -152,9 +147,7 @@ def slot_by_client(t: Tables, period: Period = INCIDENT_DAY, slot: int | None =
 
 def by_client(t: Tables, period: Period = EIGHT_DAYS) -> DataFrame:
     rows = sightings(t, period).withColumnRenamed("meta_consensus_implementation", "consensus_client")
-    out = agg_with_quantiles(
-        rows, ["consensus_client"], [F.count("*").alias("sample_count")], SEEN, {"_p50": 0.5}
-    )
+    out = summarize(rows, ["consensus_client"], SEEN, {"_p50": 0.5}, sample_count=COUNT)
     return out.select(
         "consensus_client", (F.col("_p50") / 1000.0).alias("median_arrival_seconds"), "sample_count"
     ).orderBy("median_arrival_seconds", "consensus_client")
@@ -162,7 +155,7 @@ def by_client(t: Tables, period: Period = EIGHT_DAYS) -> DataFrame:
 
 def percentiles(t: Tables, period: Period = EIGHT_DAYS) -> DataFrame:
     probs = {"p5_seconds": 0.05, "p50_seconds": 0.5, "p95_seconds": 0.95}
-    out = agg_with_quantiles(sightings(t, period), [], [F.count("*").alias("total_blocks")], SEEN, probs)
+    out = summarize(sightings(t, period), [], SEEN, probs, total_blocks=COUNT)
     return out.select(*[(F.col(p) / 1000.0).alias(p) for p in probs], "total_blocks")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.labels import id_bucket, label_lookup, percentage, tidy
 from slotwise.operators.aggregates import counts_of_counts
 from slotwise.operators.joins import parent_child
-from slotwise.operators.quantiles import agg_with_quantiles
+from slotwise.operators.quantiles import COUNT, MEAN, TOTAL, summarize
 from slotwise.operators.shares import share_in_group, share_of_total, top_k
 from slotwise.sources.scan import id_range
 from slotwise.sources.tables import Tables
@@ -132,17 +132,13 @@ def calls_per_transaction(t: Tables, number: int = 5, blocks=RECENT_BLOCKS, n: i
 def ranking(t: Tables, blocks=ALL_BLOCKS) -> DataFrame:
     name = label_lookup(F.col("target_address"), names_of(list(NAMES)))
     rows = _calls(t, blocks, list(NAMES)).withColumn("precompile", name)
-    aggs = [
-        F.count("*").alias("call_count"),
-        F.sum("gas").alias("total_gas"),
-        tidy(F.avg("gas"), 0).alias("avg_gas"),
-    ]
-    # Totals over the operations: a scalar of a few aggregated rows.
-    sums = rows.groupBy("precompile").agg(F.count("*").alias("n"), F.sum("gas").alias("g"))
-    total = sums.agg(F.struct(F.sum("n").alias("n"), F.sum("g").alias("g")).alias("_s")).scalar()
-    out = agg_with_quantiles(rows, ["precompile"], aggs, "gas", {"median_gas": 0.5})
+    out = summarize(
+        rows, ["precompile"], "gas", {"median_gas": 0.5}, call_count=COUNT, total_gas=TOTAL, avg_gas=MEAN
+    )
+    total = out.agg(F.struct(F.sum("call_count").alias("n"), F.sum("total_gas").alias("g")).alias("_s")).scalar()
     return out.withColumns(
         {
+            "avg_gas": tidy("avg_gas", 0),
             "call_pct": percentage(F.col("call_count"), total.getField("n"), 2),
             "gas_pct": percentage(F.col("total_gas"), total.getField("g"), 2),
         }

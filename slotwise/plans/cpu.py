@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import clamped_utilization, tidy
-from slotwise.operators.quantiles import agg_with_quantiles
+from slotwise.operators.quantiles import HIGH, MEAN, summarize
 from slotwise.sources.scan import Period, inline_rows
 from slotwise.sources.tables import Tables
 
@@ -97,8 +97,8 @@ def summary(
 ) -> DataFrame:
     keys = ["client_type", *(["meta_client_name"] if per_node else [])]
     probs = {"p50_cores": 0.5, "p95_cores": 0.95, **({"p99_cores": 0.99} if with_p99 else {})}
-    aggs = [F.avg("cores").alias("avg_cores"), F.max("cores").alias("peak_cores")]
-    out = agg_with_quantiles(_samples(t, period, clients, nodes), keys, aggs, "cores", probs)
+    rows = _samples(t, period, clients, nodes)
+    out = summarize(rows, keys, "cores", probs, avg_cores=MEAN, peak_cores=HIGH)
     names = ["avg_cores", *probs, "peak_cores"]
     out = out.select(*keys, *[tidy(c, 2).alias(c) for c in names])
     first = F.col("avg_cores").desc() if per_node else F.col("avg_cores")

@@ -10,7 +10,7 @@ from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import extract_group, percentage, range_label, ratio, tidy
 from slotwise.operators.aggregates import distinct_count, min_sample, outcome_status
 from slotwise.operators.joins import membership_flag, null_safe_join, with_every_outcome
-from slotwise.operators.quantiles import agg_with_quantiles
+from slotwise.operators.quantiles import COUNT, MEAN, summarize
 from slotwise.operators.shares import share_of_total, top_k
 from slotwise.plans.sentinels import name_senders
 from slotwise.sources.scan import Period
@@ -49,15 +49,17 @@ def _timed(t: Tables, period: Period) -> DataFrame:
 
 def timing_by_client(t: Tables, period: Period = FOUR_DAYS, min_observations: int = 50) -> DataFrame:
     rows = _timed(t, period).withColumn("el_client", extract_group(F.col("meta_client_name"), CLIENT_PATTERN))
-    out = agg_with_quantiles(
+    keys = ["el_client", "getblobs_status"]
+    out = summarize(
         rows.where(F.col("el_client") != ""),
-        ["el_client", "getblobs_status"],
-        [F.count("*").alias("observations"), tidy(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
+        keys,
         "head_time_ms",
         {"median_head_time_ms": 0.5},
+        observations=COUNT,
+        avg_head_time_ms=MEAN,
     )
-    out = out.withColumn("median_head_time_ms", tidy("median_head_time_ms", 1))
-    return min_sample(out, "observations", min_observations).orderBy("el_client", "getblobs_status")
+    times = [tidy(c, 1).alias(c) for c in ("avg_head_time_ms", "median_head_time_ms")]
+    return min_sample(out, "observations", min_observations).select(*keys, "observations", *times).orderBy(*keys)
 
 
 def rate_hourly(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
@@ -109,16 +111,10 @@ def timing(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
         "p95_head_time_ms": 0.95,
     }
     keys = ["getblobs_status"]
-    out = agg_with_quantiles(
-        rows,
-        keys,
-        [F.count("*").alias("observations"), tidy(F.avg("head_time_ms"), 1).alias("avg_head_time_ms")],
-        "head_time_ms",
-        probs,
-    )
+    out = summarize(rows, keys, "head_time_ms", probs, observations=COUNT, avg_head_time_ms=MEAN)
     out = null_safe_join(out, distinct_count(rows, keys, "slot", "unique_slots"), keys)
     return out.select(
-        *keys, "observations", "unique_slots", "avg_head_time_ms", *[tidy(p, 1).alias(p) for p in probs]
+        *keys, "observations", "unique_slots", *[tidy(c, 1).alias(c) for c in ("avg_head_time_ms", *probs)]
     ).orderBy(*keys)
 
 
@@ -137,9 +133,7 @@ def shares(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
 def timing_by_size(t: Tables, period: Period = FOUR_DAYS, min_observations: int = 20) -> DataFrame:
     rows = _timed(t, period).withColumnRenamed("requested_count", "blob_count")
     keys = ["blob_count", "getblobs_status"]
-    out = agg_with_quantiles(
-        rows, keys, [F.count("*").alias("observations")], "head_time_ms", {"median_head_time_ms": 0.5}
-    )
+    out = summarize(rows, keys, "head_time_ms", {"median_head_time_ms": 0.5}, observations=COUNT)
     out = out.withColumn("median_head_time_ms", tidy("median_head_time_ms", 0))
     return min_sample(out, "observations", min_observations).orderBy(*keys)
 

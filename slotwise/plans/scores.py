@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.labels import null_default, percentage, position_in, range_label, tidy
 from slotwise.operators.aggregates import first_seen, min_sample, zscore_class, zscores
 from slotwise.operators.joins import left_fill
-from slotwise.operators.quantiles import agg_with_quantiles
+from slotwise.operators.quantiles import COUNT, summarize
 from slotwise.operators.shares import top_k
 from slotwise.plans.arrivals import EIGHT_DAYS, SEEN, sightings
 from slotwise.sources.scan import Period
@@ -34,7 +34,7 @@ def entity_arrival(t: Tables, period: Period, min_blocks: int | None = None) ->
     """Median first arrival per entity; ``min_blocks`` cuts entities before scoring."""
     rows = _proposed(t, period).join(_slot_arrival(t, period), "slot")
     rows = rows.select(null_default(F.col("entity"), "unknown").alias("entity"), "first_ms")
-    out = agg_with_quantiles(rows, ["entity"], [F.count("*").alias("block_count")], "first_ms", {"_p50": 0.5})
+    out = summarize(rows, ["entity"], "first_ms", {"_p50": 0.5}, block_count=COUNT)
     out = out.select("entity", "block_count", (F.col("_p50") / 1000.0).alias("median_arrival_seconds"))
     return out if min_blocks is None else min_sample(out, "block_count", min_blocks)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage, range_label, ratio
 from slotwise.operators.aggregates import distinct_count
-from slotwise.operators.quantiles import agg_with_quantiles, values_at_ranks
+from slotwise.operators.quantiles import COUNT, HIGH, MEAN, agg_with_quantiles, summarize, values_at_ranks
 from slotwise.operators.shares import share_of_total
 
 
@@ -39,8 +39,7 @@ def set_overlap(left: DataFrame, right: DataFrame, group: Sequence[str], member:
 
 def overlap_summary(overlap: DataFrame, measure: str, probs: Mapping[str, float]) -> DataFrame:
     """Mean, quantiles and maximum of one measure over the groups."""
-    aggs = [F.avg(measure).alias("mean"), F.max(measure).alias("max"), F.count("*").alias("groups")]
-    return agg_with_quantiles(overlap, [], aggs, measure, probs)
+    return summarize(overlap, [], measure, probs, mean=MEAN, max=HIGH, groups=COUNT)
 
 
 def overlap_buckets(overlap: DataFrame, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
@@ -92,8 +91,8 @@ def time_to_share(
     rank of the first sightings and no group is sorted as a whole.
     """
     first = df.groupBy(*group, voter).agg(F.min(at).alias("_first"))
-    rank = F.ceil(expected * F.lit(share)) - 1
-    found = values_at_ranks(first, group, "_first", {out: lambda total: rank})
+    rank = f"ceil(_expected * {share!r}D) - 1"
+    found = values_at_ranks(first, group, "_first", {out: rank}, constants={"_expected": expected})
     return found.select(*group, out, F.col("_total").alias("voters"))
 
 
