@@ -21,7 +21,7 @@ BUCKETS = 4096
 MAX_DOMAIN = 100_000
 
 
-def _bucket(buckets: int) -> str:
+def order_bucket(buckets: int) -> str:
     """Expression over ``_v``, ``_low`` and ``_high``: a whole number that never
     falls as the value rises.
 
@@ -46,6 +46,7 @@ def values_at_ranks(
     ranks: Mapping[str, str],
     constants: Mapping[str, Column] | None = None,
     stats: Mapping[str, str] | None = None,
+    weight: str | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Per key the value at each rank (0 is the smallest); NULL past the end.
@@ -53,7 +54,8 @@ def values_at_ranks(
     ``ranks`` maps an output name to an SQL expression over ``_total``, the
     group's row count, and the ``constants``.  ``stats`` are aggregates over the
     counted values (``_v``, ``_n``).  ``_total`` and the stats come out as well.
-    NULL values are left out.
+    NULL values are left out.  ``weight`` names a column that says how many rows a
+    row stands for.
 
     The counted values are shuffled by (key, value) once and by key once; both
     joins read the same shuffle.  A hot key is split there by adaptive skew
@@ -65,10 +67,10 @@ def values_at_ranks(
     by = ", ".join(names)
     base = df if keys else df.withColumn("_all", F.lit(0))
     counted = (
-        base.selectExpr(*names, f"`{value}` as _v")
+        base.selectExpr(*names, f"`{value}` as _v", f"{f'`{weight}`' if weight else '1L'} as _w")
         .where("_v is not null")
         .groupBy(*group, "_v")
-        .agg(F.expr("count(*) as _n"))
+        .agg(F.expr("sum(_w) as _n" if weight else "count(*) as _n"))
     )
     stats = stats or {}
     bounds = counted.groupBy(*group).agg(
@@ -81,7 +83,7 @@ def values_at_ranks(
         bounds = bounds.withColumns(dict(constants))
     facts = ["_low", "_high", "_total", *(constants or {}), *stats]
     kept = [F.expr(f"max(`{c}`) as `{c}`") for c in facts]
-    place = f"{_bucket(buckets)} as _b"
+    place = f"{order_bucket(buckets)} as _b"
     # At most 3 * buckets + 1 rows per group reach this window.
     mass = (
         null_safe_join(counted, bounds.hint("shuffle_hash"), group)
@@ -100,7 +102,7 @@ def values_at_ranks(
     opened = opened.selectExpr(*names, *[f"`{c}`" for c in facts], "_open._b as _bins", "_open._start as _starts")
     ranked = (
         null_safe_join(counted, opened.hint("shuffle_hash"), group)
-        .where(f"array_contains(_bins, {_bucket(buckets)})")
+        .where(f"array_contains(_bins, {order_bucket(buckets)})")
         .selectExpr("*", place)
         .selectExpr("*", "_starts[cast(array_position(_bins, _b) as int) - 1] as _start")
         .selectExpr(
@@ -126,6 +128,7 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     stats: Mapping[str, str] | None = None,
+    weight: str | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Interpolated quantiles per key, one output column per entry of ``probs``."""
@@ -136,7 +139,7 @@ def exact_quantiles(
         low, high = f"cast(`_lo_{name}` as double)", f"cast(`_hi_{name}` as double)"
         part = f"({place} - floor{place})"
         out.append(f"{low} * (1D - {part}) + {high} * {part} as `{name}`")
-    picked = values_at_ranks(df, keys, value, ranks, stats=stats, buckets=buckets)
+    picked = values_at_ranks(df, keys, value, ranks, stats=stats, weight=weight, buckets=buckets)
     return picked.selectExpr(*[f"`{c}`" for c in keys], *out)
 
 
@@ -169,17 +172,18 @@ def agg_with_quantiles(
     value: str,
     probs: Mapping[str, float],
     domain: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Grouped aggregates, also of other columns, plus exact quantiles of one.
 
     ``domain``: number of distinct values a group can have at most, when a
     filter proves one; small domains take a single pass.
     """
-    if domain is not None and domain <= MAX_DOMAIN:
+    if domain is not None and domain <= MAX_DOMAIN and weight is None:
         return df.groupBy(*keys).agg(
             *aggs, *[bounded_quantile(F.col(value), q).alias(name) for name, q in probs.items()]
         )
-    found = exact_quantiles(df, keys, value, probs)
+    found = exact_quantiles(df, keys, value, probs, weight=weight)
     if not aggs:
         return found
     base = df.groupBy(*keys).agg(*aggs)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage
 from slotwise.operators.joins import null_safe_join
+from slotwise.operators.quantiles import BUCKETS, order_bucket
 
 
 def share_of_total(df: DataFrame, measure: str, out: str, digits: int | None = None) -> DataFrame:
@@ -31,12 +32,12 @@ def share_in_group(
 def rank_of_members(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], member: Column
 ) -> DataFrame:
-    """``row_number`` and group size for the member rows only.
+    """``row_number`` and group size for a member with one row per group.
 
     The rank is one more than the number of rows that sort before the member
-    row, so it comes from a join with the (few) member rows and a count; the
-    group itself is never sorted in one task.  ``order`` must be unique in a
-    group.
+    row, so it comes from a join with that row and a count; the group itself is
+    never sorted in one task.  ``order`` must be unique in a group.  For members
+    with many rows per group see ``ranks_in_buckets``.
     """
     keys = list(keys)
     place = F.struct(*order)
@@ -53,6 +54,36 @@ def rank_of_members(
     )
 
 
+def ranks_in_buckets(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], member: Column, buckets: int = BUCKETS
+) -> DataFrame:
+    """``row_number`` and group size of the member rows, for any number of them.
+
+    Groups are cut into order-keeping buckets of the first (numeric) order
+    column; only buckets with a member row are sorted, each in its own task, and
+    start at the number of rows in the buckets before.
+    """
+    keys, first = list(keys), order[0]
+    by = ", ".join(f"`{k}`" for k in keys)
+    rows = df.select(*keys, *order, member.alias("_member")).withColumn("_v", F.col(first))
+    bounds = rows.groupBy(*keys).agg(
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("group_size")
+    )
+    placed = null_safe_join(rows, bounds.hint("shuffle_hash"), keys).selectExpr("*", f"{order_bucket(buckets)} as _b")
+    mass = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_mass"), F.bool_or("_member").alias("_any"))
+    starts = mass.selectExpr(
+        "*", f"sum(_mass) over (partition by {by} order by _b rows between unbounded preceding and 1 preceding) as _before"
+    )
+    opened = starts.where("_any").selectExpr(*[f"`{k}`" for k in keys], "_b", "coalesce(_before, 0) as _before")
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return (
+        null_safe_join(placed, opened, [*keys, "_b"])
+        .withColumn("rank", F.col("_before") + F.row_number().over(inside))
+        .where("_member")
+        .select(*keys, *order, "rank", "group_size")
+    )
+
+
 def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The n first rows; each task keeps n, so nothing larger is gathered."""
     return df.orderBy(*order).limit(n)

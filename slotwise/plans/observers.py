@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import arrays
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import extract_group, percentage, position_in, range_label, ratio, tidy
 from slotwise.operators.aggregates import period_delta
-from slotwise.operators.quantiles import agg_with_quantiles
+from slotwise.operators.quantiles import COUNT, MEAN, agg_with_quantiles, exact_quantiles
 from slotwise.operators.shares import share_of_total
 from slotwise.plans.outcomes import CLIENT_PATTERN
 from slotwise.sources.scan import Period
@@ -30,18 +30,37 @@ def _client():
     return extract_group(F.col("meta_client_name"), CLIENT_PATTERN)
 
 
-def observer_pairs(inner: DataFrame, outer: DataFrame, on: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def observer_pairs(
+    inner: DataFrame, outer: DataFrame, on: Sequence[str], keep: Mapping[str, Column] | None = None
+) -> DataFrame:
     """The same call seen by two observers: ``outer - inner`` in ``overhead``.
 
-    Only the inner side is bounded in time; the call key carries the match.
+    Equal rows of a side are counted before the join and ``pairs`` says how many
+    pairs a row stands for, so a repeated call never lists its pairs.  Only the
+    inner side is bounded in time; the call key carries the match.
     """
-    left = inner.select(*on, *keep, F.col("duration_ms").alias("inner_ms"))
-    right = outer.select(*on, F.col("duration_ms").alias("outer_ms"))
-    return left.join(right, list(on)).withColumn(
-        "overhead", F.col("outer_ms").cast("bigint") - F.col("inner_ms").cast("bigint")
+    kept = [col.alias(name) for name, col in (keep or {}).items()]
+    left = inner.groupBy(*on, *kept, F.col("duration_ms").cast("bigint").alias("inner_ms")).agg(
+        F.count("*").alias("_n")
+    )
+    right = outer.groupBy(*on, F.col("duration_ms").cast("bigint").alias("outer_ms")).agg(F.count("*").alias("_m"))
+    return left.join(right, list(on)).withColumns(
+        {"overhead": F.col("outer_ms") - F.col("inner_ms"), "pairs": F.col("_n") * F.col("_m")}
     )
 
 
+def _count() -> Column:
+    return F.sum("pairs")
+
+
+def _mean(value: str) -> Column:
+    return ratio(F.sum(F.col(value) * F.col("pairs")), F.sum("pairs"))
+
+
+def _total(value: str) -> Column:
+    return F.sum(F.col(value) * F.col("pairs"))
+
+
 def _inner(t: Tables, table: str, period: Period, node_pattern: str | None) -> DataFrame:
     rows = t.window(table, period)
     return rows if node_pattern is None else rows.where(F.col("meta_client_name").like(node_pattern))
@@ -52,7 +71,8 @@ def _calls(t: Tables, period: Period, node_pattern, source: str | None) -> DataF
     if source is not None:
         rows = rows.where(F.col("source") == source)
     on = ["block_hash", "meta_client_name", "meta_network_name"]
-    return observer_pairs(rows, t["consensus_engine_api_new_payload"], on, [EVENT_TIME])
+    hour = {"hour": tp.hour(F.col(EVENT_TIME))}
+    return observer_pairs(rows, t["consensus_engine_api_new_payload"], on, hour)
 
 
 def _fetches(t: Tables, period: Period, node_pattern) -> DataFrame:
@@ -95,13 +115,14 @@ def difference_by_client(
     rows = _calls(t, period, node_pattern, source).withColumn("el_client", _client())
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95, "p99_overhead_ms": 0.99}
     aggs = [
-        F.count("*").alias("slots"),
-        tidy(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
-        tidy(F.avg("inner_ms"), 2).alias("avg_el_ms"),
-        tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"),
-        percentage(F.avg("overhead"), F.avg("outer_ms"), 1).alias("overhead_pct"),
+        _count().alias("slots"),
+        tidy(_mean("outer_ms"), 2).alias("avg_cl_ms"),
+        tidy(_mean("inner_ms"), 2).alias("avg_el_ms"),
+        tidy(_mean("overhead"), 2).alias("avg_overhead_ms"),
+        percentage(_total("overhead"), _total("outer_ms"), 1).alias("overhead_pct"),
     ]
-    out = agg_with_quantiles(rows.where(F.col("el_client") != ""), ["el_client"], aggs, "overhead", probs)
+    named = rows.where(F.col("el_client") != "")
+    out = agg_with_quantiles(named, ["el_client"], aggs, "overhead", probs, weight="pairs")
     first = ["el_client", "slots", "avg_cl_ms", "avg_el_ms", "avg_overhead_ms"]
     return out.select(*first, *[tidy(p, 2).alias(p) for p in probs], "overhead_pct").orderBy("el_client")
 
@@ -109,22 +130,21 @@ def difference_by_client(
 def difference_hourly(
     t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = None
 ) -> DataFrame:
-    rows = _calls(t, period, node_pattern, source).withColumns(
-        {"el_client": _client(), "hour": tp.hour(F.col(EVENT_TIME))}
-    )
+    rows = _calls(t, period, node_pattern, source).withColumn("el_client", _client())
     keys, probs = ["hour", "el_client"], {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}
-    aggs = [tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"), F.count("*").alias("samples")]
-    out = agg_with_quantiles(rows.where(F.col("el_client") != ""), keys, aggs, "overhead", probs)
-    return out.select(
-        *keys, "avg_overhead_ms", *[tidy(p, 2).alias(p) for p in probs], "samples"
-    ).orderBy(*keys)
+    named = rows.where(F.col("el_client") != "")
+    out = exact_quantiles(
+        named, keys, "overhead", probs, stats={"avg_overhead_ms": MEAN, "samples": COUNT}, weight="pairs"
+    )
+    shown = ["avg_overhead_ms", *probs]
+    return out.select(*keys, *[tidy(c, 2).alias(c) for c in shown], "samples").orderBy(*keys)
 
 
 def difference_ranges(
     t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = None
 ) -> DataFrame:
     label = range_label(F.col("overhead"), RANGE_EDGES, RANGE_LABELS).alias("overhead_range")
-    counted = _calls(t, period, node_pattern, source).groupBy(label).agg(F.count("*").alias("calls"))
+    counted = _calls(t, period, node_pattern, source).groupBy(label).agg(_count().alias("calls"))
     return share_of_total(counted, "calls", "pct", 1).orderBy(position_in(F.col("overhead_range"), RANGE_LABELS))
 
 
@@ -133,11 +153,11 @@ def difference_by_size(t: Tables, period: Period = FETCH_DAY, node_pattern: str
     return (
         rows.groupBy(F.col("_size").alias("blob_count"))
         .agg(
-            F.count("*").alias("calls"),
-            tidy(F.avg("inner_ms"), 2).alias("avg_el_ms"),
-            tidy(F.avg("outer_ms"), 2).alias("avg_cl_ms"),
-            tidy(F.avg("overhead"), 2).alias("overhead_ms"),
-            tidy(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("per_blob_ms"),
+            _count().alias("calls"),
+            tidy(_mean("inner_ms"), 2).alias("avg_el_ms"),
+            tidy(_mean("outer_ms"), 2).alias("avg_cl_ms"),
+            tidy(_mean("overhead"), 2).alias("overhead_ms"),
+            tidy(ratio(_total("overhead"), _total("_size")), 2).alias("per_blob_ms"),
         )
         .orderBy("blob_count")
     )
@@ -149,12 +169,13 @@ def difference_per_element(
     rows = _fetches(t, period, node_pattern).withColumn("el_client", _client())
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}
     aggs = [
-        F.count("*").alias("calls"),
-        F.sum("_size").alias("total_blobs"),
-        tidy(F.avg("overhead"), 2).alias("avg_overhead_ms"),
-        tidy(ratio(F.sum("overhead"), F.sum("_size")), 2).alias("overhead_per_blob_ms"),
+        _count().alias("calls"),
+        _total("_size").alias("total_blobs"),
+        tidy(_mean("overhead"), 2).alias("avg_overhead_ms"),
+        tidy(ratio(_total("overhead"), _total("_size")), 2).alias("overhead_per_blob_ms"),
     ]
-    out = agg_with_quantiles(rows.where(F.col("el_client") != ""), ["el_client"], aggs, "overhead", probs)
+    named = rows.where(F.col("el_client") != "")
+    out = agg_with_quantiles(named, ["el_client"], aggs, "overhead", probs, weight="pairs")
     return out.select(
         "el_client",
         "calls",
