@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage, ratio
+from slotwise.operators.scalars import one_row
 
 
 def conditional(fn, value: Column, condition: Column) -> Column:
@@ -54,7 +55,7 @@ def residual_group(known: DataFrame, total: DataFrame, label: str, name: str, me
 
     Both one-row sums are scalars of the plan.
     """
-    whole = total.agg(F.struct(*[F.sum(m).alias(m) for m in measures]).alias("_s")).scalar()
+    whole = one_row(total, **{m: F.sum(m) for m in measures})
     part = known.agg(F.struct(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]).alias("_s"))
     rest = part.select(
         F.lit(name).alias(label),
@@ -65,9 +66,7 @@ def residual_group(known: DataFrame, total: DataFrame, label: str, name: str, me
 
 def zscores(df: DataFrame, value: str, out: str = "z_score") -> DataFrame:
     """(value - mean) / population standard deviation over all rows."""
-    stats = df.agg(
-        F.struct(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).alias("_s")
-    ).scalar()
+    stats = one_row(df, mean=F.avg(value), std=F.stddev_pop(value))
     return df.withColumn(
         out, F.try_divide(F.col(value) - stats.getField("mean"), stats.getField("std"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage, ratio, tidy
 from slotwise.operators.joins import null_safe_join
+from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import top_k
 
 
@@ -61,7 +62,7 @@ def top_n_across(
 
 def share_of_columns(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """Each listed column as a percentage of its own total."""
-    sums = df.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("_s")).scalar()
+    sums = one_row(df, **{c: F.sum(c) for c in columns})
     return df.withColumns({f"{c}_pct": percentage(F.col(c), sums.getField(c), digits) for c in columns})
 
 

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from slotwise.functions.labels import percentage
 from slotwise.operators.joins import null_safe_join
 from slotwise.operators.quantiles import BUCKETS, order_bucket
+from slotwise.operators.scalars import one_row
 
 
 def share_of_total(df: DataFrame, measure: str, out: str, digits: int | None = None) -> DataFrame:
-    total = df.agg(F.sum(measure).alias("_total")).scalar()
-    return df.withColumn(out, percentage(F.col(measure), total, digits))
+    total = one_row(df, total=F.sum(measure))
+    return df.withColumn(out, percentage(F.col(measure), total.getField("total"), digits))
 
 
 def share_in_group(

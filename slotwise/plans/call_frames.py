@@ -11,6 +11,7 @@ from slotwise.functions.labels import id_bucket, label_lookup, percentage, tidy
 from slotwise.operators.aggregates import counts_of_counts
 from slotwise.operators.joins import parent_child
 from slotwise.operators.quantiles import COUNT, MEAN, TOTAL, summarize
+from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import share_in_group, share_of_total, top_k
 from slotwise.sources.scan import id_range
 from slotwise.sources.tables import Tables
@@ -135,7 +136,7 @@ def ranking(t: Tables, blocks=ALL_BLOCKS) -> DataFrame:
     out = summarize(
         rows, ["precompile"], "gas", {"median_gas": 0.5}, call_count=COUNT, total_gas=TOTAL, avg_gas=MEAN
     )
-    total = out.agg(F.struct(F.sum("call_count").alias("n"), F.sum("total_gas").alias("g")).alias("_s")).scalar()
+    total = one_row(out, n=F.sum("call_count"), g=F.sum("total_gas"))
     return out.withColumns(
         {
             "avg_gas": tidy("avg_gas", 0),

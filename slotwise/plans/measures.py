@@ -12,6 +12,7 @@ from slotwise.operators.aggregates import threshold_rates
 from slotwise.operators.joins import null_safe_join
 from slotwise.operators.quantiles import agg_with_quantiles, exact_quantiles
 from slotwise.operators.ranges import next_after
+from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import share_of_total
 
 
@@ -25,7 +26,7 @@ def drift_histogram(df: DataFrame, a: str, b: str, edges: Sequence[float], label
     label = range_label(drift, edges, labels)
     counted = df.groupBy(label.alias("drift_range")).agg(F.count("*").alias("slots"))
     out = share_of_total(counted, "slots", "pct", 4).withColumn("range_order", position_in(F.col("drift_range"), labels))
-    total = counted.agg(F.sum("slots").alias("_t")).scalar()
+    total = one_row(counted, slots=F.sum("slots")).getField("slots")
     upto = Window.orderBy("range_order").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("cumulative_pct", percentage(F.sum("slots").over(upto), total, 4))
 

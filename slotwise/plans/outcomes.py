@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from slotwise.functions import arrays
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import extract_group, percentage, range_label, ratio, tidy
-from slotwise.operators.aggregates import distinct_count, min_sample, outcome_status
+from slotwise.operators.aggregates import min_sample, outcome_status
 from slotwise.operators.joins import membership_flag, null_safe_join, with_every_outcome
-from slotwise.operators.quantiles import COUNT, MEAN, summarize
+from slotwise.operators.quantiles import COUNT, MEAN, exact_quantiles, summarize
 from slotwise.operators.shares import share_of_total, top_k
 from slotwise.plans.sentinels import name_senders
 from slotwise.sources.scan import Period
@@ -103,16 +103,20 @@ def by_source(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
 
 
 def timing(t: Tables, period: Period = FOUR_DAYS) -> DataFrame:
-    rows = _timed(t, period)
+    keys = ["getblobs_status"]
+    # One shuffle of (status, slot, time) counts feeds both the quantiles and the
+    # distinct slots; both read its row count, so that Spark reuses it.
+    rows = _timed(t, period).groupBy(*keys, "slot", "head_time_ms").agg(F.count("*").alias("_rows"))
+    slots = rows.groupBy(*keys, "slot").agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > 0)
     probs = {
         "median_head_time_ms": 0.5,
         "p25_head_time_ms": 0.25,
         "p75_head_time_ms": 0.75,
         "p95_head_time_ms": 0.95,
     }
-    keys = ["getblobs_status"]
-    out = summarize(rows, keys, "head_time_ms", probs, observations=COUNT, avg_head_time_ms=MEAN)
-    out = null_safe_join(out, distinct_count(rows, keys, "slot", "unique_slots"), keys)
+    stats = {"observations": COUNT, "avg_head_time_ms": MEAN}
+    out = exact_quantiles(rows, keys, "head_time_ms", probs, stats, weight="_rows")
+    out = null_safe_join(out, slots.groupBy(*keys).agg(F.count("*").alias("unique_slots")), keys)
     return out.select(
         *keys, "observations", "unique_slots", *[tidy(c, 1).alias(c) for c in ("avg_head_time_ms", *probs)]
     ).orderBy(*keys)

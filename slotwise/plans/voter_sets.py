@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.labels import percentage, range_label, ratio
 from slotwise.operators.aggregates import distinct_count
 from slotwise.operators.quantiles import COUNT, HIGH, MEAN, agg_with_quantiles, summarize, values_at_ranks
+from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import share_of_total
 
 
@@ -104,7 +105,7 @@ def reached_curve(df: DataFrame, waited: str, step: int, cells: int, out: str =
     """
     cell = F.when(F.col(waited).isNotNull(), F.greatest(F.ceil(F.col(waited) / F.lit(step)), F.lit(0)))
     counted = df.groupBy(cell.cast("int").alias("cell")).agg(F.count("*").alias("_n"))
-    total = counted.agg(F.sum("_n").alias("_t")).scalar()
+    total = one_row(counted, n=F.sum("_n")).getField("n")
     axis = df.sparkSession.range(cells + 1).select(F.col("id").cast("int").alias("cell"))
     upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     return axis.join(counted, "cell", "left").select(
