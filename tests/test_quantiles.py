@@ -73,5 +73,5 @@ def test_value_shuffle_is_shared_and_group_is_not_gathered(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     plan = final_plan(Q.exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"m": 0.5}))
     assert "ReusedExchange" in plan
-    assert "ObjectHashAggregate(keys=[l_returnflag" not in plan.replace("collect_list", "") or "percentile" not in plan
+    assert "percentile" not in plan
     assert "Python" not in plan and "NestedLoop" not in plan
