@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import dedup
+from slotwise.llm import dedup, jaccard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op2_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(_table(spark, sf_dir, "documents"), dedup.fresh_index(spark))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+
+
 _OP2 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n,
@@ -36,6 +40,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 def queries() -> dict[str, Query]:
     return {
         "op2_digest_index_dedup": op2_digest_index_dedup,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
