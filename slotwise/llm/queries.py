@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import dedup, jaccard
+from slotwise.llm import dedup, jaccard, language, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op2_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(_table(spark, sf_dir, "documents"), dedup.fresh_index(spark))
 
 
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
 
@@ -40,6 +48,8 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 def queries() -> dict[str, Query]:
     return {
         "op2_digest_index_dedup": op2_digest_index_dedup,
+        "op7_byte_cnn_quality": op7_byte_cnn_quality,
+        "op8_cross_parsing_language": op8_cross_parsing_language,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
