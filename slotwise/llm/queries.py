@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import dedup, jaccard, language, quality
+from slotwise.llm import bpe, dedup, jaccard, language, packing, quality, token_files
+from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,18 @@ def op2_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(_table(spark, sf_dir, "documents"), dedup.fresh_index(spark))
 
 
+def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), digests=True)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,6 +61,9 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 def queries() -> dict[str, Query]:
     return {
         "op2_digest_index_dedup": op2_digest_index_dedup,
+        "op3_trie_bpe": op3_trie_bpe,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_token_files": op6_token_files,
         "op7_byte_cnn_quality": op7_byte_cnn_quality,
         "op8_cross_parsing_language": op8_cross_parsing_language,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
