@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm import bpe, dedup, jaccard, language, packing, quality, token_files
+from slotwise.llm import bpe, dedup, jaccard, language, packing, quality, token_files, top_k
 from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(_table(spark, sf_dir, "documents"), dedup.fresh_index(spark))
 
@@ -44,6 +49,24 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
 
 
+_OP1 = """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from e as q join e as c on q.vec_id <> c.vec_id
+  where q.vec_id % 100 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+       vec_id, score
+from s
+qualify rank <= 10
+"""
+
 _OP2 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n,
@@ -60,6 +83,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_norm_sorted_top_k": op1_norm_sorted_top_k,
         "op2_digest_index_dedup": op2_digest_index_dedup,
         "op3_trie_bpe": op3_trie_bpe,
         "op5_best_fit_packing": op5_best_fit_packing,
@@ -71,4 +95,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_digest_index_dedup": _OP2}
+    return {"op1_norm_sorted_top_k": _OP1, "op2_digest_index_dedup": _OP2}
