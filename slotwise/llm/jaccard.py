@@ -182,7 +182,10 @@ def overlap_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
-    """Set and sketch of one document of each class that stands in a list."""
+    """Set and sketch of one document of each class that stands in a list.
+
+    The filter of ids may let a few other documents through; nothing refers to their sets.
+    """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitmap(firsts, "first_id"))
 
@@ -202,10 +205,8 @@ def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame
                     names=["name", "grams", "sketch"],
                 )
 
-    found = docs.select("text", F.xxhash64("doc_id").alias("hashed")).mapInArrow(
-        run, "name long, grams array<long>, sketch binary"
-    )
-    return found.join(firsts.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("hashed"))
+    return hashed.mapInArrow(run, "name long, grams array<long>, sketch binary")
 
 
 def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
@@ -292,7 +293,7 @@ def jaccard_components(
         members.join(roots, F.col("name") == F.col("node"), "left")
         .withColumn("root", F.coalesce("root", "name"))
         .drop("node")
-        .join(sets.select("name", "sketch"), "name")
+        .join(sets.select("name", "sketch").dropDuplicates(["name"]), "name")
     )
     pairs = written(_list_pairs(written(rows, "rows"), rule), "pairs")
     more = written(overlap_links(pairs, sets, rule), "more")
