@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import bpe, dedup, jaccard, language, packing, quality, token_files, top_k
+from slotwise.llm import bpe, dedup, jaccard, language, lm, packing, quality, token_files, top_k
 from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), digests=True)
 
 
+def op4_log_frequency_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op1_norm_sorted_top_k": op1_norm_sorted_top_k,
         "op2_digest_index_dedup": op2_digest_index_dedup,
         "op3_trie_bpe": op3_trie_bpe,
+        "op4_log_frequency_filter_lm": op4_log_frequency_filter_lm,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_files": op6_token_files,
         "op7_byte_cnn_quality": op7_byte_cnn_quality,
