@@ -44,7 +44,7 @@ from slotwise.llm.hashing import U, mix, odd_numbers, words_of
 from slotwise.llm.store import written
 
 END = U(0x5851F42D4C957F2D)  # the end token's fingerprint
-BITS, PROBES, MU = 8, 4, 3.0
+BITS, PROBES, MU = 12, 6, 3.0
 BATCH = 4_000_000  # characters
 STRETCH = 512  # texts counted together, at most
 WORDS, PAIRS = 0, 1

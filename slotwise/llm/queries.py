@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import bpe, dedup, jaccard, language, lm, packing, quality, token_files, top_k
+from slotwise.llm import bpe, dedup, jaccard, language, lm, packing, quality, token_files, top_k, wrappers
 from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(_table(spark, sf_dir, "pages"))
+
+
 _OP1 = """
 with e as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -96,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op7_byte_cnn_quality": op7_byte_cnn_quality,
         "op8_cross_parsing_language": op8_cross_parsing_language,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_wrapper_induction": op10_wrapper_induction,
     }
 
 
