@@ -1,28 +1,71 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on every document its predecessor kept;
+``run`` writes what a stage returns as Parquet to the folder all executors share and
+hands the next one what it reads back.  All but the last return the columns of
+``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotwise.llm import dedup, jaccard, language, packing, quality
+from slotwise.llm.store import written
+from slotwise.llm.vocabulary import vocabulary_path
+
+# A text whose longest matches with every learned language are shorter is in none of them.
+LEAST_LETTERS_PER_PHRASE = 2.0
+
 
-from slotwise.llm import dedup
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learned language, go."""
+    found = language.identified(docs)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("letters_per_phrase") >= LEAST_LETTERS_PER_PHRASE)
+    return _only(docs, found.filter(known))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled rows among them, finds poor go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return _only(docs, quality.classified(docs, labels).filter("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = dedup.dedup(docs, dedup.fresh_index(spark)).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, dedup.dedup(docs, dedup.fresh_index(spark)).filter("kept"))
+
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8 or more) stays: the first."""
+    found = jaccard.jaccard_components(docs, jaccard.Rule(words=5, percent=80))
+    return _only(docs, found.filter("component_id = doc_id"))
 
-STAGES = [("exact_dedup", exact_dedup)]
 
-# Some stages are no SQL; tests hold the result against a brute-force version.
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's tokens in sequences of 4096."""
+    return packing.packed_documents(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("jaccard_join", jaccard_join),
+    ("best_fit_packing", best_fit_packing),
+]
+
+# Suffix automata and a trained network are no SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written and read again."""
-    from slotwise.llm.store import written
-
+    """All stages over the whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
