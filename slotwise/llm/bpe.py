@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm.store import in_small_batches
 from slotwise.llm.vocabulary import LOWER_WORDS, MARK, PLAIN, Memory, byte_letters, load, runs
 
 KNOWN_MOST = 150_000  # words in each of the two generations a worker remembers
@@ -243,7 +244,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = False, id_col: str = "do
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
     if digests:
         out = out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.components import components
 from slotwise.llm.hashing import U, mix, shingle_hashes, words_of
-from slotwise.llm.store import written
+from slotwise.llm.store import in_small_batches, written
 
 BLOCK = 2048  # list members that meet at once
 CELLS = 128  # sketch cells of one byte
@@ -272,7 +272,7 @@ def jaccard_components(
     docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = written(profiles(docs, rule), "profiles")
     classes = held.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     lists = written(

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.llm.store import in_small_batches
+
 LANE = 512
 LANES_AT_ONCE = 4096
 LETTERS = 90
@@ -226,6 +228,6 @@ def _runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | N
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of every row, learned from rows whose crc32(id as text) mod 4 is not 2."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True)))
     return predict(rows, fit(rows.filter(~F.col("held_out"))))

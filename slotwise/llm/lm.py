@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.hashing import U, mix, odd_numbers, words_of
-from slotwise.llm.store import written
+from slotwise.llm.store import in_small_batches, written
 
 END = U(0x5851F42D4C957F2D)  # the end token's fingerprint
 BITS, PROBES, MU = 12, 6, 3.0
@@ -312,6 +312,6 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row, learned from rows whose crc32(id as text) mod 7 is not 2."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(True))
     return scored(rows.withColumn("held_out", held_out))

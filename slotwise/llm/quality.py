@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.llm.store import in_small_batches
+
 DIMS, HOP, FILTERS, HIDDEN = 8, 4, 32, 16
 CHUNK, CHUNK_STEP = 128, 112  # positions
 THRESHOLD = 0.3
@@ -215,5 +217,5 @@ def _runs(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | N
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Quality of every row, learned from the labelled rows that are not held out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scored(rows, fit(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")))

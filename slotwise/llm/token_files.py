@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.store import new_path
+from slotwise.llm.store import in_small_batches, new_path
 from slotwise.llm.vocabulary import runs, word_ids
 
 BLOCK = 4096
 PAGE = 1 << 20
 PERCENTILE = 95
+PAGES_AT_ONCE = 16  # pages that go to a worker at once
 PAGES = (
     "shard int, page long, doc_ids array<long>, counts array<long>, n_ids long, "
     "payload binary, block_starts array<long>"
@@ -115,7 +116,7 @@ def write(
             yield _page(shard, page, names, parts)
 
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .withColumn("shard", F.spark_partition_id())
@@ -176,6 +177,7 @@ def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
                 )
 
     shown = "ids long" if digests else "ids array<long>"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_AT_ONCE))
     placed = pages(spark, folder).select("doc_ids", "counts", "n_ids", "payload", "block_starts", "start")
     out = placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {shown}")
     return out.withColumnRenamed("ids", "ids_crc32") if digests else out
