@@ -122,7 +122,9 @@ def _gradients(net: Network, texts: list[str | None], labels: np.ndarray) -> lis
     by_inner = error[:, None] * net.top * (inner > 0)
     by_feat = by_inner @ net.inner.T
     back = (by_feat[:, :FILTERS] / chunks[:, None])[owner]
-    back += by_feat[:, FILTERS:][owner] * (maxima == feats[:, FILTERS:][owner])
+    largest = (maxima == feats[:, FILTERS:][owner]).astype(np.float32)
+    share = np.add.reduceat(largest, np.concatenate([[0], np.cumsum(chunks)[:-1]]), axis=0)  # equal chunks
+    back += by_feat[:, FILTERS:][owner] * largest / share[owner]
     back = (back * (plain > 0)).astype(np.float32)
     place = where + (np.arange(total) * CHUNK_STEP)[:, None]
     d_first = np.einsum("cf,cfk->kf", back, rows[place])
