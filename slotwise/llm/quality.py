@@ -2,11 +2,11 @@
 
 Bytes are embedded in ``DIMS`` learned numbers.  Filters of ``2 * HOP`` bytes move by
 ``HOP`` bytes; overlapping chunks of ``CHUNK`` positions, ``CHUNK_STEP`` apart, cover the
-whole text, and each filter keeps its largest answer in a chunk.  A text's features are
-the mean and the largest of its chunks' answers; a hidden and a logistic layer make the
-probability of them.  Training (gradients reach the filters at the position of each largest answer,
-Adam steps) takes at most ``sample_docs`` labelled documents per label, those of least
-hash; scoring is a map over all rows.
+whole text, and each filter keeps its largest answer in a chunk.  A hidden layer reads a
+chunk's answers, its units are averaged over the text's chunks, and a logistic layer
+makes the probability of them.  Training (gradients reach the filters at the position of each largest answer,
+Adam steps) takes at most ``sample_docs`` documents of label 0 and three times as many of
+label 1, those of least hash; scoring is a map over all rows.
 
 Defined cases: a null text counts as empty; an empty text gets the probability of one
 empty chunk, a number from 0 to 1 like any other; without labelled rows the score is
@@ -39,7 +39,7 @@ class Network:
     first: np.ndarray  # HOP * DIMS x FILTERS, over the first half of a filter
     second: np.ndarray
     bias: np.ndarray
-    inner: np.ndarray  # 2 * FILTERS x HIDDEN
+    inner: np.ndarray  # FILTERS x HIDDEN
     inner_bias: np.ndarray
     top: np.ndarray  # HIDDEN
     offset: np.ndarray  # 1
@@ -53,7 +53,7 @@ class Network:
             draw(HOP * DIMS, FILTERS) * 0.15,
             draw(HOP * DIMS, FILTERS) * 0.15,
             np.zeros(FILTERS, np.float32),
-            draw(2 * FILTERS, HIDDEN) * 0.15,
+            draw(FILTERS, HIDDEN) * 0.2,
             np.zeros(HIDDEN, np.float32),
             draw(HIDDEN) * 0.3,
             np.zeros(1, np.float32),
@@ -63,17 +63,20 @@ class Network:
         return [self.embedding, self.first, self.second, self.bias, self.inner, self.inner_bias, self.top, self.offset]
 
 
-def padded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts, each filled up to whole chunk steps, and chunks per text."""
+def padded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, each filled up past its last chunk; chunks per text, and where each begins, in steps.
+
+    A text's last chunk ends before the next text begins, so that texts don't touch.
+    """
     step, tail = CHUNK_STEP * HOP, (CHUNK - CHUNK_STEP + 1) * HOP
     raw = [(t or "").encode() for t in texts]
-    chunks = np.array([max(1, -(-max(0, len(r) - tail) // step)) for r in raw], np.int64)
-    out = np.zeros((int(chunks.sum())) * step + tail, np.uint8)
-    at = 0
-    for r, n in zip(raw, chunks):
-        out[at : at + len(r)] = np.frombuffer(r, np.uint8)[: n * step + tail]
-        at += int(n) * step
-    return out, chunks
+    chunks = np.array([max(1, -(-(len(r) - tail) // step)) for r in raw], np.int64)
+    begins = np.cumsum(chunks + 1) - chunks - 1
+    out = np.zeros(int(begins[-1] + chunks[-1] + 1) * step + tail, np.uint8)
+    for r, at in zip(raw, begins):
+        out[at * step : at * step + len(r)] = np.frombuffer(r, np.uint8)
+    inside = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    return out, chunks, np.repeat(begins, chunks) + inside
 
 
 def _answers(net: Network, data: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,39 +97,37 @@ def chunk_maxima(net: Network, data: np.ndarray, chunks: int) -> np.ndarray:
     return np.maximum(out + net.bias, 0)
 
 
-def features(maxima: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+def chunk_units(net: Network, maxima: np.ndarray) -> np.ndarray:
+    return np.maximum(maxima @ net.inner + net.inner_bias, 0)
+
+
+def mean_of_chunks(units: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(chunks)[:-1]])
-    mean = np.add.reduceat(maxima, first, axis=0) / chunks[:, None].astype(np.float32)
-    return np.concatenate([mean, np.maximum.reduceat(maxima, first, axis=0)], axis=1)
+    return np.add.reduceat(units, first, axis=0) / chunks[:, None].astype(np.float32)
 
 
 def scores(net: Network, texts: list[str | None]) -> np.ndarray:
-    data, chunks = padded(texts)
-    feats = features(chunk_maxima(net, data, int(chunks.sum())), chunks)
-    logit = np.maximum(feats @ net.inner + net.inner_bias, 0) @ net.top + net.offset
+    data, chunks, starts = padded(texts)
+    units = chunk_units(net, chunk_maxima(net, data, int(starts[-1]) + 1)[starts])
+    logit = mean_of_chunks(units, chunks) @ net.top + net.offset
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
 
 def _gradients(net: Network, texts: list[str | None], labels: np.ndarray) -> list[np.ndarray]:
-    data, chunks = padded(texts)
-    total = int(chunks.sum())
-    view, rows = _answers(net, data, total)
+    data, chunks, starts = padded(texts)
+    view, rows = _answers(net, data, int(starts[-1]) + 1)
+    view = view[starts]
     where = view.argmax(axis=2)
     plain = np.take_along_axis(view, where[:, :, None], axis=2)[:, :, 0] + net.bias
     maxima = np.maximum(plain, 0)
-    feats = features(maxima, chunks)
-    inner = np.maximum(feats @ net.inner + net.inner_bias, 0)
-    guess = 1 / (1 + np.exp(-np.clip(inner @ net.top + net.offset, -30, 30)))
+    units = chunk_units(net, maxima)
+    mean = mean_of_chunks(units, chunks)
+    guess = 1 / (1 + np.exp(-np.clip(mean @ net.top + net.offset, -30, 30)))
     error = ((guess - labels) / len(texts)).astype(np.float32)
     owner = np.repeat(np.arange(len(texts)), chunks)
-    by_inner = error[:, None] * net.top * (inner > 0)
-    by_feat = by_inner @ net.inner.T
-    back = (by_feat[:, :FILTERS] / chunks[:, None])[owner]
-    largest = (maxima == feats[:, FILTERS:][owner]).astype(np.float32)
-    share = np.add.reduceat(largest, np.concatenate([[0], np.cumsum(chunks)[:-1]]), axis=0)  # equal chunks
-    back += by_feat[:, FILTERS:][owner] * largest / share[owner]
-    back = (back * (plain > 0)).astype(np.float32)
-    place = where + (np.arange(total) * CHUNK_STEP)[:, None]
+    by_unit = (error / chunks.astype(np.float32))[owner, None] * net.top * (units > 0)
+    back = ((by_unit @ net.inner.T) * (plain > 0)).astype(np.float32)
+    place = where + (starts * CHUNK_STEP)[:, None]
     d_first = np.einsum("cf,cfk->kf", back, rows[place])
     d_second = np.einsum("cf,cfk->kf", back, rows[place + 1])
     d_embedding = np.zeros_like(net.embedding)
@@ -135,12 +136,12 @@ def _gradients(net: Network, texts: list[str | None], labels: np.ndarray) -> lis
     pull = back[:, :, None, None] * weights[None]
     for d in range(DIMS):
         d_embedding[:, d] = np.bincount(codes.ravel(), pull[..., d].ravel(), 256)
-    top = [feats.T @ by_inner, by_inner.sum(axis=0), inner.T @ error, error.sum(keepdims=True)]
+    top = [maxima.T @ by_unit, by_unit.sum(axis=0), mean.T @ error, error.sum(keepdims=True)]
     return [d_embedding, d_first, d_second, back.sum(axis=0), *top]
 
 
 def train(
-    texts: list[str], labels: list[int], steps: int = 800, batch: int = 32, rate: float = 0.005, decay: float = 0.02
+    texts: list[str], labels: list[int], steps: int = 800, batch: int = 32, rate: float = 0.008, decay: float = 0.01
 ) -> Network:
     """A network for labelled texts; the same rows in the same order give the same one.
 
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1600) -> Network
     known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = known.select("doc_id", "quality").distinct().withColumn("nth", F.row_number().over(order))
-    some = some.filter(F.col("nth") <= sample_docs)  # two labels: a bounded number of rows
+    some = some.filter(F.col("nth") <= sample_docs * (1 + 2 * F.col("quality")))  # a bounded number of rows
     rows = (
         docs.filter(F.length("text") <= SAMPLE_MOST_CHARS)
         .join(F.broadcast(some), "doc_id")

@@ -143,6 +143,14 @@ def test_gradients_are_those_of_the_loss():
             assert gradient[at] == pytest.approx((up - down) / 2e-3, abs=2e-3)
 
 
+def test_a_text_scores_the_same_next_to_any_other():
+    net = quality.Network.start()
+    texts = ["abc " * n for n in (0, 1, 15, 16, 17, 126, 127, 128, 500)] + [None, "x$$$ " * 300]
+    alone = [quality.scores(net, [t])[0] for t in texts]
+    assert quality.scores(net, texts) == pytest.approx(alone, rel=1e-5)
+    assert quality.scores(net, texts[::-1]) == pytest.approx(alone[::-1], rel=1e-5)
+
+
 def test_quality_is_learned_from_rows_not_held_out(spark):
     rows, labels = [], []
     for i in range(120):
