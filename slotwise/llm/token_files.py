@@ -3,7 +3,7 @@
 A corpus is a folder of Parquet files whose rows are pages.  A page holds whole documents
 in ascending id order, some ``PAGE`` ids or one longer document:
 
-    shard, page        place in the order: shards are ranges of ids
+    shard, within      place in the order: shards are ranges of ids; the ids before the page in its shard
     doc_ids, counts    its documents and how many ids each has
     payload            blocks of ``BLOCK`` ids, each
                          u4 least id, u1 width, u2 exceptions,
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.store import in_small_batches, new_path
+from slotwise.llm.store import in_small_batches, new_path, written
 from slotwise.llm.vocabulary import runs, word_ids
 
 BLOCK = 4096
@@ -41,7 +41,7 @@ PAGE = 1 << 20
 PERCENTILE = 95
 PAGES_AT_ONCE = 16  # pages that go to a worker at once
 PAGES = (
-    "shard int, page long, doc_ids array<long>, counts array<long>, n_ids long, "
+    "shard int, within long, doc_ids array<long>, counts array<long>, n_ids long, "
     "payload binary, block_starts array<long>"
 )
 _HEAD = struct.Struct("<IBH")
@@ -98,7 +98,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path, lower)
-        shard, page, names, parts, held = None, 0, [], [], 0
+        shard, within, names, parts, held = None, 0, [], [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             shards, doc_ids = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist()
@@ -106,14 +106,14 @@ def write(
                 for i, ids in enumerate(encoder.encode(texts[first:last]), first):
                     ids += end
                     if held and held + len(ids) // 4 > PAGE:
-                        yield _page(shard, page, names, parts)
-                        page, names, parts, held = page + 1, [], [], 0
+                        yield _page(shard, within, names, parts)
+                        within, names, parts, held = within + held, [], [], 0
                     shard = shards[i]
                     names.append(doc_ids[i])
                     parts.append(ids)
                     held += len(ids) // 4
         if names:
-            yield _page(shard, page, names, parts)
+            yield _page(shard, within, names, parts)
 
     (
         in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -125,34 +125,29 @@ def write(
     )
 
 
-def _page(shard: int, page: int, names: list, parts: list[bytes]) -> pa.RecordBatch:
+def _page(shard: int, within: int, names: list, parts: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), "<u4")
     payload, starts = pack(ids)
-    cells = [shard, page, names, [len(p) // 4 for p in parts], len(ids), payload, starts]
+    cells = [shard, within, names, [len(p) // 4 for p in parts], len(ids), payload, starts]
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays(
         [pa.array([c], k) for c, k in zip(cells, kinds)],
-        names=["shard", "page", "doc_ids", "counts", "n_ids", "payload", "block_starts"],
+        names=["shard", "within", "doc_ids", "counts", "n_ids", "payload", "block_starts"],
     )
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of a corpus with the number of ids before each.
 
-    Ids before a shard come from one row per shard, those before a page of it from its
-    pages, so no task sees all pages.
+    A page knows the ids before it in its shard; those before the shard come from a table
+    of one row per shard (one per task that wrote), the only one that is summed in order.
+    Written first, it is known to be small, so the pages need no shuffle to meet it.
     """
     df = spark.read.schema(PAGES).parquet(folder)
     totals = df.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.select("shard", "page", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("within"))
-        .join(shards, "shard")
-        .select("shard", "page", (F.col("first") + F.col("within")).alias("start"))
-    )
-    return df.join(starts, ["shard", "page"])
+    shards = written(totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "shards")
+    return df.join(shards, "shard").withColumn("start", F.col("first") + F.col("within"))
 
 
 def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -24,7 +26,8 @@ SPACED_WORDS = re.compile(
     f"{_CUTS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 SPACED_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-KNOWN_MOST = 250_000  # pieces in each of the two generations a worker remembers
+KNOWN_MOST = 400_000  # pieces in each of the two generations a worker remembers
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 MARK = "<|"  # begins every special token
 
 
@@ -75,13 +78,14 @@ class WordIds:
         self.model = self.tokenizer.model
         self.lower = lower  # a lower-casing tokenizer that drops white space
         self.words = (LOWER_WORDS if lower else SPACED_WORDS).findall
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.known = Memory(KNOWN_MOST)
 
     def _piece(self, piece: str) -> bytes:
-        letters, tokenize = self.letters, self.model.tokenize
-        found = [t.id for w in self.words(piece) for t in tokenize("".join([letters[b] for b in w.encode()]))]
-        return np.array(found, "<u4").tobytes()
+        tokenize = self.model.tokenize
+        words = (piece,) if piece.lstrip(" ").isalpha() else self.words(piece)
+        spelled = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return array("I", [t.id for w in spelled for t in tokenize(w)]).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         """Parts whose ids don't depend on each other; a space stays with what follows it."""
