@@ -10,8 +10,9 @@ hash of its n-grams there), and only documents that share a key can link; sharin
 passage is not enough to share a block.
 
 1. Documents with the same set are one class.  Classes emit their keys.
-2. Keys with several classes are lists.  Each list's smallest member is met first: the
-   exact overlap of the two sets decides.  The links give components.
+2. Keys with several classes are lists; of lists with the same members one is kept.  Each
+   class first meets one other, the smallest first member of its lists: the exact overlap
+   of the two sets decides.  The links give components.
 3. In lists that still hold several components, members of different components meet,
    in blocks of at most ``BLOCK`` x ``BLOCK``, as a matrix product over small sketches:
    pairs that differ in more sketch cells than the size bound allows go, of the others
@@ -40,7 +41,7 @@ from slotwise.llm.hashing import U, mix, shingle_hashes, words_of
 from slotwise.llm.store import in_small_batches, written
 
 BLOCK = 2048  # list members that meet at once
-CELLS = 128  # sketch cells of one byte
+CELLS = 256  # sketch cells of one byte
 STEP = 1.5  # ratio of neighbouring size classes
 SEEN = 200_000  # sets a task remembers, so as not to emit a copy's keys again
 BITMAP_BITS = 26  # of the filters sent to the tasks: 8 MB each, whatever the input
@@ -210,7 +211,10 @@ def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame
 
 
 def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
-    """(key, name, n, hub) of the classes that stand in lists; other keys go before the shuffle."""
+    """(key, name, n, hub) of the classes that stand in lists; other keys go before the shuffle.
+
+    Near copies share most of their keys: of lists with equal members one stays.
+    """
     bits = held.sparkSession.sparkContext.broadcast(bitmap(lists, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +224,16 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
 
     flat = held.select(F.explode("keys").alias("key"), "name", "n").withColumn("hashed", F.xxhash64("key"))
     kept = flat.mapInArrow(run, "key long, name long, n long, hashed long").drop("hashed")
-    return kept.join(lists, "key").select("key", "name", "n", "hub").distinct()
+    members = written(kept.join(lists, "key").select("key", "name", "n", "hub").distinct(), "found")
+    alike = members.groupBy("key").agg(
+        F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("name")).alias("x"),
+        F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"),
+    )
+    return members.join(alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def _list_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of members of different components that size and sketch leave open."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m"), "key")
@@ -235,32 +245,30 @@ def _list_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
     )
-    bins = max(1, int(met.count() // ROWS_PER_BIN) + 1)
+    bins = int(met.count() // ROWS_PER_BIN) + 1
     met = met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    met = met.select("bin", "key", "i", "j", "own", "name", "n", "root", "hub", "sketch")
+    met = met.join(sketches, "name").select("bin", "key", "i", "j", "own", "name", "n", "root", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        group = table.select(["key", "i", "j", "own", "name", "n", "root", "hub"]).to_pandas()
+        group = table.select(["key", "i", "j", "own", "name", "n", "root"]).to_pandas()
         cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
         out = [np.zeros((0, 2), np.int64)]
         for (_, i, j), at in group.groupby(["key", "i", "j"]).indices.items():
             own_part = group["own"].to_numpy()[at]
             left, right = at[own_part == i], at[own_part == j]
-            out.append(_block_pairs(group, cells, left, right, rule))
+            out.append(_block_pairs(group, cells, left, right, i != j, rule))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return met.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(group, cells, left, right, rule) -> np.ndarray:
-    name, n, root, hub = (group[c].to_numpy() for c in ("name", "n", "root", "hub"))
+def _block_pairs(group, cells, left, right, apart, rule) -> np.ndarray:
+    name, n, root = (group[c].to_numpy() for c in ("name", "n", "root"))
     out = [np.zeros((0, 2), np.int64)]
     for x in left:
-        if name[x] == hub[x]:  # met every member already
-            continue
-        y = right[(name[right] > name[x]) | (left is not right) & (name[right] < name[x])]
-        y = y[(root[y] != root[x]) & (name[y] != hub[y])]
+        y = right if apart else right[name[right] > name[x]]
+        y = y[root[y] != root[x]]
         y = y[100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x])]
         if len(y):
             y = y[(cells[y] != cells[x]).sum(axis=1) <= rule.most_different(n[y] + n[x])]
@@ -286,16 +294,16 @@ def jaccard_components(
     members = written(_members(held, lists), "members")
     firsts = written(members.select("name").distinct().join(classes.select("name", "first_id"), "name"), "firsts")
     sets = written(_candidate_sets(docs, firsts, rule), "sets")
-    stars = members.filter("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = members.groupBy(F.col("name").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
     links = written(overlap_links(stars, sets, rule), "stars")
     roots = components(links)
     rows = (
         members.join(roots, F.col("name") == F.col("node"), "left")
         .withColumn("root", F.coalesce("root", "name"))
-        .drop("node")
-        .join(sets.select("name", "sketch").dropDuplicates(["name"]), "name")
+        .select("key", "name", "n", "root")
     )
-    pairs = written(_list_pairs(written(rows, "rows"), rule), "pairs")
+    sketches = sets.select("name", "sketch").dropDuplicates(["name"])
+    pairs = written(_list_pairs(written(rows, "rows"), sketches, rule), "pairs")
     more = written(overlap_links(pairs, sets, rule), "more")
     if not more.isEmpty():
         roots = components(links.union(more))
