@@ -13,7 +13,7 @@ from contract.sqltools import ladder, pct, quant, rnd
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import ratio, tidy
 from slotwise.operators import aggregates as agg
-from slotwise.operators import series
+from slotwise.operators import quantiles, series
 from slotwise.plans import measures, records, voter_sets
 
 registry = Registry()
@@ -140,22 +140,43 @@ def agreement_matrix_pa4(d: Given) -> DataFrame:
 
 
 @query(
-    f"""with f as (select o_orderkey, o_orderdate, (select min(l_shipdate) from lineitem where l_orderkey = o_orderkey and l_shipdate > o_orderdate) as ship
-                  from orders),
-        x as (select cast(year(o_orderdate) as int) as year, date_diff('day', o_orderdate, ship) as delay from f)
+    f"""with f as (select l.l_orderkey, l.l_shipdate, (select min(e.l_shipdate) from lineitem e
+                          where e.l_orderkey = l.l_orderkey and e.l_shipdate > l.l_shipdate) as next from lineitem l),
+        x as (select cast(year(l_shipdate) as int) as year, date_diff('day', l_shipdate, next) as delay from f)
         select year, count(*) as subjects, count(*) filter (delay is null) as never, {rnd('avg(delay)', 4)} as avg_delay,
         {pct('count(*) filter (delay <= 31)', 'count(*)', 4)} as within_pct, {rnd(quant('delay', 0.95), 4)} as p95_delay from x group by 1"""
 )
 def first_inclusion_pa5(d: Given) -> DataFrame:
-    orders = d.orders.select("o_orderkey", "o_orderdate")
-    lines = d.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    delay = F.date_diff(F.col("l_shipdate"), F.col("o_orderdate"))
-    rows = voter_sets.first_inclusion(orders, lines, "o_orderkey", "o_orderdate", "l_shipdate", delay)
-    rows = rows.withColumn("year", F.year("o_orderdate"))
+    """Every line of an order asks for the order's next shipment: many subjects and events per key."""
+    lines = d.lineitem.select("l_orderkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("shipped"))
+    events = lines.withColumnRenamed("shipped", "next")
+    rows = voter_sets.first_inclusion(lines, events, ["l_orderkey"], "shipped", "next", F.col("next") - F.col("shipped"))
+    rows = rows.withColumn("year", F.year(F.date_from_unix_date(F.col("shipped").cast("int"))))
     out = voter_sets.inclusion_report(rows, ["year"], "delay", 31, {"p95_delay": 0.95})
     return out.withColumns({"avg_delay": tidy("avg_delay", 4), "p95_delay": tidy("p95_delay", 4)})
 
 
+@query(
+    f"""with o as (select date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as day, o_orderkey from orders),
+        l as (select l_orderkey, date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as shipped from lineitem),
+        t as (select day, count(*) as members from o group by 1),
+        f as (select day, members, (select min(shipped) from l where shipped > day) as first_at from t),
+        h as (select day, count(distinct o_orderkey) as included from o join f using (day)
+              join l on l_orderkey = o_orderkey and shipped = first_at group by 1)
+        select day, members, first_at, coalesce(included, 0) as included,
+               {pct('coalesce(included, 0)', 'members', 4)} as included_share from f left join h using (day)"""
+)
+def first_following_share_pa5(d: Given) -> DataFrame:
+    """Orders of a day as members, shipping days as events: who is in the first one after it."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint").alias("day")
+    orders = d.orders.select("o_orderkey", day)
+    lines = d.lineitem.select(
+        F.col("l_orderkey").alias("o_orderkey"), F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint").alias("at")
+    )
+    members = orders.join(lines, "o_orderkey")
+    return voter_sets.first_following_share(orders, lines, members, "day", "at", ["o_orderkey"])
+
+
 DRIFT_EDGES, DRIFT_LABELS = [0.01, 0.02, 0.05, 0.1], ["<1%", "1-2%", "2-5%", "5-10%", "10%+"]
 DRIFT_SQL = """m as (select date_trunc('month', l_shipdate) as month, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'R') as b
                      from lineitem group by 1)"""
@@ -322,17 +343,33 @@ def sample_by_stratum_pa12(d: Given) -> DataFrame:
 # --- rates, trimmed means, gaps, zero rows -------------------------------------------------------
 
 
-@query(
-    f"""with e as (select user_id, cast(floor(epoch(ts)) as bigint) as t, value, row_number() over (partition by user_id order by ts, event_id) as rn from events),
-        g as (select user_id, value, unnest(range(cast(ceil(t / 3600.0::double) as bigint) * 3600, t + 21600, 3600)) as step_at from e where rn > 1)
-        select user_id, step_at, {rnd('sum(value) / 21600', 8)} as rate from g group by all"""
-)
-def counter_rate_pa13(d: Given) -> DataFrame:
-    """The running total per user is the counter; rates over six hours, hourly."""
+RATES_SQL = """e as (select user_id, cast(floor(epoch(ts)) as bigint) as t, value, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+        g as (select user_id, value, unnest(range(cast(ceil(t / 3600.0::double) as bigint) * 3600, t + 21600, 3600)) as step_at from e where rn > 1),
+        a as (select user_id, unnest(range(cast(ceil(min(t) / 3600.0::double) as bigint) * 3600, max(t) + 1, 3600)) as step_at from e group by 1),
+        r as (select user_id, step_at, coalesce(sum(value), 0) / 21600 as rate from a left join g using (user_id, step_at) group by all)"""
+
+
+def _rates(d: Given) -> DataFrame:
+    """The running total per user is the counter; rates over six hours, hourly, also where nothing happened."""
     rows = d.events.select("user_id", "event_id", tp.micros(F.col("ts")).alias("us"), tp.seconds(F.col("ts")).alias("t"), "value")
     total = series.running_total(rows, ["user_id"], "us", "value", "counter", width=86_400_000_000, ties=["event_id"])
-    rate = series.counter_rate(total, ["user_id"], "t", "counter", window=21600, step=3600, ties=["us", "event_id"])
-    return rate.withColumn("rate", tidy("rate", 8))
+    return series.counter_rate(total, ["user_id"], "t", "counter", window=21600, step=3600, ties=["us", "event_id"])
+
+
+@query(f"with {RATES_SQL} select user_id, step_at, {rnd('rate', 8)} as rate from r")
+def counter_rate_pa13(d: Given) -> DataFrame:
+    return _rates(d).withColumn("rate", tidy("rate", 8))
+
+
+@query(
+    f"""with {RATES_SQL} select step_at // 86400 as day, count(*) as steps, {rnd('avg(rate)', 6)} as mean_rate,
+        {rnd(quant('rate', 0.95), 6)} as p95_rate from r group by 1"""
+)
+def counter_rate_daily_pa13(d: Given) -> DataFrame:
+    """Mean and 95th percentile of the rate over a day, over all steps of all users."""
+    rows = _rates(d).withColumn("day", F.floor(F.col("step_at") / 86400))
+    out = quantiles.summarize(rows, ["day"], "rate", {"p95_rate": 0.95}, steps=quantiles.COUNT, mean_rate=quantiles.MEAN)
+    return out.withColumns({c: tidy(c, 6) for c in ("mean_rate", "p95_rate")})
 
 
 @query(

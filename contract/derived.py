@@ -258,6 +258,7 @@ class DerivedTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
         self.spark, self.sf_dir = spark, sf_dir
+        self.source = sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
         text = texts("spark")[name]

@@ -1,10 +1,13 @@
 """Exact quantiles that never gather a group in one task.
 
-``F.percentile`` keeps a map of the distinct values of a group in one task.
-That is fine when a filter bounds the domain (whole milliseconds in a fixed
-range); pass ``domain`` then.  Otherwise the values are counted, laid into
-order-keeping buckets, and only the buckets that hold a wanted rank are sorted,
-each in a task of its own.
+Values are counted, laid into order-keeping buckets between the group's smallest and
+largest value, and only the buckets that hold a wanted rank are looked into.  Those are
+cut again between their own smallest and largest value, ``LEVELS`` times in all, so that
+far outliers do not leave the bulk in one bucket; what holds a wanted rank then is
+sorted, each bucket in a task of its own.  Values that stay within one part in
+``BUCKETS ** LEVELS`` of all but everything around them can still share a bucket.
+
+Without keys, bounds and opened buckets are scalars of the plan: nothing is joined.
 """
 
 from __future__ import annotations
@@ -17,8 +20,7 @@ from pyspark.sql import functions as F
 from slotwise.operators.joins import null_safe_join
 
 BUCKETS = 4096
-# Largest domain for which the in-memory map of one group is accepted.
-MAX_DOMAIN = 100_000
+LEVELS = 2
 
 
 def order_bucket(buckets: int) -> str:
@@ -57,61 +59,36 @@ def values_at_ranks(
     NULL values are left out.  ``weight`` names a column that says how many rows a
     row stands for.
 
-    The counted values are shuffled by (key, value) once and by key once; both
-    joins read the same shuffle.  A hot key is split there by adaptive skew
-    handling, as no aggregation by key alone follows either join.  The hash
-    side of the joins has one row per key, so it is even whatever the skew.
+    The counted values are shuffled by (key, value) once and by key once; the joins
+    read the same shuffle.  A hot key is split there by adaptive skew handling, as no
+    aggregation by key alone follows a join.
     """
-    group = list(keys) or ["_all"]
+    group = list(keys)
     names = [f"`{c}`" for c in group]
-    by = ", ".join(names)
-    base = df if keys else df.withColumn("_all", F.lit(0))
     counted = (
-        base.selectExpr(*names, f"`{value}` as _v", f"{f'`{weight}`' if weight else '1L'} as _w")
+        df.selectExpr(*names, f"`{value}` as _v", f"{f'`{weight}`' if weight else '1L'} as _w")
         .where("_v is not null")
         .groupBy(*group, "_v")
         .agg(F.expr("sum(_w) as _n" if weight else "count(*) as _n"))
     )
     stats = stats or {}
+    facts = ["_total", *(constants or {}), *stats]
     bounds = counted.groupBy(*group).agg(
-        F.expr("min(_v) as _low"),
-        F.expr("max(_v) as _high"),
-        F.expr("sum(_n) as _total"),
-        *[F.expr(f"{text} as `{name}`") for name, text in stats.items()],
+        *_extremes(), F.expr("sum(_n) as _total"), *[F.expr(f"{text} as `{name}`") for name, text in stats.items()]
     )
     if constants:
         bounds = bounds.withColumns(dict(constants))
-    facts = ["_low", "_high", "_total", *(constants or {}), *stats]
-    kept = [F.expr(f"max(`{c}`) as `{c}`") for c in facts]
-    place = f"{order_bucket(buckets)} as _b"
-    # At most 3 * buckets + 1 rows per group reach this window.
-    mass = (
-        null_safe_join(counted, bounds.hint("shuffle_hash"), group)
-        .selectExpr(*names, "_n", *[f"`{c}`" for c in facts], place)
-        .groupBy(*group, "_b")
-        .agg(F.expr("sum(_n) as _mass"), *kept)
-        .selectExpr(
-            "*",
-            f"sum(_mass) over (partition by {by} order by _b rows between unbounded preceding and current row) as _end",
-        )
-        .selectExpr("*", "_end - _mass as _start")
-    )
-    hit = " or ".join(f"({rank} >= _start and {rank} < _end)" for rank in ranks.values())
-    # One entry per wanted rank at most.
-    opened = mass.where(hit).groupBy(*group).agg(F.expr("collect_list(struct(_b, _start)) as _open"), *kept)
-    opened = opened.selectExpr(*names, *[f"`{c}`" for c in facts], "_open._b as _bins", "_open._start as _starts")
-    ranked = (
-        null_safe_join(counted, opened.hint("shuffle_hash"), group)
-        .where(f"array_contains(_bins, {order_bucket(buckets)})")
-        .selectExpr("*", place)
-        .selectExpr("*", "_starts[cast(array_position(_bins, _b) as int) - 1] as _start")
-        .selectExpr(
-            "*",
-            f"_start + sum(_n) over (partition by {by}, _b order by _v "
-            "rows between unbounded preceding and current row) as _stop",
-        )
-    )
-    picked = ranked.groupBy(*group).agg(
+    bounds = bounds.withColumn("_start", F.lit(0).cast("bigint"))
+    rows = counted
+    for level in range(LEVELS):
+        within = [*group, "_b"] if level else group
+        rows = _opened(rows, bounds, within, facts, ranks, buckets)
+        if level + 1 < LEVELS:
+            bounds = rows.groupBy(*group, "_b").agg(*_extremes(), *_kept([*facts, "_start"]))
+            rows = rows.select(*group, "_b", "_v", "_n")
+    inside = _over([*group, "_b"], "_v")
+    ranked = rows.selectExpr("*", f"_start + sum(_n) {inside} as _stop")
+    return ranked.groupBy(*group).agg(
         *[
             F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`")
             for name, rank in ranks.items()
@@ -119,7 +96,72 @@ def values_at_ranks(
         F.expr("max(_total) as _total"),
         *[F.expr(f"max(`{name}`) as `{name}`") for name in stats],
     )
-    return picked if keys else picked.drop("_all")
+
+
+def _extremes() -> list[Column]:
+    return [F.expr("min(_v) as _low"), F.expr("max(_v) as _high")]
+
+
+def _kept(columns: Sequence[str]) -> list[Column]:
+    """Facts of a group, the same in all its rows."""
+    return [F.expr(f"max(`{c}`) as `{c}`") for c in columns]
+
+
+def _over(groups: Sequence[str], order: str) -> str:
+    by = f"partition by {', '.join(f'`{c}`' for c in groups)} " if groups else ""
+    return f"over ({by}order by {order} rows between unbounded preceding and current row)"
+
+
+def _opened(
+    rows: DataFrame, bounds: DataFrame, within: Sequence[str], facts: Sequence[str], ranks: Mapping[str, str], buckets: int
+) -> DataFrame:
+    """The rows in those buckets of each group that hold a wanted rank.
+
+    ``bounds`` has a row per group with its extremes, facts and the rank it starts at;
+    the rows get the facts, their bucket in ``_b`` and the rank that starts at.
+    """
+    names = [f"`{c}`" for c in within]
+    cut = f"{order_bucket(buckets)} as _c"
+    placed = _with_facts(rows, bounds, within)
+    # At most 3 * buckets + 1 rows per group reach this window.
+    mass = (
+        placed.selectExpr(*names, "_n", "_start", *[f"`{c}`" for c in facts], cut)
+        .groupBy(*within, "_c")
+        .agg(F.expr("sum(_n) as _mass"), *_kept([*facts, "_start"]))
+        .selectExpr("*", f"_start + sum(_mass) {_over(within, '_c')} as _end")
+        .selectExpr("*", "_end - _mass as _from")
+    )
+    hit = " or ".join(f"({rank} >= _from and {rank} < _end)" for rank in ranks.values())
+    # One entry per wanted rank at most.
+    opened = (
+        mass.where(hit)
+        .groupBy(*within)
+        .agg(F.expr("collect_list(struct(_c, _from)) as _open"), *_kept(facts))
+        .selectExpr(*names, *[f"`{c}`" for c in facts], "_open._c as _bins", "_open._from as _froms")
+    )
+    found = _with_facts(
+        rows, null_safe_join(opened, bounds.select(*within, "_low", "_high"), within) if within else opened, within,
+        None if within else bounds.select("_low", "_high"),
+    )
+    path = "concat(_b, '.', cast(_c as string))" if "_b" in within else "cast(_c as string)"
+    return (
+        found.where(f"array_contains(_bins, {order_bucket(buckets)})")
+        .selectExpr("*", cut)
+        .selectExpr(
+            *[n for n in names if n != "`_b`"], "_v", "_n", *[f"`{c}`" for c in facts],
+            f"{path} as _b", "_froms[cast(array_position(_bins, _c) as int) - 1] as _start",
+        )
+    )
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, within: Sequence[str], more: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of their group; of the only group as scalars of the plan."""
+    if within:
+        return null_safe_join(rows, facts, list(within))
+    for one in (facts, more) if more is not None else (facts,):
+        held = one.select(F.struct(*one.columns).alias("_row")).scalar()
+        rows = rows.withColumn("_row", held).select(*rows.columns, *[F.col("_row")[c].alias(c) for c in one.columns])
+    return rows
 
 
 def exact_quantiles(
@@ -160,8 +202,11 @@ def summarize(
     return exact_quantiles(df, keys, value, probs, stats)
 
 
-def bounded_quantile(value: Column, q: float) -> Column:
-    """Aggregate for values whose domain a filter bounds (see ``MAX_DOMAIN``)."""
+def one_pass_quantile(value: Column, q: float) -> Column:
+    """Aggregate that keeps the distinct values of a group in one task.
+
+    For groups that are small by nature, such as the messages of one slot.
+    """
     return F.percentile(value, F.lit(q))
 
 
@@ -171,26 +216,14 @@ def agg_with_quantiles(
     aggs: Sequence[Column],
     value: str,
     probs: Mapping[str, float],
-    domain: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
-    """Grouped aggregates, also of other columns, plus exact quantiles of one.
-
-    ``domain``: number of distinct values a group can have at most, when a
-    filter proves one; small domains take a single pass.
-    """
-    if domain is not None and domain <= MAX_DOMAIN and weight is None:
-        return df.groupBy(*keys).agg(
-            *aggs, *[bounded_quantile(F.col(value), q).alias(name) for name, q in probs.items()]
-        )
+    """Grouped aggregates, also of other columns, plus exact quantiles of one."""
     found = exact_quantiles(df, keys, value, probs, weight=weight)
     if not aggs:
         return found
     base = df.groupBy(*keys).agg(*aggs)
-    if keys:
-        return null_safe_join(base, found, list(keys), "left")
-    both = null_safe_join(base.withColumn("_all", F.lit(0)), found.withColumn("_all", F.lit(0)), ["_all"], "left")
-    return both.drop("_all")
+    return null_safe_join(base, found, list(keys), "left") if keys else _with_facts(base, found, [])
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.operators.joins import null_safe_join
+
 
 def _bucketed(df: DataFrame, position: str, width: int) -> DataFrame:
     return df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)).cast("bigint"))
@@ -69,23 +71,40 @@ def counter_rate(
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Per-second rate of a rising counter over the last ``window`` seconds, at
-    every multiple of ``step`` that an increase reaches.
+    every multiple of ``step`` from a key's first reading to its last.
 
-    A fall of the counter is a restart: the new reading is the increase.
+    A fall of the counter is a restart: the new reading is the increase.  Where
+    nothing rose in the window the rate is 0.
     """
     keys = list(keys)
     prior = previous_value(df, keys, seconds, counter, "_prior", bucket, ties)
     gain = F.when(F.col(counter) >= F.col("_prior"), F.col(counter) - F.col("_prior")).otherwise(F.col(counter))
-    first = (F.ceil(F.col(seconds) / F.lit(step)) * F.lit(step)).cast("bigint")
+
+    def step_from(position: Column) -> Column:
+        return (F.ceil(position / F.lit(step)) * F.lit(step)).cast("bigint")
+
+    def steps(low: str, high: str) -> Column:
+        return F.explode(F.sequence(low, high, F.lit(step).cast("bigint")))
+
     # An increase at t counts at the steps g with t <= g < t + window.
-    last = ((F.ceil((F.col(seconds) + F.lit(window)) / F.lit(step)) - 1) * F.lit(step)).cast("bigint")
-    return (
+    gains = (
         prior.where(F.col("_prior").isNotNull())
-        .withColumn("_gain", gain)
-        .withColumn("_first", first)
-        .withColumn("_last", last)
-        .where(F.col("_last") >= F.col("_first"))
-        .select(*keys, "_gain", F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("step_at"))
+        .groupBy(
+            *keys,
+            step_from(F.col(seconds)).alias("_low"),
+            (step_from(F.col(seconds) + F.lit(window)) - F.lit(step)).alias("_high"),
+        )
+        .agg(F.sum(gain).alias("_gain"))
+        .where(F.col("_high") >= F.col("_low"))
+        .select(*keys, "_gain", steps("_low", "_high").alias("step_at"))
         .groupBy(*keys, "step_at")
-        .agg((F.sum("_gain") / F.lit(float(window))).alias("rate"))
+        .agg(F.sum("_gain").alias("_gain"))
+    )
+    axis = (
+        df.groupBy(*keys)
+        .agg(step_from(F.min(seconds)).alias("_low"), (F.floor(F.max(seconds) / F.lit(step)) * step).cast("bigint").alias("_high"))
+        .where(F.col("_high") >= F.col("_low"))
+        .select(*keys, steps("_low", "_high").alias("step_at"))
     )
+    rate = F.coalesce(F.col("_gain") / F.lit(float(window)), F.lit(0.0))
+    return null_safe_join(axis, gains, [*keys, "step_at"], "left").select(*keys, "step_at", rate.alias("rate"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import conditional, distinct_count, union_metrics, win_rate, winners
-from slotwise.operators.quantiles import COUNT, HIGH, LOW, MEAN, bounded_quantile, summarize
+from slotwise.operators.quantiles import COUNT, HIGH, LOW, MEAN, one_pass_quantile, summarize
 from slotwise.operators.shares import rank_of_members
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import SLOT_TIME, Tables
@@ -31,14 +31,14 @@ def sightings(t: Tables, period: Period) -> DataFrame:
 
 
 def _in_limit(t: Tables, period: Period) -> DataFrame:
-    """Whole milliseconds from 0 to the limit, so a group has LIMIT_MS + 1 values at most."""
+    """Sightings up to the limit, with their day."""
     return sightings(t, period).where(F.col(SEEN) <= LIMIT_MS).withColumn("day", tp.day(F.col(SLOT_TIME)))
 
 
 def _block_stats(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         conditional(F.min, F.col(SEEN), F.col("node_id") == node).alias("ours"),
-        bounded_quantile(F.col(SEEN), 0.5).alias("middle"),
+        one_pass_quantile(F.col(SEEN), 0.5).alias("middle"),
         F.min(SEEN).alias("fastest"),
         F.avg(SEEN).alias("mean"),
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import dispersion, first_seen, min_sample
-from slotwise.operators.joins import membership_flag
-from slotwise.operators.quantiles import MAX_DOMAIN, bounded_quantile, exact_quantiles
+from slotwise.operators.joins import membership_flag, null_safe_join
+from slotwise.operators.quantiles import COUNT, agg_with_quantiles, exact_quantiles, summarize
 from slotwise.plans.arrivals import BLOCK, SEEN, sightings
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import Tables
@@ -16,7 +16,6 @@ from slotwise.sources.tables import Tables
 # Week, arrival limit, node class, size bins in KiB.
 WEEK = Period("2026-04-25 00:00:00", "2026-05-02 00:00:00")
 LIMIT_MS = 12000
-assert LIMIT_MS <= MAX_DOMAIN
 NODE_CLASS = "individual"
 EDGES_KB = [16, 32, 48, 64, 80, 96, 112, 128, 144, 160, 192, 224]
 STARTS_KB = [0, *EDGES_KB]
@@ -55,31 +54,23 @@ def _dispersed(t: Tables, period: Period) -> DataFrame:
     return dispersion(seen, BLOCK, SEEN, "dispersion_ms", rows=_individual(seen))
 
 
-def _quantile_columns(value: str, names: dict[str, float]) -> list:
-    return [tidy(bounded_quantile(F.col(value), q), 0).alias(n) for n, q in names.items()]
+def _by_size(rows: DataFrame, value: str, probs: dict[str, float], min_observations: int) -> DataFrame:
+    label = range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=True))
+    aggs = [F.avg("post_kb").alias("bin_mid_kb"), F.count("*").alias("observations")]
+    out = agg_with_quantiles(rows.withColumn("bin_label", label), ["bin_label"], aggs, value, probs)
+    out = out.withColumns({c: tidy(c, 0) for c in ("bin_mid_kb", *probs)})
+    return min_sample(out, "observations", min_observations).orderBy("bin_label")
 
 
 def arrival_by_size(t: Tables, period: Period = WEEK, min_observations: int = 1000) -> DataFrame:
     rows = _individual(_seen(t, period)).join(_blocks(t, period), BLOCK)
-    label = range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=True))
-    out = rows.groupBy(label.alias("bin_label")).agg(
-        tidy(F.avg("post_kb"), 0).alias("bin_mid_kb"),
-        F.count("*").alias("observations"),
-        *_quantile_columns(SEEN, {"p50_seen_ms": 0.5, "p95_seen_ms": 0.95, "p99_seen_ms": 0.99}),
-    )
-    return min_sample(out, "observations", min_observations).orderBy("bin_label")
+    return _by_size(rows, SEEN, {"p50_seen_ms": 0.5, "p95_seen_ms": 0.95, "p99_seen_ms": 0.99}, min_observations)
 
 
 def dispersion_by_size(t: Tables, period: Period = WEEK, min_observations: int = 1000) -> DataFrame:
     rows = _dispersed(t, period).join(_blocks(t, period), BLOCK)
-    label = range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=True))
-    names = {"p50_disp_ms": 0.5, "p75_disp_ms": 0.75, "p95_disp_ms": 0.95, "p99_disp_ms": 0.99}
-    out = rows.groupBy(label.alias("bin_label")).agg(
-        tidy(F.avg("post_kb"), 0).alias("bin_mid_kb"),
-        F.count("*").alias("observations"),
-        *_quantile_columns("dispersion_ms", names),
-    )
-    return min_sample(out, "observations", min_observations).orderBy("bin_label")
+    probs = {"p50_disp_ms": 0.5, "p75_disp_ms": 0.75, "p95_disp_ms": 0.95, "p99_disp_ms": 0.99}
+    return _by_size(rows, "dispersion_ms", probs, min_observations)
 
 
 def dispersion_by_size_and_source(t: Tables, period: Period = WEEK, min_observations: int = 200) -> DataFrame:
@@ -87,48 +78,58 @@ def dispersion_by_size_and_source(t: Tables, period: Period = WEEK, min_observat
     blocks = _blocks(t, period).where(F.col("pre_kb").isNotNull())
     blocks = membership_flag(blocks, t.latest("fct_block_mev", period), BLOCK, "_relayed")
     rows = _dispersed(t, period).join(blocks, BLOCK)
-    quantiles = []
-    for side, holds in (("mev", F.col("_relayed")), ("local", ~F.col("_relayed"))):
-        for q in (50, 75, 95, 99):
-            value = F.when(holds, F.col("dispersion_ms"))
-            quantiles.append(tidy(bounded_quantile(value, q / 100), 0).alias(f"{side}_p{q}"))
-    out = rows.groupBy(
+    rows = rows.select(
         range_label(F.col("post_kb"), EDGES_KB, size_labels(numbered=False)).alias("size_bin"),
         range_label(F.col("post_kb"), EDGES_KB, STARTS_KB).alias("sort_key"),
-    ).agg(
+        F.when(F.col("_relayed"), "mev").otherwise("local").alias("side"),
+        "pre_kb",
+        "dispersion_ms",
+    )
+    keys = ["size_bin", "sort_key"]
+    out = rows.groupBy(*keys).agg(
         tidy(F.avg("pre_kb"), 0).alias("avg_pre_kb"),
-        F.count_if(F.col("_relayed")).alias("mev_n"),
-        F.count_if(~F.col("_relayed")).alias("local_n"),
-        *quantiles,
+        F.count_if(F.col("side") == "mev").alias("mev_n"),
+        F.count_if(F.col("side") == "local").alias("local_n"),
+    )
+    levels = (50, 75, 95, 99)
+    found = exact_quantiles(rows, [*keys, "side"], "dispersion_ms", {f"p{q}": q / 100 for q in levels})
+    wide = found.groupBy(*keys).agg(
+        *[
+            tidy(F.max(F.when(F.col("side") == side, F.col(f"p{q}"))), 0).alias(f"{side}_p{q}")
+            for side in ("mev", "local")
+            for q in levels
+        ]
     )
+    out = null_safe_join(out, wide, keys, "left")
     return out.where(F.col("mev_n") + F.col("local_n") >= min_observations).orderBy("sort_key")
 
 
 def headline_by_source(t: Tables, period: Period = WEEK) -> DataFrame:
-    """Block count and central figures per source.
-
-    Sizes and gas have no bounded domain, so their quantiles take the spread form.
-    """
+    """Block count and central figures per source, all from one reading of the joined blocks."""
     blocks = membership_flag(
         t.latest("fct_block_head", period), t.latest("fct_block_mev", period), BLOCK, "_relayed"
     ).withColumn("source", F.when(F.col("_relayed"), "MEV-Boost").otherwise("Local"))
     rows = blocks.join(first_seen(_seen(t, period), BLOCK, SEEN, "t_first"), BLOCK)
-    out = rows.groupBy("source").agg(
-        F.count("*").alias("blocks"),
-        *_quantile_columns("t_first", {"p50_t_first_ms": 0.5, "p95_t_first_ms": 0.95}),
-    )
-    pre = exact_quantiles(rows, ["source"], "block_total_bytes", {"_pre50": 0.5, "_pre95": 0.95})
-    post = exact_quantiles(rows, ["source"], "block_total_bytes_compressed", {"_post50": 0.5})
-    gas = exact_quantiles(rows, ["source"], "execution_payload_gas_used", {"_gas50": 0.5})
-    for side in (pre, post, gas):
-        out = out.join(side, "source", "left")
-    return out.select(
+    # A row counts once as a block and gives one value to each measure.
+    measures = rows.select(
         "source",
-        "blocks",
-        tidy(F.col("_pre50") / 1024, 0).alias("p50_pre_kb"),
-        tidy(F.col("_post50") / 1024, 0).alias("p50_post_kb"),
-        tidy(F.col("_pre95") / 1024, 0).alias("p95_pre_kb"),
-        tidy(F.col("_gas50") / 1e6, 1).alias("p50_gas_M"),
-        "p50_t_first_ms",
-        "p95_t_first_ms",
+        F.expr(
+            """stack(5, 'blocks', 1D, 'pre', cast(block_total_bytes as double),
+            'post', cast(block_total_bytes_compressed as double), 'gas', cast(execution_payload_gas_used as double),
+            'first', cast(t_first as double)) as (measure, value)"""
+        ),
+    )
+    found = summarize(measures, ["source", "measure"], "value", {"p50": 0.5, "p95": 0.95}, values=COUNT)
+
+    def of(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+
+    return found.groupBy("source").agg(
+        of("blocks", "values").alias("blocks"),
+        tidy(of("pre", "p50") / 1024, 0).alias("p50_pre_kb"),
+        tidy(of("post", "p50") / 1024, 0).alias("p50_post_kb"),
+        tidy(of("pre", "p95") / 1024, 0).alias("p95_pre_kb"),
+        tidy(of("gas", "p50") / 1e6, 1).alias("p50_gas_M"),
+        tidy(of("first", "p50"), 0).alias("p50_t_first_ms"),
+        tidy(of("first", "p95"), 0).alias("p95_t_first_ms"),
     ).orderBy("source")

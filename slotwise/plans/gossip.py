@@ -9,7 +9,7 @@ from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import blank_default, histogram_bin, label_like, percentage, position_in, range_label, tidy
 from slotwise.operators.aggregates import min_sample, novel_vs_repeat
 from slotwise.operators.joins import shifted_join
-from slotwise.operators.quantiles import agg_with_quantiles, bounded_quantile
+from slotwise.operators.quantiles import agg_with_quantiles, one_pass_quantile
 from slotwise.operators.shares import share_in_group
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import Tables
@@ -81,9 +81,9 @@ def _slot_status(t: Tables, period: Period, seconds: tuple[int, int]) -> DataFra
 def tail_vs_next_block(t: Tables, period: Period = DAY) -> DataFrame:
     """Median tail arrival of slot N next to median block arrival of slot N + 1."""
     diff = F.col("propagation_slot_start_diff")
-    tail = _messages(t, period, *TAIL).groupBy("slot").agg(tidy(bounded_quantile(diff, 0.5)).alias("tail_p50"))
+    tail = _messages(t, period, *TAIL).groupBy("slot").agg(tidy(one_pass_quantile(diff, 0.5)).alias("tail_p50"))
     blocks = t.window("libp2p_gossipsub_beacon_block", period).where(diff.between(0, 12000))
-    nxt = blocks.groupBy("slot").agg(tidy(bounded_quantile(diff, 0.5)).alias("next_block_p50"))
+    nxt = blocks.groupBy("slot").agg(tidy(one_pass_quantile(diff, 0.5)).alias("next_block_p50"))
     return shifted_join(tail, nxt, "slot", 1).select("slot", "tail_p50", "next_block_p50").orderBy("slot")
 
 
@@ -132,10 +132,7 @@ def behind_state_behaviour(t: Tables, period: Period = QUARTER_HOUR, seconds: tu
 
 
 def peer_tail_box(t: Tables, period: Period = DAY, min_messages: int = 100) -> DataFrame:
-    """Quantiles over peers of the tail share, per client.
-
-    Shares are rounded to one digit, so a client has at most 1001 values.
-    """
+    """Quantiles over peers of the tail share, per client."""
     volume = _per_peer_volume(_messages(t, period, PEAK[0], TAIL[1]))
     total = F.col("peak") + F.col("tail")
     peers = volume.where(total >= min_messages).withColumn("tail_pct", percentage(F.col("tail"), total, 1))
@@ -147,7 +144,6 @@ def peer_tail_box(t: Tables, period: Period = DAY, min_messages: int = 100) -> D
         [F.count("*").alias("peer_count")],
         "tail_pct",
         probs,
-        domain=1001,
     )
     return out.withColumns({p: tidy(p, 1) for p in probs}).orderBy(F.col("median").desc(), "client")
 

@@ -17,7 +17,9 @@ from slotwise.plans.outcomes import CLIENT_PATTERN
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import EVENT_TIME, Tables
 
-# Machine class in node names, ranges in milliseconds, days.
+# Inner observer, machine class in node names, ranges in milliseconds, days, column names.
+SOURCE = "ENGINE_SOURCE_SNOOPER"
+DAY_COLUMNS = ("jan15_no_snooper_ms", "jan16_with_snooper_ms")
 NODE_PATTERN = "%7870%"
 RANGE_EDGES = [0, 2, 4, 6, 8, 10, 15, 20, 50]
 RANGE_LABELS = ["< 0", "0-2", "2-4", "4-6", "6-8", "8-10", "10-15", "15-20", "20-50", "50+"]
@@ -88,7 +90,7 @@ def day_comparison(
     after: str = "2026-01-16",
     period: Period = TWO_DAYS,
     node_pattern: str | None = NODE_PATTERN,
-    names: tuple[str, str] = ("before_ms", "after_ms"),
+    names: tuple[str, str] = DAY_COLUMNS,
 ) -> DataFrame:
     """Mean duration per client on two days, difference and change in percent."""
     rows = t.window("consensus_engine_api_get_blobs", period, EVENT_TIME)
@@ -110,7 +112,7 @@ def day_comparison(
 
 
 def difference_by_client(
-    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = None
+    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = SOURCE
 ) -> DataFrame:
     rows = _calls(t, period, node_pattern, source).withColumn("el_client", _client())
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95, "p99_overhead_ms": 0.99}
@@ -128,7 +130,7 @@ def difference_by_client(
 
 
 def difference_hourly(
-    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = None
+    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = SOURCE
 ) -> DataFrame:
     rows = _calls(t, period, node_pattern, source).withColumn("el_client", _client())
     keys, probs = ["hour", "el_client"], {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}
@@ -141,7 +143,7 @@ def difference_hourly(
 
 
 def difference_ranges(
-    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = None
+    t: Tables, period: Period = CALL_DAY, node_pattern: str | None = NODE_PATTERN, source: str | None = SOURCE
 ) -> DataFrame:
     label = range_label(F.col("overhead"), RANGE_EDGES, RANGE_LABELS).alias("overhead_range")
     counted = _calls(t, period, node_pattern, source).groupBy(label).agg(_count().alias("calls"))

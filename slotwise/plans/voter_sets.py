@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage, range_label, ratio
 from slotwise.operators.aggregates import distinct_count
+from slotwise.operators.joins import null_safe_join
 from slotwise.operators.quantiles import COUNT, HIGH, MEAN, agg_with_quantiles, summarize, values_at_ranks
+from slotwise.operators.ranges import next_after
 from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import share_of_total
 
@@ -121,15 +123,36 @@ def agreement_matrix(df: DataFrame, left: Column, right: Column, names: tuple[st
 
 
 def first_inclusion(
-    subjects: DataFrame, events: DataFrame, key: str, start: str, at: str, delay: Column, out: str = "delay"
+    subjects: DataFrame, events: DataFrame, keys: Sequence[str], start: str, at: str, delay: Column
 ) -> DataFrame:
-    """Per subject the first event after its start and the delay; NULL without one.
+    """Per subject the first event of its keys after its start, and the delay; NULL without one.
 
-    Events are reduced to distinct (key, time) before the join.
+    ``start`` and ``at`` are whole numbers (slots, days).  Each subject is asked for its
+    own start, by an ordered lookup: subjects of one key never meet all its events.
     """
-    times = events.select(key, at).distinct()
-    later = subjects.join(times, key).where(F.col(at) > F.col(start)).groupBy(key).agg(F.min(at).alias(at))
-    return subjects.join(later, key, "left").withColumn(out, delay)
+    keys = list(keys)
+    found = next_after(subjects, events, start, at, at, keys)
+    asked = subjects.withColumn(start, F.col(start).cast("bigint"))
+    return null_safe_join(asked, found, [*keys, start], "left").withColumn("delay", delay)
+
+
+def first_following_share(
+    subjects: DataFrame, events: DataFrame, members: DataFrame, start: str, at: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per start, how many of its members stand in the first event after it.
+
+    ``subjects`` has (start, keys); ``events`` the times ``at`` at which anything was
+    included at all; ``members`` (start, keys, at) the times at which members of a start
+    were.  ``included`` counts those at the first event; members are counted once.
+    """
+    keys = list(keys)
+    total = subjects.groupBy(start).agg(F.count("*").alias("members"))
+    first = next_after(total, events, start, at, "first_at")
+    met = members.select(start, *keys, at).distinct()
+    hits = met.join(first, start).where(F.col(at) == F.col("first_at")).groupBy(start).agg(F.count("*").alias("included"))
+    out = total.join(first, start, "left").join(hits, start, "left")
+    out = out.withColumn("included", F.coalesce("included", F.lit(0)))
+    return out.withColumn("included_share", percentage(F.col("included"), F.col("members"), 4))
 
 
 def inclusion_report(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,13 +77,8 @@ class ResultStore:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor sees: the one named in ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) is a folder of our own made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor sees: the one named in ``spark.checkpoint.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="slotwise-")
+    return named.rstrip("/")

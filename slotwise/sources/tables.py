@@ -68,10 +68,13 @@ class Tables(dict):
     """DataFrames by table name, with the two ways the analyses read them."""
 
     network = "mainnet"
+    source = ""  # what the tables were made from, for fingerprints of results
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: Sequence[str] = tuple(SPECS)) -> Tables:
-        return cls({name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names})
+        tables = cls({name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names})
+        tables.source = root.rstrip("/")
+        return tables
 
     def window(self, name: str, period: Period | None = None, time: str | None = None) -> DataFrame:
         return scan_window(self[name], time or SPECS[name].time, period, self.network)

@@ -4,6 +4,7 @@ A share of them runs by default; FULL_PARITY=1 runs all.
 """
 
 import os
+import re
 
 import pytest
 
@@ -15,7 +16,7 @@ conditional_quantiles_ag5 residual_group_ag13 novel_vs_repeat_ag18 rank_percenti
 time_to_share_pa3 recovery_time_pa9 record_diff_pa10 counter_rate_pa13 gossip_behind_state_behaviour sentinel_by_entity
 outcome_by_source element_summary_by_submitter observer_difference_by_client dispersion_by_size_and_source
 attester_accuracy arrival_rank_daily stale_parents_by_group score_vote_impact callers_bn128 cpu_intra_slot""".split()
-NAMES = sorted(contract.queries()) if os.environ.get("FULL_PARITY") else QUICK
+NAMES = sorted(contract.oracle_sql()) if os.environ.get("FULL_PARITY") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +25,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_check_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
-    assert len(contract.queries()) >= 200
+    """But the training-data queries that SQL cannot express; tests/llm holds those against brute force."""
+    without = set(contract.queries()) - set(contract.oracle_sql())
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in without)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) and len(contract.oracle_sql()) >= 200
 
 
 def test_entry(spark):
@@ -39,9 +42,19 @@ def test_parity(spark, sf_dir, con, name):
     assert difference(got, df.columns, con, contract.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["stale_parents_daily", "arrival_win_rate_daily", "element_totals", "operation_ranking"])
-def test_plans_stay_in_the_engine(spark, sf_dir, name):
-    df = contract.queries()[name](spark, sf_dir)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
+IN_ENGINE = """stale_parents_daily arrival_win_rate_daily element_totals operation_ranking global_agg_ag12
+arrival_percentiles overlap_summary_pa1""".split()
+
+
+@pytest.mark.parametrize("name", IN_ENGINE)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_plans_stay_in_the_engine(spark, sf_dir, name, broadcast):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = contract.queries()[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert not any(word in plan for word in ("NestedLoop", "Cartesian", "PythonUDF", "ArrowEval", "BatchEval"))

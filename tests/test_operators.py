@@ -95,7 +95,15 @@ def test_running_total_and_previous_value_across_buckets(spark):
 def test_counter_restart_counts_the_new_reading(spark):
     df = spark.createDataFrame([("a", 0, 10.0), ("a", 60, 40.0), ("a", 120, 5.0)], "k string, t bigint, c double")
     out = rows(series.counter_rate(df, ["k"], "t", "c", window=120, step=60))
-    assert out == [("a", 60, 30 / 120), ("a", 120, 35 / 120), ("a", 180, 5 / 120)]
+    assert out == [("a", 0, 0.0), ("a", 60, 30 / 120), ("a", 120, 35 / 120)]
+
+
+def test_flat_stretches_have_rate_zero(spark):
+    data = [("a", t, c) for t, c in [(0, 5.0), (60, 5.0), (120, 11.0), (180, 11.0), (600, 11.0)]]
+    df = spark.createDataFrame(data, "k string, t bigint, c double")
+    out = rows(series.counter_rate(df, ["k"], "t", "c", window=120, step=60))
+    assert [r[1] for r in out] == list(range(0, 601, 60))
+    assert {r[1]: r[2] for r in out if r[2]} == {120: 6 / 120, 180: 6 / 120}
 
 
 def test_pivot_dense_axis_and_totals(spark):

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import rows
-from slotwise.plans import block_size, call_frames, catalogue, gossip, measures, parents, records, scores, voter_sets, votes
+from slotwise.plans import block_size, call_frames, catalogue, gossip, measures, observers, parents, records, scores, voter_sets, votes
 from slotwise.plans.refresh import refresh
 from slotwise.sources import Period, ResultStore
 from slotwise.sources.tables import Tables
@@ -227,3 +227,71 @@ def test_catalogue_is_complete_and_refreshes(spark, sf_dir, tmp_path):
     names = ["cpu_reference_figures", "reorgs_daily"]
     assert refresh(spark, DerivedTables(spark, sf_dir), store, "2026-01-01", names) == names
     assert spark.table("result_cpu_reference_figures").count() == 6
+
+
+def test_refresh_makes_results_of_other_tables_anew(spark, tmp_path):
+    def tables(source, n):
+        day = spark.range(n).select(F.lit("2026-01-01").cast("date").alias("day_start_date"), F.lit(2).alias("depth"))
+        t = Tables({"fct_reorg_daily": day.withColumns({"reorg_count": F.lit(n), "meta_network_name": F.lit("mainnet")})})
+        t.source = source
+        return t
+
+    class Counting(ResultStore):
+        made = 0
+
+        def materialize(self, text, build=None, file_name=""):
+            self.made += not self.stored(text)
+            return spark.range(1)
+
+        def stored(self, text):
+            seen = text in self.texts
+            self.texts.add(text)
+            return seen
+
+    store = Counting(spark, str(tmp_path))
+    store.texts = set()
+    for source, network, params in [("a", "mainnet", {}), ("b", "mainnet", {}), ("b", "other", {}), ("b", "other", {"x": 1})] * 2:
+        t = tables(source, 1)
+        t.network = network
+        refresh(spark, t, store, "2026-01-01", ["reorgs_daily"], {"reorgs_daily": params})
+    assert store.made == 4
+
+
+def test_inclusion_answers_each_subject_of_a_key(spark):
+    subjects = spark.createDataFrame([("a", 1, 1), ("a", 1, 5), ("a", 2, 5), ("a", 1, 10), (None, 1, 0)], "k string, s int, at0 bigint")
+    events = spark.createDataFrame([("a", 1, 2), ("a", 1, 10), ("a", 2, 9), ("b", 1, 3)], "k string, s int, at1 bigint")
+    out = voter_sets.first_inclusion(subjects, events, ["k", "s"], "at0", "at1", F.col("at1") - F.col("at0"))
+    got = {(r["k"], r["s"], r["at0"]): r["delay"] for r in out.collect()}
+    assert got == {("a", 1, 1): 1, ("a", 1, 5): 5, ("a", 2, 5): 4, ("a", 1, 10): None, (None, 1, 0): None}
+
+
+def test_share_in_the_first_following_event(spark):
+    subjects = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (4, "x")], "slot bigint, voter string")
+    events = spark.createDataFrame([(1,), (3,), (4,)], "included bigint")
+    members = spark.createDataFrame([(1, "x", 3), (1, "x", 3), (1, "y", 4), (1, "z", 3)], "slot bigint, voter string, included bigint")
+    out = voter_sets.first_following_share(
+        subjects, events.withColumnRenamed("included", "at"), members.withColumnRenamed("included", "at"), "slot", "at", ["voter"]
+    )
+    got = {r["slot"]: (r["members"], r["first_at"], r["included"], r["included_share"]) for r in out.collect()}
+    assert got == {1: (3, 3, 2, 66.6667), 4: (1, None, 0, 0.0)}
+
+
+def test_call_differences_keep_the_published_observer(spark):
+    hour = F.lit("2026-01-26 05:00:00").cast("timestamp")
+
+    def calls(rows, schema):
+        base = {"meta_network_name": F.lit("mainnet"), "meta_client_name": F.lit("n-geth-7870-1"), "event_date_time": hour}
+        return spark.createDataFrame(rows, schema).withColumns(base)
+
+    outer = calls([("h1", 30), ("h2", 50)], "block_hash string, duration_ms bigint")
+    inner = [("h1", 10, observers.SOURCE), ("h2", 20, observers.SOURCE)]
+    results = []
+    for more in ([], [("h1", 500, "ENGINE_SOURCE_OTHER"), ("h2", 1, None)]):
+        t = Tables(
+            {
+                "execution_engine_new_payload": calls(inner + more, "block_hash string, duration_ms bigint, source string"),
+                "consensus_engine_api_new_payload": outer,
+            }
+        )
+        results.append([rows(f(t)) for f in (observers.difference_by_client, observers.difference_hourly, observers.difference_ranges)])
+    assert results[0] == results[1] and all(results[0])

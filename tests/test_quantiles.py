@@ -52,12 +52,32 @@ def test_weights_stand_for_repeated_rows(spark):
     assert (got["m"], got["q"]) == (np.quantile(plain, 0.5), np.quantile(plain, 0.9))
 
 
-def test_bounded_domain_takes_one_pass(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("v"))
-    one = Q.agg_with_quantiles(df, ["k"], [F.count("*").alias("n")], "v", {"m": 0.5}, domain=50)
-    spread = Q.agg_with_quantiles(df, ["k"], [F.count("*").alias("n")], "v", {"m": 0.5})
-    assert rows(one) == rows(spread)
-    assert "Join" not in final_plan(one)
+def test_without_keys_no_nested_loop(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 500).cast("double").alias("v"), F.lit(2).alias("w"))
+    out = Q.summarize(df, [], "v", {"m": 0.5, "q": 0.9}, n=Q.COUNT, top=Q.HIGH)
+    values = [i * 7 % 500 for i in range(1000)]
+    assert rows(out.select("m", "q", "n", "top")) == [(np.quantile(values, 0.5), np.quantile(values, 0.9), 1000, 499.0)]
+    assert not any(word in final_plan(out) for word in ("NestedLoop", "Cartesian"))
+    both = Q.agg_with_quantiles(df, [], [F.sum("w").alias("s")], "v", {"m": 0.5})
+    assert rows(both) == [(2000, np.quantile(values, 0.5))]
+
+
+def test_far_outliers_leave_no_large_bucket(spark):
+    """A bulk of near values between two far outliers is cut again; no sorted bucket holds much of it."""
+    bulk = 20_000
+    df = spark.range(bulk).select((1000 + F.col("id") / 100).alias("v")).union(
+        spark.createDataFrame([(-1e9,), (1e9,)], "v double")
+    )
+    values = np.array([1000 + i / 100 for i in range(bulk)] + [-1e9, 1e9])
+    got = Q.exact_quantiles(df, [], "v", PROBS).first()
+    assert all(got[name] == pytest.approx(float(np.quantile(values, q)), rel=1e-12) for name, q in PROBS.items())
+    counted = df.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    bounds = counted.agg(*Q._extremes(), F.sum("_n").alias("_total")).withColumn("_start", F.lit(0).cast("bigint"))
+    ranks = {"m": "floor(_total / 2)"}
+    once = Q._opened(counted, bounds, [], ["_total"], ranks, Q.BUCKETS)
+    again = once.groupBy("_b").agg(*Q._extremes(), *Q._kept(["_total", "_start"]))
+    twice = Q._opened(once.select("_b", "_v", "_n"), again, ["_b"], ["_total"], ranks, Q.BUCKETS)
+    assert twice.count() <= bulk // 500 < once.count()
 
 
 def test_bucket_never_falls(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import final_plan, planned, rows
@@ -74,4 +75,12 @@ def test_shared_root_follows_the_session(spark):
                 return "/shared/folder/" if key == "spark.checkpoint.dir" else default
 
     assert shared_root(Named) == "/shared/folder"
-    assert shared_root(spark).startswith("/tmp/")
+
+    class Unnamed:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Unnamed)
