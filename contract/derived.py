@@ -24,11 +24,15 @@ DIALECTS = {
         "ms": lambda x: f"timestamp_millis(cast({x} as bigint))",
         "list": lambda *xs: f"array({', '.join(xs)})",
         "none": lambda: "cast(array() as array<string>)",
+        "each": lambda *xs: f"explode(array({', '.join(xs)}))",
+        "without": lambda *xs: f"* except ({', '.join(xs)})",
     },
     "duckdb": {
         "ms": lambda x: f"epoch_ms(cast({x} as bigint))",
         "list": lambda *xs: f"[{', '.join(xs)}]",
         "none": lambda: "cast([] as varchar[])",
+        "each": lambda *xs: f"unnest([{', '.join(xs)}])",
+        "without": lambda *xs: f"* exclude ({', '.join(xs)})",
     },
 }
 
@@ -37,6 +41,19 @@ ENGINES = ["geth", "besu", "nethermind", "reth", "erigon", "ethrex"]
 AGENTS = ["prysm", "lighthouse", "erigon", "teku", "nimbus", "lodestar", "grandine", "prysm-dev", "rust", ""]
 
 
+# Tables with two versions of every key: a column and what its older version said.
+OLDER = {
+    "fct_block": ("status", "'pending'"),
+    "fct_block_head": ("block_total_bytes", "block_total_bytes + 4096"),
+    "fct_block_mev": ("block_root", "block_root"),
+    "fct_block_proposer_entity": ("entity", "'unassigned'"),
+    "fct_block_blob_count_head": ("blob_count", "blob_count + 1"),
+    "fct_attestation_correctness_head": ("votes_head", "cast(0 as bigint)"),
+    "fct_engine_new_payload_by_el_client": ("avg_duration_ms", "avg_duration_ms + 1000"),
+}
+NEWEST_MS, DAY_MS = 1_780_000_000_000, 86_400_000
+
+
 def _case(expr: str, values: list[str], last: str | None = None) -> str:
     whens = " ".join(f"when {i} then '{v}'" for i, v in enumerate(values))
     tail = "" if last is None else f" else {last}"
@@ -45,6 +62,16 @@ def _case(expr: str, values: list[str], last: str | None = None) -> str:
 
 def texts(dialect: str) -> dict[str, str]:
     """SELECT of each derived table; base tables stand in braces."""
+    d, out = DIALECTS[dialect], _newest(dialect)
+    for name, (column, older) in OLDER.items():
+        out[name] = f"""
+            select {d['without'](column, 'age')}, case when age = 1 then {older} else {column} end as {column},
+                   {d['ms'](f'{NEWEST_MS} - age * {DAY_MS}')} as {VERSION}
+            from (select *, {d['each']('0', '1')} as age from ({out[name]}) as latest) as versions"""
+    return out
+
+
+def _newest(dialect: str) -> dict[str, str]:
     d = DIALECTS[dialect]
 
     def slot_ms(slot: str) -> str:
@@ -274,7 +301,11 @@ def duckdb_ctes(names) -> str:
     for name in names:
         base = name.removesuffix("_final")
         if base not in [n for n, _ in out]:
-            out.append((base, all_texts[base].format(**{b: b for b in BASE_TABLES})))
+            text = all_texts[base].format(**{b: b for b in BASE_TABLES})
+            if base in OLDER:  # the check reads the newest row per key
+                keys = ", ".join(SPECS[base].keys)
+                text = f"select * from ({text}) qualify row_number() over (partition by {keys} order by {VERSION} desc) = 1"
+            out.append((base, text))
         if name.endswith("_final"):
             spec = SPECS[base]
             text = f"select * from {base}"

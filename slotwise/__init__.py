@@ -4,5 +4,4 @@
 ``functions``  column expressions: labels, buckets, time parts, arrays
 ``operators``  DataFrame -> DataFrame building blocks
 ``plans``      the composed analyses and the catalogue that names them
-``streaming``  nothing: every analysis is a batch over a closed time range
 """

@@ -26,7 +26,15 @@ AGENTS = [
     ("%lodestar%", "Lodestar"),
     ("%grandine%", "Grandine"),
 ]
-AGENTS_PER_PEER = [AGENTS[i] for i in (0, 1, 3, 2, 4, 5, 6)]
+AGENTS_PER_PEER = [
+    ("%prysm%", "Prysm"),
+    ("%lighthouse%", "Lighthouse"),
+    ("%teku%", "Teku"),
+    ("%erigon%", "Erigon"),
+    ("%nimbus%", "Nimbus"),
+    ("%lodestar%", "Lodestar"),
+    ("%grandine%", "Grandine"),
+]
 SLOW_AGENT = "%prysm%"
 STATES = ["Had block", "Caught behind"]
 BEHAVIOURS = ["Sent nothing", "Only peak", "Peak and tail", "Only tail"]
