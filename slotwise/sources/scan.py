@@ -29,7 +29,9 @@ def scan_window(
     Plain comparisons with literals, so they reach the parquet scan and prune
     date partitions.
     """
-    if network is not None and network_col in df.columns:
+    if network is not None:
+        if network_col not in df.columns:
+            raise ValueError(f"no column {network_col} to keep network {network!r} by")
         df = df.where(F.col(network_col) == network)
     if period is None:
         return df

@@ -1,7 +1,7 @@
 """The event tables the analyses read: time column, key and version.
 
-A user hands in DataFrames by table name.  Tables without the version column
-are taken as already reduced to one row per key.
+A user hands in DataFrames by table name.  A column that a table's spec declares must be
+there; ``Tables.reduced`` says that keyed tables hold one row per key already.
 """
 
 from __future__ import annotations
@@ -23,23 +23,24 @@ class TableSpec:
     time: str | None
     keys: tuple[str, ...] = ()
     ties: tuple[str, ...] = ()
+    network: bool = False  # rows of several networks
 
 
 SPECS = {
     # Raw events, read as they are.
-    "libp2p_gossipsub_aggregate_and_proof": TableSpec(SLOT_TIME),
-    "libp2p_gossipsub_beacon_block": TableSpec(SLOT_TIME),
-    "libp2p_synthetic_heartbeat": TableSpec(EVENT_TIME),
-    "libp2p_handle_status": TableSpec(EVENT_TIME),
-    "canonical_beacon_block_execution_transaction": TableSpec(SLOT_TIME),
-    "blob_submitter": TableSpec(None),
-    "consensus_engine_api_get_blobs": TableSpec(SLOT_TIME),
-    "execution_engine_get_blobs": TableSpec(EVENT_TIME),
-    "consensus_engine_api_new_payload": TableSpec(None),
-    "execution_engine_new_payload": TableSpec(EVENT_TIME),
-    "beacon_api_eth_v1_events_head": TableSpec(SLOT_TIME),
-    "mev_relay_proposer_payload_delivered": TableSpec(SLOT_TIME),
-    "cpu_utilization": TableSpec("window_start"),
+    "libp2p_gossipsub_aggregate_and_proof": TableSpec(SLOT_TIME, network=True),
+    "libp2p_gossipsub_beacon_block": TableSpec(SLOT_TIME, network=True),
+    "libp2p_synthetic_heartbeat": TableSpec(EVENT_TIME, network=True),
+    "libp2p_handle_status": TableSpec(EVENT_TIME, network=True),
+    "canonical_beacon_block_execution_transaction": TableSpec(SLOT_TIME, network=True),
+    "blob_submitter": TableSpec(None, network=True),
+    "consensus_engine_api_get_blobs": TableSpec(SLOT_TIME, network=True),
+    "execution_engine_get_blobs": TableSpec(EVENT_TIME, network=True),
+    "consensus_engine_api_new_payload": TableSpec(None, network=True),
+    "execution_engine_new_payload": TableSpec(EVENT_TIME, network=True),
+    "beacon_api_eth_v1_events_head": TableSpec(SLOT_TIME, network=True),
+    "mev_relay_proposer_payload_delivered": TableSpec(SLOT_TIME, network=True),
+    "cpu_utilization": TableSpec("window_start", network=True),
     # Pre-aggregated tables, newest row per key.
     "fct_block": TableSpec(SLOT_TIME, ("slot", "block_root")),
     "fct_block_head": TableSpec(SLOT_TIME, ("slot", "block_root")),
@@ -68,6 +69,7 @@ class Tables(dict):
     """DataFrames by table name, with the two ways the analyses read them."""
 
     network = "mainnet"
+    reduced = False
     source = ""  # what the tables were made from, for fingerprints of results
 
     @classmethod
@@ -77,7 +79,8 @@ class Tables(dict):
         return tables
 
     def window(self, name: str, period: Period | None = None, time: str | None = None) -> DataFrame:
-        return scan_window(self[name], time or SPECS[name].time, period, self.network)
+        network = self.network if SPECS[name].network else None
+        return scan_window(self[name], time or SPECS[name].time, period, network)
 
     def latest(self, name: str, period: Period | None = None) -> DataFrame:
         """Newest row per key in the period.
@@ -87,6 +90,8 @@ class Tables(dict):
         """
         spec = SPECS[name]
         df = self[name] if spec.time is None else self.window(name, period)
-        if VERSION not in df.columns:
+        if self.reduced or not spec.keys:
             return df
+        if VERSION not in df.columns:
+            raise ValueError(f"{name} has no column {VERSION}; set reduced if it holds one row per key")
         return latest_version(df, spec.keys, VERSION, spec.ties)

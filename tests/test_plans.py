@@ -11,6 +11,12 @@ from slotwise.sources.tables import Tables
 ALL = Period()
 
 
+class Reduced(Tables):
+    """Tables of one network that hold one row per key."""
+
+    reduced, network = True, None
+
+
 def _chain(spark):
     """Slots 1..8: 4 missed, 5 on 3 (only a missed slot between), 6 orphaned on 5,
     7 on 5, 8 built on 3 although 5 and 7 are canonical."""
@@ -29,7 +35,7 @@ def _chain(spark):
         [(2, "lido"), (3, None), (5, "csm_operator7_lido"), (6, "solo_stakers"), (8, "a_lido")], "slot bigint, entity string"
     )
     entities = entities.withColumn("slot_start_date_time", F.timestamp_seconds(1606824023 + F.col("slot") * 12))
-    return Tables({"fct_block": df, "fct_block_proposer_entity": entities})
+    return Reduced({"fct_block": df, "fct_block_proposer_entity": entities})
 
 
 def test_missed_slots_are_not_stale_parents(spark):
@@ -64,7 +70,7 @@ def _arrivals(spark, per_entity):
     at = F.timestamp_seconds(1606824023 + F.col("slot") * 12)
     s = spark.createDataFrame(seen, "slot bigint, block_root string, node_id string, seen_slot_start_diff bigint")
     e = spark.createDataFrame(entity, "slot bigint, entity string")
-    return Tables(
+    return Reduced(
         {
             "fct_block_first_seen_by_node": s.withColumn("slot_start_date_time", at),
             "fct_block_proposer_entity": e.withColumn("slot_start_date_time", at),
@@ -106,7 +112,7 @@ def test_callers_join_reduced_frames(spark):
         "block_number bigint, transaction_hash string, call_frame_id bigint, parent_call_frame_id bigint, "
         "depth int, target_address string, opcode_count bigint, gas bigint, updated_date_time int"
     )
-    t = Tables({"int_transaction_call_frame": spark.createDataFrame(frames, schema)})
+    t = Reduced({"int_transaction_call_frame": spark.createDataFrame(frames, schema)})
     got = rows(call_frames.callers(t, [5], blocks=(1, 1), count="modexp_calls"))
     assert got == [("0xcaller", 2, 120, 60.0, 50, 70)]
 
@@ -132,7 +138,7 @@ def test_behind_peers(spark):
         [(1, 1, 5000), (1, 1, 13000), (2, 1, 11500), (2, 9, 5000)],
         "peer_id_unique_key bigint, slot bigint, propagation_slot_start_diff bigint",
     ).withColumn("slot_start_date_time", F.timestamp_seconds(genesis + F.col("slot") * 12))
-    t = Tables(
+    t = Reduced(
         {
             "libp2p_handle_status": s,
             "libp2p_synthetic_heartbeat": beats,
@@ -156,7 +162,7 @@ def test_vote_groups_take_the_newest_known_source(spark):
     votes_df = spark.createDataFrame(
         [(1, 1, 0), (1, 2, 0), (2, 1, 3), (2, 2, None)], "slot bigint, attesting_validator_index bigint, slot_distance bigint"
     ).withColumn("slot_start_date_time", F.timestamp_seconds(F.lit(1606824023)))
-    t = Tables({"dim_node": nodes, "fct_attestation_correctness_by_validator_head": votes_df})
+    t = Reduced({"dim_node": nodes, "fct_attestation_correctness_by_validator_head": votes_df})
     got = rows(votes.attester_accuracy(t, ALL))
     assert got == [("Other", 1, 1, 100.0), ("Solo Stakers", 1, 2, 50.0)]
 
@@ -232,7 +238,7 @@ def test_catalogue_is_complete_and_refreshes(spark, sf_dir, tmp_path):
 def test_refresh_makes_results_of_other_tables_anew(spark, tmp_path):
     def tables(source, n):
         day = spark.range(n).select(F.lit("2026-01-01").cast("date").alias("day_start_date"), F.lit(2).alias("depth"))
-        t = Tables({"fct_reorg_daily": day.withColumns({"reorg_count": F.lit(n), "meta_network_name": F.lit("mainnet")})})
+        t = Reduced({"fct_reorg_daily": day.withColumns({"reorg_count": F.lit(n), "meta_network_name": F.lit("mainnet")})})
         t.source = source
         return t
 
@@ -287,7 +293,7 @@ def test_call_differences_keep_the_published_observer(spark):
     inner = [("h1", 10, observers.SOURCE), ("h2", 20, observers.SOURCE)]
     results = []
     for more in ([], [("h1", 500, "ENGINE_SOURCE_OTHER"), ("h2", 1, None)]):
-        t = Tables(
+        t = Reduced(
             {
                 "execution_engine_new_payload": calls(inner + more, "block_hash string, duration_ms bigint, source string"),
                 "consensus_engine_api_new_payload": outer,

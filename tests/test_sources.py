@@ -30,12 +30,18 @@ def test_period_is_half_open_and_reaches_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
 
 
-def test_versioned_read_without_version_column_is_the_table(spark):
+def test_declared_columns_must_be_there(spark):
     df = spark.createDataFrame([(1, "r"), (1, "r")], "slot bigint, block_root string")
-    assert Tables({"fct_block_blob_count_head": df}).latest("fct_block_blob_count_head").count() == 2
+    t = Tables({"fct_block_blob_count_head": df, "blob_submitter": df})
+    with pytest.raises(ValueError, match="updated_date_time"):
+        t.latest("fct_block_blob_count_head")
+    with pytest.raises(ValueError, match="meta_network_name"):
+        t.window("blob_submitter")
+    t.reduced, t.network = True, None
+    assert t.latest("fct_block_blob_count_head").count() == 2 == t.window("blob_submitter").count()
 
 
-def test_network_filter_only_where_the_column_exists(spark):
+def test_network_filter(spark):
     df = spark.createDataFrame([("mainnet", 1), ("other", 2)], "meta_network_name string, v int")
     assert Tables({"blob_submitter": df}).window("blob_submitter").count() == 1
 
