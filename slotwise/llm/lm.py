@@ -29,9 +29,6 @@ occur; further columns are not read.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.hashing import U, mix, odd_numbers, words_of
-from slotwise.llm.store import in_small_batches, written
+from slotwise.llm.store import in_small_batches, new_path, written
 
 END = U(0x5851F42D4C957F2D)  # the end token's fingerprint
 BITS, PROBES, MU = 12, 6, 3.0
@@ -195,18 +192,23 @@ def _columns(kind: int, part: int, keys: bytes, counts: bytes, tokens: int, type
 
 
 def _sent_filter(sections: DataFrame, parts: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """The sections written behind each other to a file that every executor gets; where each begins."""
+    """The sections behind each other in one file of the shared folder that every executor gets; where each begins.
+
+    They pass the driver one by one.
+    """
+    spark = sections.sparkSession
     starts, sizes, at = np.zeros(parts, np.int64), np.zeros(parts, np.uint64), 0
-    folder = tempfile.mkdtemp(prefix="filter-")
-    name = f"pairs-{uuid.uuid4().hex}"
-    with open(os.path.join(folder, name), "wb") as file:
-        for row in sections.select("part", "keys").toLocalIterator():
-            starts[row.part], sizes[row.part] = at, 8 * len(row["keys"])
-            file.write(row["keys"])
-            at += len(row["keys"])
-        file.write(b"\0")
-    sections.sparkSession.sparkContext.addFile(os.path.join(folder, name))
-    return name, starts, sizes
+    path = new_path(spark, "pairs")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    for row in sections.select("part", "keys").toLocalIterator():
+        starts[row.part], sizes[row.part] = at, 8 * len(row["keys"])
+        file.write(bytearray(row["keys"]))
+        at += len(row["keys"])
+    file.write(bytearray(1))
+    file.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1], starts, sizes
 
 
 _mapped: dict[str, np.ndarray] = {}
