@@ -7,7 +7,10 @@ that link differ in at most ``(100 - percent) * (x + y) / (100 + percent)`` n-gr
 Cut the n-gram space into d + 1 blocks by hash: in one block at least both documents
 hold the same n-grams.  So each document emits one key per block, (size class, block,
 hash of its n-grams there), and only documents that share a key can link; sharing a
-passage is not enough to share a block.
+passage is not enough to share a block.  There are some more blocks than d + 1, so that
+empty ones give no keys: of the blocks that two linked sets share, more are filled than
+there are spare ones, unless both sets have more empty blocks than that; such sets emit
+keys for their empty blocks too.
 
 1. Documents with the same set are one class.  Classes emit their keys.
 2. Keys with several classes are lists; of lists with the same members one is kept.  Each
@@ -16,8 +19,10 @@ passage is not enough to share a block.
 3. In lists that still hold several components, members of different components meet,
    in blocks of at most ``BLOCK`` x ``BLOCK``, as a matrix product over small sketches:
    pairs that differ in more sketch cells than the size bound allows go, of the others
-   the exact overlap decides.  So a group of near copies costs about one comparison per
-   member, and no link that could join two components is lost.
+   the exact overlap decides.  This happens twice: first only pairs that join what is not
+   joined yet in their block (at most one per member), then, between the components that
+   are left, all pairs.  So a group of near copies costs a few comparisons per member, and
+   no link that could join two components is lost.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and
 link with nothing; a text shorter than ``n`` words is one n-gram; rows with equal sets
@@ -63,13 +68,19 @@ class Rule:
         """How many n-grams two linked sets with this sum of sizes can differ in."""
         return (100 - self.percent) * sizes // (100 + self.percent)
 
-    def classes(self, n: int) -> Iterator[tuple[int, int]]:
-        """Size classes in which a set of ``n`` can meet a linked one, with their number of blocks."""
+    def classes(self, n: int) -> Iterator[tuple[int, int, int]]:
+        """Size classes in which a set of ``n`` can meet a linked one, with their number of blocks.
+
+        Of these, as many as the last number can be empty in a set without harm.
+        """
         home = int(np.log(n) / np.log(STEP) + 1e-9)
         for c in (home, home + 1):
             least, most = STEP**c, int(STEP ** (c + 1)) + 1
             if c == home or n * 100 // self.percent + 1 >= least:
-                yield c, int(self.most_different(2 * most)) + 1
+                needed = int(self.most_different(2 * most)) + 1
+                fewest = least * self.percent / 100 / needed  # n-grams per block, in the smallest sets
+                spare = int(1.5 * needed * np.exp(-0.8 * fewest)) + 1 if needed > 1 else 0
+                yield c, needed + spare, spare
 
 
 def grams_of(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
@@ -92,10 +103,12 @@ def block_keys(grams: np.ndarray, rule: Rule) -> np.ndarray:
     total = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(mix(grams + U(0x2545F491)), out=total[1:])
     keys = []
-    for c, blocks in rule.classes(len(grams)):
+    for c, blocks, spare in rule.classes(len(grams)):
         if blocks > 1:
             edge = np.searchsorted(grams, _edges(blocks))
-            keys.append(mix(np.diff(total[edge]) + mix(np.arange(blocks, dtype=np.uint64) + U(c << 40))))
+            found = mix(np.diff(total[edge]) + mix(np.arange(blocks, dtype=np.uint64) + U(c << 40)))
+            filled = np.diff(edge) > 0
+            keys.append(found[filled] if blocks - filled.sum() <= spare else found)
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
@@ -233,7 +246,7 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
     return members.join(alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
     """Pairs of members of different components that size and sketch leave open."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m"), "key")
@@ -256,23 +269,31 @@ def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
         for (_, i, j), at in group.groupby(["key", "i", "j"]).indices.items():
             own_part = group["own"].to_numpy()[at]
             left, right = at[own_part == i], at[own_part == j]
-            out.append(_block_pairs(group, cells, left, right, i != j, rule))
+            out.append(_block_pairs(group, cells, left, right, i != j, rule, spanning))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return met.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(group, cells, left, right, apart, rule) -> np.ndarray:
-    name, n, root = (group[c].to_numpy() for c in ("name", "n", "root"))
+def _block_pairs(group, cells, left, right, apart, rule, spanning) -> np.ndarray:
+    """Open pairs of a block; of these a spanning set of what they would join, if asked."""
+    name, n = group["name"].to_numpy(), group["n"].to_numpy()
+    root = group["root"].to_numpy().copy()
     out = [np.zeros((0, 2), np.int64)]
     for x in left:
         y = right if apart else right[name[right] > name[x]]
         y = y[root[y] != root[x]]
         y = y[100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x])]
-        if len(y):
-            y = y[(cells[y] != cells[x]).sum(axis=1) <= rule.most_different(n[y] + n[x])]
-            out.append(np.stack([np.minimum(name[y], name[x]), np.maximum(name[y], name[x])], axis=1))
+        if not len(y):
+            continue
+        y = y[(cells[y] != cells[x]).sum(axis=1) <= rule.most_different(n[y] + n[x])]
+        if spanning and len(y):
+            joined, first = np.unique(root[y], return_index=True)
+            y = y[first]
+            for part in (left, right):
+                root[part[np.isin(root[part], joined)]] = root[x]
+        out.append(np.stack([np.minimum(name[y], name[x]), np.maximum(name[y], name[x])], axis=1))
     return np.concatenate(out)
 
 
@@ -297,16 +318,16 @@ def jaccard_components(
     stars = members.groupBy(F.col("name").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
     links = written(overlap_links(stars, sets, rule), "stars")
     roots = components(links)
-    rows = (
-        members.join(roots, F.col("name") == F.col("node"), "left")
-        .withColumn("root", F.coalesce("root", "name"))
-        .select("key", "name", "n", "root")
-    )
-    sketches = sets.select("name", "sketch").dropDuplicates(["name"])
-    pairs = written(_list_pairs(written(rows, "rows"), sketches, rule), "pairs")
-    more = written(overlap_links(pairs, sets, rule), "more")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    sketches = written(sets.select("name", "sketch").dropDuplicates(["name"]), "sketches")
+    for spanning in (True, False):
+        rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
+            "key", "name", "n", F.coalesce("root", "name").alias("root")
+        )
+        pairs = written(_list_pairs(written(rows, "rows"), sketches, rule, spanning), "pairs")
+        more = written(overlap_links(pairs, sets, rule), "more")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
     named = classes.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.select("name", "root").join(least, "root").select("name", "component_id"), "classes")
