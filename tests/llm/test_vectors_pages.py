@@ -114,3 +114,12 @@ def test_odd_markup_is_read():
     assert deep == "x\ny"
     assert wrappers.main_text("a < b <p>c<td>d</p") == "a < b\nc\nd"
     assert wrappers.main_text("<!-- <p>no --><p>yes<script>no") == "yes"
+
+
+def test_a_text_is_constant_by_pages_and_at_its_path_only():
+    page = "<div class=c><p class=note>Subscribe</p><ul>{1}</ul><p>body {0}</p></div>"
+    same = "<li>again</li>" * 10
+    pages = [page.format(n, same if n < 2 else f"<li>item {n}</li><li>Subscribe</li>") for n in range(5)]
+    root, constants = wrappers.induce(pages)
+    assert wrappers.main_text(pages[0], root, set(constants)) == "again\n" * 10 + "body 0"
+    assert wrappers.main_text(pages[3], root, set(constants)) == "item 3\nSubscribe\nbody 3"
