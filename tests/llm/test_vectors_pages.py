@@ -123,3 +123,27 @@ def test_a_text_is_constant_by_pages_and_at_its_path_only():
     root, constants = wrappers.induce(pages)
     assert wrappers.main_text(pages[0], root, set(constants)) == "again\n" * 10 + "body 0"
     assert wrappers.main_text(pages[3], root, set(constants)) == "item 3\nSubscribe\nbody 3"
+
+
+def test_wrappers_come_from_all_pages_and_every_layout(spark):
+    page = "<body><div class=top>Top {0}</div><div class={1}><p>Subscribers read more</p><p>alpha {0} {2}</p></div></body>"
+    long = " word" * 12_000
+    rows = [(n, "https://copies.example.com/a", page.format(0, "one", "x" * 200)) for n in range(40)]
+    rows += [(n, f"https://copies.example.com/{n}", page.format(n, "one", "x" * 200)) for n in range(100, 106)]
+    rows += [(n, f"https://long.example.com/{n}", page.format(n, "one", long)) for n in range(200, 206)]
+    rows += [(n, f"https://two.example.com/{n}", page.format(n, "one", "y" * 200)) for n in range(300, 380)]
+    rows += [(n, f"https://two.example.com/{n}", page.format(n, "other", "z" * 200)) for n in range(400, 406)]
+    got = wrappers.extracted(table(spark, rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows)
+    for n in range(40):
+        assert text[n] == "alpha 0 " + "x" * 200
+    assert all(text[n] == f"alpha {n} " + "x" * 200 for n in range(100, 106))
+    assert all(text[n] == f"alpha {n} " + long.strip() for n in range(200, 206))
+    assert all(text[n] == f"alpha {n} " + ("y" if n < 400 else "z") * 200 for n in [*range(300, 380), *range(400, 406)])
+
+
+def test_large_trees_are_matched_in_linear_time():
+    pages = ["<div class=c>" + "".join(f"<p>{n} {i}</p>" for i in range(9000)) + "<h2>same</h2></div>" for n in (1, 2)]
+    score, pairs = wrappers.match(*map(wrappers.parse, pages))
+    assert score == len(pairs) == 9003
