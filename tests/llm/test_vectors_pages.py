@@ -147,3 +147,10 @@ def test_large_trees_are_matched_in_linear_time():
     pages = ["<div class=c>" + "".join(f"<p>{n} {i}</p>" for i in range(9000)) + "<h2>same</h2></div>" for n in (1, 2)]
     score, pairs = wrappers.match(*map(wrappers.parse, pages))
     assert score == len(pairs) == 9003
+
+
+def test_site_headers_stay_out_of_pages_read_from_the_whole_body():
+    page = "<body><header><p>Site {0}</p></header><div class=c><header><h1>Title</h1></header><p>alpha</p></div></body>"
+    assert wrappers.main_text(page, "/html/body/div.c") == "Title\nalpha"
+    assert wrappers.main_text(page, "/html/body/div.other") == "alpha"
+    assert wrappers.main_text(page, "/html/body") == "alpha"
