@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.llm.store import in_small_batches
 
@@ -181,8 +182,8 @@ def phrases(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray,
     return size, count
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) with lang_pred, score and letters per phrase.
+def predict(docs: DataFrame, model: LanguageModel, carried: Sequence[str] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) with lang_pred, score, letters per phrase and the carried columns.
 
     The score is how much fewer phrases the best language needs than the next one.
     """
@@ -205,13 +206,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     scores.append(max(0.0, 1 - int(row[best]) / max(1, int(rest))))
                     length.append(n / int(row[best]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(length, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score", "letters_per_phrase"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(length, pa.float64()), *map(batch.column, carried)],
+                names=["doc_id", "held_out", "lang_pred", "score", "letters_per_phrase", *carried],
             )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, letters_per_phrase double"
-    )
+    given = docs.select("doc_id", "held_out", "text", *carried)
+    schema = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, letters_per_phrase double")
+    return given.mapInArrow(run, T.StructType([*schema, *(given.schema[c] for c in carried)]))
 
 
 def _runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
@@ -226,8 +227,12 @@ def _runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | N
         yield held
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Language of every row, learned from rows whose crc32(id as text) mod 4 is not 2."""
-    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carried: Sequence[str] = ()
+) -> DataFrame:
+    """Language of every row, learned from rows whose crc32(id as text) mod 4 is not 2; carried columns stay beside it."""
+    rows = in_small_batches(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *carried
+    )
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True)))
-    return predict(rows, fit(rows.filter(~F.col("held_out"))))
+    return predict(rows, fit(rows.filter(~F.col("held_out"))), carried)

@@ -16,13 +16,14 @@ labels are the only rows joined, further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.llm.store import in_small_batches
 
@@ -184,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1600) -> Network
     return train([r.text or "" for r in rows], [r.quality for r in rows]) if rows else None
 
 
-def scored(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text)."""
+def scored(docs: DataFrame, net: Network | None, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) and the carried columns of every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +195,19 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             found = [np.full(len(texts), 0.5)] if held is None else [scores(held, some) for some in _runs(texts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *found]))], names=["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *found])), *map(batch.column, carried)],
+                names=["doc_id", "score", *carried],
             )
 
-    answered = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    given = docs.select("doc_id", "text", *carried)
+    schema = T.StructType.fromDDL("doc_id long, score double")
+    answered = given.mapInArrow(run, T.StructType([*schema, *(given.schema[c] for c in carried)]))
     return answered.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *carried,
     )
 
 
@@ -218,7 +223,10 @@ def _runs(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | N
         yield held
 
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Quality of every row, learned from the labelled rows that are not held out."""
-    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return scored(rows, fit(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")))
+def classified(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()
+) -> DataFrame:
+    """Quality of every row, learned from the labelled rows that are not held out; carried columns stay beside it."""
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    net = fit(rows.select("doc_id", "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"))
+    return scored(rows, net, carried)

@@ -40,3 +40,28 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids_lose_and_double_no_row(spark, tmp_path):
+    rows = [(i, prose(i, 60), "xx") for i in range(60)] + [(100 + i, " ".join(w + "$$$" for w in prose(300 + i, 60).split()), "xx") for i in range(40)]
+    rows += [(None, prose(600, 60), "xx"), (None, prose(601, 60), None), (None, prose(602, 60), "xx"), (None, prose(602, 60), "xx")]
+    rows += [(7, prose(7, 60), "xx"), (7, prose(7, 60), "xx"), (8, prose(608, 60), "xx"), (9, "123 456", "xx")]
+    rows += [(None, edited(prose(600, 60), 1, 1), "xx"), (None, prose(10, 60), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns(
+        {"source": F.lit("s"), "n_chars": F.length("text").cast("long")}
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+        assert left.columns == COLUMNS
+        if name == "language_id":
+            assert sorted(r.text for r in left.collect()) == sorted(t for _, t, _ in rows if t != "123 456")
+    kept = [(r.doc_id, r.text) for r in left.collect() if "$$$" not in r.text]
+    near = {prose(600, 60), edited(prose(600, 60), 1, 1)}
+    assert len([t for _, t in kept if t in near]) == 1
+    expected = [(i, prose(i, 60)) for i in range(60)] + [(None, prose(601, 60)), (None, prose(602, 60)), (8, prose(608, 60))]
+    assert sorted(map(repr, expected)) == sorted(repr(x) for x in kept if x[1] not in near)
