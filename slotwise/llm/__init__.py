@@ -12,6 +12,7 @@
 ``language``      8: cross-parsing entropy over suffix automata
 ``jaccard``       9: n-gram Jaccard join
 ``wrappers``     10: wrapper induction for main text
+``mixing``       13: capped water-filling
 ``queries``       the registered queries and their check SQL
 
 Nothing outside this package imports it, but for the guarded registration.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import bpe, dedup, jaccard, language, lm, packing, quality, token_files, top_k, wrappers
+from slotwise.llm import bpe, dedup, jaccard, language, lm, mixing, packing, quality, token_files, top_k, wrappers
 from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op13_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).drop("source")
+
+
 _OP1 = """
 with e as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -89,6 +93,48 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 """
 
 
+_OP13 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5('13:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as digest
+  from documents
+), n as (
+  select source, sum(size) as source_size, row_number() over (order by source nulls last) as place
+  from d group by source
+), w as (
+  select source, source_size, 3 * source_size as cap, case place % 3 when 1 then 5 when 2 then 2 else 1 end as weight from n
+), o as (
+  select *, sum(source_size) over () as total,
+         coalesce(sum(cap) over before, 0) as caps, sum(weight) over () - coalesce(sum(weight) over before, 0) as free
+  from w
+  window before as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), c as (
+  select *, cap * free < (total - caps) * weight as above from o
+), l as (
+  select any_value(total) - coalesce(sum(cap) filter (where above), 0) as share,
+         sum(weight) filter (where not above) as free
+  from c
+), t as (
+  select source, source_size,
+         case when above then cast(cap as double)
+              else cast(cast(l.share * weight as bigint) as double) / cast(l.free as double) end as target
+  from c, l
+), r as (
+  select source, cast(source_size as bigint) as source_size, target,
+         case when source_size > 0 then cast(floor(target + 0.5) as bigint) // cast(source_size as bigint) else 0 end as whole
+  from t
+), x as (
+  select d.doc_id, d.size, r.source_size, r.target, r.whole,
+         cast(floor(r.target + 0.5) as bigint) - r.whole * r.source_size
+           - coalesce(sum(d.size) over (partition by d.source order by d.digest rows between unbounded preceding and 1 preceding), 0) as room
+  from d join r on d.source is not distinct from r.source
+)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(whole * size + greatest(0, least(size, room)) as bigint) as taken
+from x
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_norm_sorted_top_k": op1_norm_sorted_top_k,
@@ -101,8 +147,9 @@ def queries() -> dict[str, Query]:
         "op8_cross_parsing_language": op8_cross_parsing_language,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_wrapper_induction": op10_wrapper_induction,
+        "op13_water_filled_mix": op13_water_filled_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_norm_sorted_top_k": _OP1, "op2_digest_index_dedup": _OP2}
+    return {"op1_norm_sorted_top_k": _OP1, "op2_digest_index_dedup": _OP2, "op13_water_filled_mix": _OP13}
