@@ -12,6 +12,7 @@
 ``language``      8: cross-parsing entropy over suffix automata
 ``jaccard``       9: n-gram Jaccard join
 ``wrappers``     10: wrapper induction for main text
+``variants``      11: spelling variants by Gram matrices of letter counts
 ``turns``         12: turns aligned with the grammar of conversations
 ``mixing``       13: capped water-filling
 ``queries``       the registered queries and their check SQL

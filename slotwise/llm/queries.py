@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import bpe, dedup, jaccard, language, lm, mixing, packing, quality, token_files, top_k, turns, wrappers
+from slotwise.llm import bpe, dedup, jaccard, language, lm, mixing, packing, quality, token_files, top_k, turns, variants, wrappers
 from slotwise.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_gram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.damaged(_table(spark, sf_dir, "conversations"))
     return turns.digests(turns.repaired(rows, F.col("times")))
@@ -152,6 +156,7 @@ def queries() -> dict[str, Query]:
         "op8_cross_parsing_language": op8_cross_parsing_language,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_wrapper_induction": op10_wrapper_induction,
+        "op11_gram_spelling_variants": op11_gram_spelling_variants,
         "op12_turn_alignment": op12_turn_alignment,
         "op13_water_filled_mix": op13_water_filled_mix,
     }
