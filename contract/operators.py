@@ -782,7 +782,7 @@ def share_in_group_wn2(d: Given) -> DataFrame:
 )
 def rank_percentile_wn3(d: Given) -> DataFrame:
     order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_shipdate"]
-    ranked = shares.ranks_in_buckets(d.lineitem, ["l_partkey"], order, F.col("l_suppkey") == 7)
+    ranked = shares.ranks_in_cells(d.lineitem, ["l_partkey"], order, F.col("l_suppkey") == 7)
     place = (F.col("group_size") - F.col("rank") + 1) * 100.0 / F.col("group_size")
     return ranked.select("l_partkey", "l_orderkey", "l_linenumber", "rank", "group_size", tidy(place, 6).alias("percentile"))
 

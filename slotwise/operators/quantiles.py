@@ -1,13 +1,12 @@
 """Exact quantiles that never gather a group in one task.
 
-Values are counted, laid into order-keeping buckets between the group's smallest and
-largest value, and only the buckets that hold a wanted rank are looked into.  Those are
-cut again between their own smallest and largest value, ``LEVELS`` times in all, so that
-far outliers do not leave the bulk in one bucket; what holds a wanted rank then is
-sorted, each bucket in a task of its own.  Values that stay within one part in
-``BUCKETS ** LEVELS`` of all but everything around them can still share a bucket.
-
-Without keys, bounds and opened buckets are scalars of the plan: nothing is joined.
+Values are counted, so that a frequent one is a single row, and laid into cells of about
+equal size (``operators/cells.py``).  Count, sum and extremes of a group come from its
+cells, and so does the cell that holds a wanted rank; only those cells are sorted, each
+about as large as a range partition.  The counted values are shuffled by value once and
+by range once; what is opened reads the first shuffle again.
+
+Without keys, totals and opened cells are scalars of the plan: nothing is joined.
 """
 
 from __future__ import annotations
@@ -17,28 +16,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.operators.cells import BEFORE, HIGH as LAST, LOW as FIRST, UPTO, opened, ordered_cells, over, with_facts
 from slotwise.operators.joins import null_safe_join
 
-BUCKETS = 4096
-LEVELS = 2
-
+# Aggregates of the value itself, from the cells.
+COUNT, TOTAL, MEAN = "sum(_mass)", "sum(_sum)", "sum(_sum) / sum(_mass)"
+LOW, HIGH = f"min({FIRST})", f"max({LAST})"
 
-def order_bucket(buckets: int) -> str:
-    """Expression over ``_v``, ``_low`` and ``_high``: a whole number that never
-    falls as the value rises.
 
-    Sum of three such numbers: even steps, steps that are fine near the minimum
-    and steps that are fine near the maximum (eighth roots), so that neither a
-    long tail nor a far outlier puts most values into one bucket.  Minimum and
-    maximum do not depend on row order and square roots are exactly rounded, so
-    a task that runs again places its rows alike.
-    """
-    value, low, high = (f"cast({c} as double)" for c in ("_v", "_low", "_high"))
-    from_low = f"coalesce(try_divide({value} - {low}, {high} - {low}), 0D)"
-    from_high = f"coalesce(try_divide({high} - {value}, {high} - {low}), 0D)"
-    root = "sqrt(sqrt(sqrt({})))"
-    steps = [from_low, root.format(from_low), f"1D - {root.format(from_high)}"]
-    return " + ".join(f"floor({buckets}D * ({step}))" for step in steps)
+def counted_values(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, _v, _n): how many rows have each value; NULL values are left out."""
+    rows = df.selectExpr(*[f"`{c}`" for c in keys], f"`{value}` as _v", *([f"`{weight}` as _w"] if weight else []))
+    return rows.where("_v is not null").groupBy(*[F.col(f"`{c}`") for c in keys], "_v").agg(
+        (F.sum("_w") if weight else F.count("*")).alias("_n")
+    )
 
 
 def values_at_ranks(
@@ -46,124 +37,56 @@ def values_at_ranks(
     keys: Sequence[str],
     value: str,
     ranks: Mapping[str, str],
-    constants: Mapping[str, Column] | None = None,
+    constants: Mapping[str, Column] | DataFrame | None = None,
     stats: Mapping[str, str] | None = None,
     weight: str | None = None,
-    buckets: int = BUCKETS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Per key the value at each rank (0 is the smallest); NULL past the end.
 
-    ``ranks`` maps an output name to an SQL expression over ``_total``, the
-    group's row count, and the ``constants``.  ``stats`` are aggregates over the
-    counted values (``_v``, ``_n``).  ``_total`` and the stats come out as well.
-    NULL values are left out.  ``weight`` names a column that says how many rows a
-    row stands for.
-
-    The counted values are shuffled by (key, value) once and by key once; the joins
-    read the same shuffle.  A hot key is split there by adaptive skew handling, as no
-    aggregation by key alone follows a join.
+    ``ranks`` maps an output name to an SQL expression over ``_total``, the group's row
+    count, and the ``constants``: columns, or a table with one row per key.  ``stats`` are
+    aggregates over cells (COUNT, TOTAL, MEAN, LOW, HIGH).  ``_total`` and the stats come
+    out as well.  NULL values are left out.  ``weight`` names a column that says how many
+    rows a row stands for; ``parts`` fixes the number of range partitions.
     """
-    group = list(keys)
-    names = [f"`{c}`" for c in group]
-    counted = (
-        df.selectExpr(*names, f"`{value}` as _v", f"{f'`{weight}`' if weight else '1L'} as _w")
-        .where("_v is not null")
-        .groupBy(*group, "_v")
-        .agg(F.expr("sum(_w) as _n" if weight else "count(*) as _n"))
-    )
-    stats = stats or {}
-    facts = ["_total", *(constants or {}), *stats]
-    bounds = counted.groupBy(*group).agg(
-        *_extremes(), F.expr("sum(_n) as _total"), *[F.expr(f"{text} as `{name}`") for name, text in stats.items()]
-    )
-    if constants:
-        bounds = bounds.withColumns(dict(constants))
-    bounds = bounds.withColumn("_start", F.lit(0).cast("bigint"))
-    rows = counted
-    for level in range(LEVELS):
-        within = [*group, "_b"] if level else group
-        rows = _opened(rows, bounds, within, facts, ranks, buckets)
-        if level + 1 < LEVELS:
-            bounds = rows.groupBy(*group, "_b").agg(*_extremes(), *_kept([*facts, "_start"]))
-            rows = rows.select(*group, "_b", "_v", "_n")
-    inside = _over([*group, "_b"], "_v")
-    ranked = rows.selectExpr("*", f"_start + sum(_n) {inside} as _stop")
-    return ranked.groupBy(*group).agg(
-        *[
-            F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`")
-            for name, rank in ranks.items()
-        ],
-        F.expr("max(_total) as _total"),
-        *[F.expr(f"max(`{name}`) as `{name}`") for name in stats],
-    )
-
-
-def _extremes() -> list[Column]:
-    return [F.expr("min(_v) as _low"), F.expr("max(_v) as _high")]
-
-
-def _kept(columns: Sequence[str]) -> list[Column]:
-    """Facts of a group, the same in all its rows."""
-    return [F.expr(f"max(`{c}`) as `{c}`") for c in columns]
-
-
-def _over(groups: Sequence[str], order: str) -> str:
-    by = f"partition by {', '.join(f'`{c}`' for c in groups)} " if groups else ""
-    return f"over ({by}order by {order} rows between unbounded preceding and current row)"
+    return at_ranks(counted_values(df, keys, value, weight), keys, ranks, constants, stats, parts)
 
 
-def _opened(
-    rows: DataFrame, bounds: DataFrame, within: Sequence[str], facts: Sequence[str], ranks: Mapping[str, str], buckets: int
+def at_ranks(
+    counted: DataFrame,
+    keys: Sequence[str],
+    ranks: Mapping[str, str],
+    constants: Mapping[str, Column] | DataFrame | None = None,
+    stats: Mapping[str, str] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """The rows in those buckets of each group that hold a wanted rank.
-
-    ``bounds`` has a row per group with its extremes, facts and the rank it starts at;
-    the rows get the facts, their bucket in ``_b`` and the rank that starts at.
-    """
-    names = [f"`{c}`" for c in within]
-    cut = f"{order_bucket(buckets)} as _c"
-    placed = _with_facts(rows, bounds, within)
-    # At most 3 * buckets + 1 rows per group reach this window.
-    mass = (
-        placed.selectExpr(*names, "_n", "_start", *[f"`{c}`" for c in facts], cut)
-        .groupBy(*within, "_c")
-        .agg(F.expr("sum(_n) as _mass"), *_kept([*facts, "_start"]))
-        .selectExpr("*", f"_start + sum(_mass) {_over(within, '_c')} as _end")
-        .selectExpr("*", "_end - _mass as _from")
-    )
-    hit = " or ".join(f"({rank} >= _from and {rank} < _end)" for rank in ranks.values())
-    # One entry per wanted rank at most.
-    opened = (
-        mass.where(hit)
-        .groupBy(*within)
-        .agg(F.expr("collect_list(struct(_c, _from)) as _open"), *_kept(facts))
-        .selectExpr(*names, *[f"`{c}`" for c in facts], "_open._c as _bins", "_open._from as _froms")
-    )
-    found = _with_facts(
-        rows, null_safe_join(opened, bounds.select(*within, "_low", "_high"), within) if within else opened, within,
-        None if within else bounds.select("_low", "_high"),
+    """``values_at_ranks`` of counted values (keys, _v, _n)."""
+    group, stats = list(keys), stats or {}
+    sums = {"_sum": F.expr("sum(_v * _n)")} if any("_sum" in text for text in stats.values()) else {}
+    cells = ordered_cells(counted, group, ["_v"], F.sum("_n"), parts, **sums)
+    cells = cells.selectExpr("*", f"sum(_mass) {over(group)} as _total")
+    if isinstance(constants, DataFrame):
+        given = [c for c in constants.columns if c not in group]
+        cells = with_facts(cells, constants, group)
+    else:
+        given = list(constants or {})
+        cells = cells.withColumns(dict(constants or {}))
+    hit = " or ".join(f"({rank} >= {BEFORE} and {rank} < {BEFORE} + _mass)" for rank in ranks.values())
+    facts = cells.groupBy(*[F.col(f"`{c}`") for c in group]).agg(
+        F.expr(f"array_sort(collect_list(case when {hit} then struct({FIRST}, {LAST}, {BEFORE}) end)) as _open"),  # one per rank at most
+        *[F.max(f"`{c}`").alias(c) for c in ("_total", *given)],
+        *[F.expr(f"{text} as `{name}`") for name, text in stats.items()],
     )
-    path = "concat(_b, '.', cast(_c as string))" if "_b" in within else "cast(_c as string)"
-    return (
-        found.where(f"array_contains(_bins, {order_bucket(buckets)})")
-        .selectExpr("*", cut)
-        .selectExpr(
-            *[n for n in names if n != "`_b`"], "_v", "_n", *[f"`{c}`" for c in facts],
-            f"{path} as _b", "_froms[cast(array_position(_bins, _c) as int) - 1] as _start",
-        )
+    within = [*group, "_start"]
+    rows = opened(counted, facts, group, ["_v"], "_open").withColumns({"_start": F.col("_cell")[FIRST], "_from": F.col("_cell")[BEFORE]})
+    ranked = rows.selectExpr("*", f"_from + sum(_n) {over(within, '_v', UPTO)} as _stop")
+    return ranked.groupBy(*[F.col(f"`{c}`") for c in group]).agg(
+        *[F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`") for name, rank in ranks.items()],
+        *[F.max(f"`{c}`").alias(c) for c in ("_total", *stats)],
     )
 
 
-def _with_facts(rows: DataFrame, facts: DataFrame, within: Sequence[str], more: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the columns of their group; of the only group as scalars of the plan."""
-    if within:
-        return null_safe_join(rows, facts, list(within))
-    for one in (facts, more) if more is not None else (facts,):
-        held = one.select(F.struct(*one.columns).alias("_row")).scalar()
-        rows = rows.withColumn("_row", held).select(*rows.columns, *[F.col("_row")[c].alias(c) for c in one.columns])
-    return rows
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -171,9 +94,16 @@ def exact_quantiles(
     probs: Mapping[str, float],
     stats: Mapping[str, str] | None = None,
     weight: str | None = None,
-    buckets: int = BUCKETS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Interpolated quantiles per key, one output column per entry of ``probs``."""
+    return quantiles_of(counted_values(df, keys, value, weight), keys, probs, stats, parts)
+
+
+def quantiles_of(
+    counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float], stats: Mapping[str, str] | None = None, parts: int | None = None
+) -> DataFrame:
+    """``exact_quantiles`` of counted values (keys, _v, _n)."""
     ranks, out = {}, [f"`{name}`" for name in stats or {}]
     for name, q in probs.items():
         place = f"((_total - 1) * {q!r}D)"
@@ -181,15 +111,10 @@ def exact_quantiles(
         low, high = f"cast(`_lo_{name}` as double)", f"cast(`_hi_{name}` as double)"
         part = f"({place} - floor{place})"
         out.append(f"{low} * (1D - {part}) + {high} * {part} as `{name}`")
-    picked = values_at_ranks(df, keys, value, ranks, stats=stats, weight=weight, buckets=buckets)
+    picked = at_ranks(counted, keys, ranks, stats=stats, parts=parts)
     return picked.selectExpr(*[f"`{c}`" for c in keys], *out)
 
 
-# Aggregates of the value itself, from its counted values.
-COUNT, TOTAL, MEAN = "sum(_n)", "sum(_v * _n)", "sum(_v * _n) / sum(_n)"
-LOW, HIGH = "min(_v)", "max(_v)"
-
-
 def summarize(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], **stats: str
 ) -> DataFrame:
@@ -223,7 +148,7 @@ def agg_with_quantiles(
     if not aggs:
         return found
     base = df.groupBy(*keys).agg(*aggs)
-    return null_safe_join(base, found, list(keys), "left") if keys else _with_facts(base, found, [])
+    return null_safe_join(base, found, list(keys), "left") if keys else with_facts(base, found, [])
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

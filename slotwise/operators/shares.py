@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage
+from slotwise.operators.cells import BEFORE, HIGH, LOW, opened, ordered_cells, over, with_facts
 from slotwise.operators.joins import null_safe_join
-from slotwise.operators.quantiles import BUCKETS, order_bucket
 from slotwise.operators.scalars import one_row
 
 
@@ -25,6 +25,8 @@ def share_of_total(df: DataFrame, measure: str, out: str, digits: int | None = N
 def share_in_group(
     df: DataFrame, keys: Sequence[str], measure: str, out: str, digits: int | None = None
 ) -> DataFrame:
+    if not keys:
+        return share_of_total(df, measure, out, digits)
     totals = df.groupBy(*keys).agg(F.sum(measure).alias("_total"))
     joined = null_safe_join(df, totals, list(keys))
     return joined.withColumn(out, percentage(F.col(measure), F.col("_total"), digits)).drop("_total")
@@ -38,14 +40,15 @@ def rank_of_members(
     The rank is one more than the number of rows that sort before the member
     row, so it comes from a join with that row and a count; the group itself is
     never sorted in one task.  ``order`` must be unique in a group.  For members
-    with many rows per group see ``ranks_in_buckets``.
+    with many rows per group see ``ranks_in_cells``.
     """
-    keys = list(keys)
-    place = F.struct(*order)
-    ours = df.where(member).select(*keys, place.alias("_ours")).distinct()
+    keys, place = list(keys), F.struct(*order)
+    one = F.when(F.min(place) == F.max(place), F.min(place))
+    several = F.raise_error(F.lit("a group has several rows of the member; use ranks_in_cells"))
+    ours = df.where(member).groupBy(*keys).agg(F.when(F.count("*") > 0, F.coalesce(one, several)).alias("_ours"))
     return (
-        df.select(*keys, place.alias("_place"))
-        .join(ours, keys, "inner")
+        with_facts(df.select(*keys, place.alias("_place")), ours, keys)
+        .where(F.col("_ours").isNotNull())
         .groupBy(*keys, "_ours")
         .agg(
             (F.count_if(F.col("_place") < F.col("_ours")) + 1).alias("rank"),
@@ -55,34 +58,28 @@ def rank_of_members(
     )
 
 
-def ranks_in_buckets(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], member: Column, buckets: int = BUCKETS
+def ranks_in_cells(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], member: Column, parts: int | None = None
 ) -> DataFrame:
     """``row_number`` and group size of the member rows, for any number of them.
 
-    Groups are cut into order-keeping buckets of the first (numeric) order
-    column; only buckets with a member row are sorted, each in its own task, and
-    start at the number of rows in the buckets before.
+    ``order`` must be unique in a group.  Rows are laid over range partitions of keys and
+    all order columns, so a first column with one frequent value is cut by the others;
+    cells with a member row are sorted, each on its own, and start at the number of rows
+    in the cells before.  ``parts`` fixes the number of range partitions.
     """
-    keys, first = list(keys), order[0]
-    by = ", ".join(f"`{k}`" for k in keys)
-    rows = df.select(*keys, *order, member.alias("_member")).withColumn("_v", F.col(first))
-    bounds = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("group_size")
-    )
-    placed = null_safe_join(rows, bounds.hint("shuffle_hash"), keys).selectExpr("*", f"{order_bucket(buckets)} as _b")
-    mass = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_mass"), F.bool_or("_member").alias("_any"))
-    starts = mass.selectExpr(
-        "*", f"sum(_mass) over (partition by {by} order by _b rows between unbounded preceding and 1 preceding) as _before"
-    )
-    opened = starts.where("_any").selectExpr(*[f"`{k}`" for k in keys], "_b", "coalesce(_before, 0) as _before")
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (
-        null_safe_join(placed, opened, [*keys, "_b"])
-        .withColumn("rank", F.col("_before") + F.row_number().over(inside))
-        .where("_member")
-        .select(*keys, *order, "rank", "group_size")
+    keys = list(keys)
+    rows = df.select(*keys, *order, member.alias("_member"))
+    cells = ordered_cells(rows, keys, order, F.count("*"), parts, _any=F.bool_or("_member"))
+    cells = cells.selectExpr("*", f"sum(_mass) {over(keys)} as group_size")
+    facts = cells.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.expr(f"array_sort(collect_list(case when _any then struct({LOW}, {HIGH}, {BEFORE}) end)) as _open"),
+        F.max("group_size").alias("group_size"),
     )
+    found = opened(rows, facts, keys, order, "_open").withColumns({"_start": F.col("_cell")[LOW], "_from": F.col("_cell")[BEFORE]})
+    inside = Window.partitionBy(*keys, "_start").orderBy(*order)
+    ranked = found.withColumn("rank", F.col("_from") + F.row_number().over(inside))
+    return ranked.where("_member").select(*keys, *order, "rank", "group_size")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import percentage, position_in, range_label, ratio
 from slotwise.operators.aggregates import threshold_rates
-from slotwise.operators.joins import null_safe_join
+from slotwise.operators.cells import with_facts
 from slotwise.operators.quantiles import agg_with_quantiles, exact_quantiles
 from slotwise.operators.ranges import next_after
 from slotwise.operators.scalars import one_row
@@ -77,7 +77,7 @@ def sample_by_stratum(df: DataFrame, strata: Sequence[str], key: str, n: int, se
 def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, cut: float = 0.99) -> DataFrame:
     """Mean, and mean of the values up to the ``cut`` quantile of the group."""
     limit = exact_quantiles(df, keys, value, {"cut_value": cut})
-    rows = null_safe_join(df, limit, list(keys))
+    rows = with_facts(df, limit, keys)
     return rows.groupBy(*keys).agg(
         F.avg(value).alias("mean"),
         F.avg(F.when(F.col(value) <= F.col("cut_value"), F.col(value))).alias("trimmed_mean"),

@@ -1,11 +1,13 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import final_plan, rows
 from slotwise.operators import aggregates as agg
 from slotwise.operators import joins, reshape, series, shares
+from slotwise.operators.cells import ordered_cells
 
 
 def test_shares_add_up(spark):
@@ -25,11 +27,37 @@ def test_rank_forms_agree_with_a_window(spark):
         ordered = sorted((t, n) for bb, t, n in data if bb == b)
         brute += [(b, t, n, i + 1, 20) for i, (t, n) in enumerate(ordered) if n == "n7"]
     assert rows(shares.rank_of_members(df, ["b"], ["t", "n"], member)) == sorted(brute)
-    assert rows(shares.ranks_in_buckets(df, ["b"], ["t", "n"], member, buckets=2)) == sorted(brute)
-    every = shares.ranks_in_buckets(df, ["b"], ["t", "n"], F.lit(True), buckets=3)
+    assert rows(shares.ranks_in_cells(df, ["b"], ["t", "n"], member, parts=7)) == sorted(brute)
+    every = shares.ranks_in_cells(df, ["b"], ["t", "n"], F.lit(True), parts=3)
     assert [r["rank"] for r in every.orderBy("b", "t", "n").collect()] == list(range(1, 21)) * 5
 
 
+def test_one_frequent_value_is_ranked_in_many_cells(spark):
+    """Nine rows of ten share the first order column; no cell is larger than a few range partitions."""
+    n, parts = 20_000, 16
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(5).alias("t"), "id")
+    cells = ordered_cells(df, [], ["t", "id"], F.count("*"), parts).collect()
+    assert len(cells) > parts // 2 and max(c._mass for c in cells) <= 3 * n / parts
+    member = F.col("id") % 7 == 0
+    for keys in ([], ["g"]):
+        window = Window.partitionBy(*keys).orderBy("t", "id")
+        whole = df.withColumns({"rank": F.row_number().over(window), "group_size": F.count("*").over(Window.partitionBy(*keys))})
+        want = whole.where(member).select(*keys, "t", "id", "rank", "group_size")
+        assert rows(shares.ranks_in_cells(df, keys, ["t", "id"], member, parts)) == rows(want)
+
+
+def test_shares_and_ranks_without_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, n bigint")
+    assert rows(shares.share_in_group(df, [], "n", "pct")) == [("a", 1, 25.0), ("b", 3, 75.0)]
+    assert rows(shares.rank_of_members(df, [], ["n", "k"], F.col("k") == "b")) == [(3, "b", 2, 2)]
+
+
+def test_a_member_with_several_rows_is_refused(spark):
+    df = spark.createDataFrame([("g", 1, "a"), ("g", 2, "a"), ("g", 2, "b")], "g string, t int, n string")
+    with pytest.raises(Exception, match="several rows of the member"):
+        shares.rank_of_members(df, ["g"], ["t", "n"], F.col("n") == "a").collect()
+
+
 def test_winner_on_ties_is_the_smaller_member(spark):
     df = spark.createDataFrame([(1, "z", 5), (1, "a", 5), (1, "b", 9), (2, "q", 1)], "k int, m string, v int")
     assert rows(agg.winners(df, ["k"], "m", "v", "w")) == [(1, "a"), (2, "q")]

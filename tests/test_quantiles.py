@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import final_plan, rows
 from slotwise.operators import quantiles as Q
+from slotwise.operators.cells import ordered_cells
 
 PROBS = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "low": 0.0, "high": 1.0}
 
@@ -21,11 +22,11 @@ def _data():
     return out
 
 
-@pytest.mark.parametrize("buckets", [4, 4096])
-def test_exact_quantiles_match_brute_force(spark, buckets):
+@pytest.mark.parametrize("parts", [None, 1, 13])
+def test_exact_quantiles_match_brute_force(spark, parts):
     data = _data()
     df = spark.createDataFrame(data, "k string, v double").repartition(7)
-    got = {r["k"]: r for r in Q.exact_quantiles(df, ["k"], "v", PROBS, buckets=buckets).collect()}
+    got = {r["k"]: r for r in Q.exact_quantiles(df, ["k"], "v", PROBS, parts=parts).collect()}
     assert set(got) == {k for k, _ in data}
     for key in got:
         values = np.array([v for k, v in data if k == key])
@@ -62,31 +63,30 @@ def test_without_keys_no_nested_loop(spark):
     assert rows(both) == [(2000, np.quantile(values, 0.5))]
 
 
-def test_far_outliers_leave_no_large_bucket(spark):
-    """A bulk of near values between two far outliers is cut again; no sorted bucket holds much of it."""
-    bulk = 20_000
-    df = spark.range(bulk).select((1000 + F.col("id") / 100).alias("v")).union(
-        spark.createDataFrame([(-1e9,), (1e9,)], "v double")
-    )
-    values = np.array([1000 + i / 100 for i in range(bulk)] + [-1e9, 1e9])
-    got = Q.exact_quantiles(df, [], "v", PROBS).first()
-    assert all(got[name] == pytest.approx(float(np.quantile(values, q)), rel=1e-12) for name, q in PROBS.items())
-    counted = df.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
-    bounds = counted.agg(*Q._extremes(), F.sum("_n").alias("_total")).withColumn("_start", F.lit(0).cast("bigint"))
-    ranks = {"m": "floor(_total / 2)"}
-    once = Q._opened(counted, bounds, [], ["_total"], ranks, Q.BUCKETS)
-    again = once.groupBy("_b").agg(*Q._extremes(), *Q._kept(["_total", "_start"]))
-    twice = Q._opened(once.select("_b", "_v", "_n"), again, ["_b"], ["_total"], ranks, Q.BUCKETS)
-    assert twice.count() <= bulk // 500 < once.count()
-
-
-def test_bucket_never_falls(spark):
-    rng = random.Random(3)
-    values = sorted({rng.uniform(-5, 5) for _ in range(300)} | {-1e9, 1e9, 0.0, 1e-300})
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, _v double")
-    df = df.withColumn("_low", F.lit(values[0])).withColumn("_high", F.lit(values[-1]))
-    bins = [r[0] for r in df.orderBy("i").selectExpr(Q.order_bucket(4096)).collect()]
-    assert bins == sorted(bins)
+def test_nested_clusters_leave_no_large_cell(spark):
+    """Clusters inside clusters, a millionth as wide each, between far outliers: no sorted cell holds much."""
+    scales = [F.lit(1e6) + F.col("id"), F.lit(5.0) + F.col("id") / 1e9, F.lit(5.0) + F.col("id") / 1e14, F.lit(-1e15) * F.col("id")]
+    each, parts = 5000, 20
+    df = spark.createDataFrame([], "v double")
+    for scale in scales:
+        df = df.union(spark.range(each).select(scale.alias("v")))
+    values = np.array([r.v for r in df.collect()])
+    probs = PROBS | {"p33": 0.33, "p34": 0.34, "p60": 0.6}
+    for keys, rows_of in (([], df), (["k"], df.withColumn("k", F.lit("x")))):
+        got = Q.exact_quantiles(rows_of, keys, "v", probs, parts=parts).first()
+        assert all(got[name] == pytest.approx(float(np.quantile(values, q)), rel=1e-12) for name, q in probs.items())
+        cells = ordered_cells(Q.counted_values(rows_of, keys, "v"), keys, ["_v"], F.sum("_n"), parts).collect()
+        assert len(cells) > parts // 2
+        assert max(c._mass for c in cells) <= 3 * len(values) / parts
+        assert sorted(c._before for c in cells)[-1] < len(values)
+
+
+def test_a_frequent_value_is_one_row(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("double").alias("v"))
+    assert Q.counted_values(df, [], "v").count() == 3001
+    values = [float(i) if i % 10 == 0 else 7.0 for i in range(30_000)]
+    got = Q.exact_quantiles(df, [], "v", PROBS, parts=8).first()
+    assert all(got[name] == np.quantile(values, q) for name, q in PROBS.items())
 
 
 def test_value_shuffle_is_shared_and_group_is_not_gathered(spark, sf_dir):
