@@ -69,13 +69,14 @@ def opened(rows: DataFrame, facts: DataFrame, keys: Sequence[str], order: Sequen
     facts = facts.withColumn("_runs", F.when(F.size(cells) > 0, runs)).drop(cells)
     run = F.try_element_at(F.filter("_runs", lambda r: holds(F.element_at(r, 1), F.element_at(r, -1))), F.lit(1))
     cell = F.try_element_at(F.filter(run, lambda c: holds(c, c)), F.lit(1))
-    return with_facts(rows, facts, keys).withColumn("_cell", cell).where(F.col("_cell").isNotNull()).drop("_runs")
+    # A left join: only the facts, a row for each key, can ever be the broadcast side.
+    return with_facts(rows, facts, keys, "left").withColumn("_cell", cell).where(F.col("_cell").isNotNull()).drop("_runs")
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their key's row of ``facts``; of the only row as a scalar of the plan."""
     if keys:
-        return null_safe_join(rows, facts, list(keys))
+        return null_safe_join(rows, facts, list(keys), how)
     held = facts.select(F.struct(*facts.columns).alias("_row")).scalar()
     rows = rows.withColumn("_row", held)
     return rows.select(*[c for c in rows.columns if c != "_row"], *[F.col("_row")[c].alias(c) for c in facts.columns])

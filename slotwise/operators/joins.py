@@ -1,7 +1,7 @@
 """Equi-join shapes.
 
-No broadcast hints: adaptive execution broadcasts a side when its measured size
-is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and
+No broadcast hints but one, behind a count: adaptive execution broadcasts a side when its
+measured size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and
 merges, splitting partitions that a hot key makes too large.
 """
 
@@ -20,6 +20,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, matched, how).drop(*[f"_r_{c}" for c in on])
 
 
+KEYS_HELD = 1 << 20  # 64-bit keys that every executor is handed, some tens of MB
+
+
+def only_keys_of(rows: DataFrame, others: DataFrame, on: Sequence[str], held: int = KEYS_HELD) -> DataFrame:
+    """The rows whose key may occur in ``others``; a join on ``on`` must follow.
+
+    Keys are compared by 64-bit hashes.  How many ``others`` has is counted first, up to
+    ``held``: so many go to every executor and rows are dropped at the scan, unshuffled;
+    more are left to a shuffled semi join.
+    """
+    mark = F.xxhash64(*on)
+    marks = others.select(mark.alias("_mark")).distinct()
+    few = marks.limit(held + 1).count() <= held
+    return rows.withColumn("_mark", mark).join(F.broadcast(marks) if few else marks, "_mark", "left_semi").drop("_mark")
+
+
 def left_fill(left: DataFrame, right: DataFrame, on: Sequence[str], defaults: Mapping) -> DataFrame:
     """Left join; right columns missing on a row take their default."""
     out = left.join(right, list(on), "left")

@@ -24,12 +24,18 @@ COUNT, TOTAL, MEAN = "sum(_mass)", "sum(_sum)", "sum(_sum) / sum(_mass)"
 LOW, HIGH = f"min({FIRST})", f"max({LAST})"
 
 
-def counted_values(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """(keys, _v, _n): how many rows have each value; NULL values are left out."""
-    rows = df.selectExpr(*[f"`{c}`" for c in keys], f"`{value}` as _v", *([f"`{weight}` as _w"] if weight else []))
-    return rows.where("_v is not null").groupBy(*[F.col(f"`{c}`") for c in keys], "_v").agg(
-        (F.sum("_w") if weight else F.count("*")).alias("_n")
-    )
+def counted_values(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """(keys, _v, _n, sums): how many rows have each value, and ``sums`` of other columns over them.
+
+    Rows with a NULL value are left out, with ``sums`` kept, as they count there.
+    """
+    rows = df.withColumns({"_v": F.col(f"`{value}`"), "_w": F.col(f"`{weight}`") if weight else F.lit(1).cast("bigint")})
+    if not sums:
+        rows = rows.where("_v is not null")
+    added = [total.alias(name) for name, total in (sums or {}).items()]
+    return rows.groupBy(*[F.col(f"`{c}`") for c in keys], "_v").agg((F.sum("_w") if weight else F.count("*")).alias("_n"), *added)
 
 
 def values_at_ranks(
@@ -46,7 +52,7 @@ def values_at_ranks(
 
     ``ranks`` maps an output name to an SQL expression over ``_total``, the group's row
     count, and the ``constants``: columns, or a table with one row per key.  ``stats`` are
-    aggregates over cells (COUNT, TOTAL, MEAN, LOW, HIGH).  ``_total`` and the stats come
+    aggregates over cells (COUNT, TOTAL, MEAN, LOW, HIGH, sums of sums).  ``_total`` and the stats come
     out as well.  NULL values are left out.  ``weight`` names a column that says how many
     rows a row stands for; ``parts`` fixes the number of range partitions.
     """
@@ -63,8 +69,11 @@ def at_ranks(
 ) -> DataFrame:
     """``values_at_ranks`` of counted values (keys, _v, _n)."""
     group, stats = list(keys), stats or {}
-    sums = {"_sum": F.expr("sum(_v * _n)")} if any("_sum" in text for text in stats.values()) else {}
-    cells = ordered_cells(counted, group, ["_v"], F.sum("_n"), parts, **sums)
+    sums = {c: F.sum(c) for c in counted.columns if c not in (*group, "_v", "_n")}
+    if any("_sum" in text for text in stats.values()):
+        sums["_sum"] = F.expr("sum(_v * _n)")
+    mass = F.coalesce(F.expr("sum(_n) filter (where _v is not null)"), F.lit(0))
+    cells = ordered_cells(counted, group, ["_v"], mass, parts, **sums)
     cells = cells.selectExpr("*", f"sum(_mass) {over(group)} as _total")
     if isinstance(constants, DataFrame):
         given = [c for c in constants.columns if c not in group]
@@ -78,8 +87,11 @@ def at_ranks(
         *[F.max(f"`{c}`").alias(c) for c in ("_total", *given)],
         *[F.expr(f"{text} as `{name}`") for name, text in stats.items()],
     )
-    within = [*group, "_start"]
-    rows = opened(counted, facts, group, ["_v"], "_open").withColumns({"_start": F.col("_cell")[FIRST], "_from": F.col("_cell")[BEFORE]})
+    within, rows = [*group, "_start"], counted
+    if extra := [c for c in counted.columns if c in sums]:
+        # Always true.  It keeps the sums in this branch, so that the counted values are shuffled once for both.
+        rows = rows.where(F.hash(*extra) >= -(1 << 31)).drop(*extra)
+    rows = opened(rows, facts, group, ["_v"], "_open").withColumns({"_start": F.col("_cell")[FIRST], "_from": F.col("_cell")[BEFORE]})
     ranked = rows.selectExpr("*", f"_from + sum(_n) {over(within, '_v', UPTO)} as _stop")
     return ranked.groupBy(*[F.col(f"`{c}`") for c in group]).agg(
         *[F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`") for name, rank in ranks.items()],
@@ -103,7 +115,7 @@ def exact_quantiles(
 def quantiles_of(
     counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float], stats: Mapping[str, str] | None = None, parts: int | None = None
 ) -> DataFrame:
-    """``exact_quantiles`` of counted values (keys, _v, _n)."""
+    """``exact_quantiles`` of counted values (keys, _v, _n, sums); ``stats`` may use the sums."""
     ranks, out = {}, [f"`{name}`" for name in stats or {}]
     for name, q in probs.items():
         place = f"((_total - 1) * {q!r}D)"

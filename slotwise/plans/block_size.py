@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.labels import range_label, tidy
 from slotwise.operators.aggregates import dispersion, first_seen, min_sample
-from slotwise.operators.joins import membership_flag, null_safe_join
-from slotwise.operators.quantiles import COUNT, agg_with_quantiles, exact_quantiles, summarize
+from slotwise.operators.joins import membership_flag
+from slotwise.operators.quantiles import COUNT, agg_with_quantiles, counted_values, quantiles_of, summarize
 from slotwise.plans.arrivals import BLOCK, SEEN, sightings
 from slotwise.sources.scan import Period
 from slotwise.sources.tables import Tables
@@ -85,22 +85,18 @@ def dispersion_by_size_and_source(t: Tables, period: Period = WEEK, min_observat
         "pre_kb",
         "dispersion_ms",
     )
-    keys = ["size_bin", "sort_key"]
-    out = rows.groupBy(*keys).agg(
-        tidy(F.avg("pre_kb"), 0).alias("avg_pre_kb"),
-        F.count_if(F.col("side") == "mev").alias("mev_n"),
-        F.count_if(F.col("side") == "local").alias("local_n"),
-    )
-    levels = (50, 75, 95, 99)
-    found = exact_quantiles(rows, [*keys, "side"], "dispersion_ms", {f"p{q}": q / 100 for q in levels})
-    wide = found.groupBy(*keys).agg(
-        *[
-            tidy(F.max(F.when(F.col("side") == side, F.col(f"p{q}"))), 0).alias(f"{side}_p{q}")
-            for side in ("mev", "local")
-            for q in levels
-        ]
+    keys, levels, sides = ["size_bin", "sort_key"], (50, 75, 95, 99), ("mev", "local")
+    counted = counted_values(rows, [*keys, "side"], "dispersion_ms", sums={"_pre": F.sum("pre_kb")})
+    found = quantiles_of(counted, [*keys, "side"], {f"p{q}": q / 100 for q in levels}, {"n": COUNT, "pre": "sum(_pre)"})
+
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    out = found.groupBy(*keys).agg(
+        tidy(F.sum("pre") / F.sum("n"), 0).alias("avg_pre_kb"),
+        *[F.coalesce(of(side, "n"), F.lit(0)).alias(f"{side}_n") for side in sides],
+        *[tidy(of(side, f"p{q}"), 0).alias(f"{side}_p{q}") for side in sides for q in levels],
     )
-    out = null_safe_join(out, wide, keys, "left")
     return out.where(F.col("mev_n") + F.col("local_n") >= min_observations).orderBy("sort_key")
 
 

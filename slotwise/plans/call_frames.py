@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.labels import id_bucket, label_lookup, percentage, tidy
 from slotwise.operators.aggregates import counts_of_counts
 from slotwise.operators.joins import parent_child
 from slotwise.operators.quantiles import COUNT, MEAN, TOTAL, summarize
-from slotwise.operators.scalars import one_row
 from slotwise.operators.shares import share_in_group, share_of_total, top_k
 from slotwise.sources.scan import id_range
 from slotwise.sources.tables import Tables
@@ -136,12 +135,12 @@ def ranking(t: Tables, blocks=ALL_BLOCKS) -> DataFrame:
     out = summarize(
         rows, ["precompile"], "gas", {"median_gas": 0.5}, call_count=COUNT, total_gas=TOTAL, avg_gas=MEAN
     )
-    total = one_row(out, n=F.sum("call_count"), g=F.sum("total_gas"))
+    whole = Window.partitionBy()  # one row for each of the fixed names
     return out.withColumns(
         {
             "avg_gas": tidy("avg_gas", 0),
-            "call_pct": percentage(F.col("call_count"), total.getField("n"), 2),
-            "gas_pct": percentage(F.col("total_gas"), total.getField("g"), 2),
+            "call_pct": percentage(F.col("call_count"), F.sum("call_count").over(whole), 2),
+            "gas_pct": percentage(F.col("total_gas"), F.sum("total_gas").over(whole), 2),
         }
     ).orderBy(F.col("call_count").desc(), "precompile")
 

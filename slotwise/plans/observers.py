@@ -11,7 +11,8 @@ from slotwise.functions import arrays
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import extract_group, percentage, position_in, range_label, ratio, tidy
 from slotwise.operators.aggregates import period_delta
-from slotwise.operators.quantiles import COUNT, MEAN, agg_with_quantiles, exact_quantiles
+from slotwise.operators.joins import only_keys_of
+from slotwise.operators.quantiles import COUNT, MEAN, counted_values, exact_quantiles, quantiles_of
 from slotwise.operators.shares import share_of_total
 from slotwise.plans.outcomes import CLIENT_PATTERN
 from slotwise.sources.scan import Period
@@ -28,6 +29,9 @@ FETCH_DAY = Period("2026-01-16 00:00:00", "2026-01-17 00:00:00")
 TWO_DAYS = Period("2026-01-15 00:00:00", "2026-01-17 00:00:00")
 
 
+MEANS = {"outer_ms": "avg_cl_ms", "inner_ms": "avg_el_ms", "overhead": "avg_overhead_ms"}
+
+
 def _client():
     return extract_group(F.col("meta_client_name"), CLIENT_PATTERN)
 
@@ -39,13 +43,14 @@ def observer_pairs(
 
     Equal rows of a side are counted before the join and ``pairs`` says how many
     pairs a row stands for, so a repeated call never lists its pairs.  Only the
-    inner side is bounded in time; the call key carries the match.
+    inner side is bounded in time; the call key carries the match, so the outer side's
+    history is cut to the inner side's keys before it is grouped and shuffled.
     """
     kept = [col.alias(name) for name, col in (keep or {}).items()]
     left = inner.groupBy(*on, *kept, F.col("duration_ms").cast("bigint").alias("inner_ms")).agg(
         F.count("*").alias("_n")
     )
-    right = outer.groupBy(*on, F.col("duration_ms").cast("bigint").alias("outer_ms")).agg(F.count("*").alias("_m"))
+    right = only_keys_of(outer, inner, on).groupBy(*on, F.col("duration_ms").cast("bigint").alias("outer_ms")).agg(F.count("*").alias("_m"))
     return left.join(right, list(on)).withColumns(
         {"overhead": F.col("outer_ms") - F.col("inner_ms"), "pairs": F.col("_n") * F.col("_m")}
     )
@@ -55,6 +60,11 @@ def _count() -> Column:
     return F.sum("pairs")
 
 
+def _sums(*values: str) -> dict[str, Column]:
+    """Totals over the pairs that the quantiles of the difference count anyway; a mean divides by its own pairs."""
+    return {"_pairs": F.sum("pairs")} | {f"_{v}": _total(v) for v in values}
+
+
 def _mean(value: str) -> Column:
     return ratio(F.sum(F.col(value) * F.col("pairs")), F.sum("pairs"))
 
@@ -116,17 +126,17 @@ def difference_by_client(
 ) -> DataFrame:
     rows = _calls(t, period, node_pattern, source).withColumn("el_client", _client())
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95, "p99_overhead_ms": 0.99}
-    aggs = [
-        _count().alias("slots"),
-        tidy(_mean("outer_ms"), 2).alias("avg_cl_ms"),
-        tidy(_mean("inner_ms"), 2).alias("avg_el_ms"),
-        tidy(_mean("overhead"), 2).alias("avg_overhead_ms"),
-        percentage(_total("overhead"), _total("outer_ms"), 1).alias("overhead_pct"),
-    ]
     named = rows.where(F.col("el_client") != "")
-    out = agg_with_quantiles(named, ["el_client"], aggs, "overhead", probs, weight="pairs")
-    first = ["el_client", "slots", "avg_cl_ms", "avg_el_ms", "avg_overhead_ms"]
-    return out.select(*first, *[tidy(p, 2).alias(p) for p in probs], "overhead_pct").orderBy("el_client")
+    counted = counted_values(named, ["el_client"], "overhead", "pairs", _sums("outer_ms", "inner_ms", "overhead"))
+    stats = {c: f"sum({c})" for c in ("_pairs", "_outer_ms", "_inner_ms", "_overhead")}
+    out = quantiles_of(counted, ["el_client"], probs, stats)
+    return out.select(
+        "el_client",
+        F.col("_pairs").alias("slots"),
+        *[tidy(ratio(F.col(f"_{v}"), F.col("_pairs")), 2).alias(n) for v, n in MEANS.items()],
+        *[tidy(p, 2).alias(p) for p in probs],
+        percentage(F.col("_overhead"), F.col("_outer_ms"), 1).alias("overhead_pct"),
+    ).orderBy("el_client")
 
 
 def difference_hourly(
@@ -170,19 +180,14 @@ def difference_per_element(
 ) -> DataFrame:
     rows = _fetches(t, period, node_pattern).withColumn("el_client", _client())
     probs = {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}
-    aggs = [
-        _count().alias("calls"),
-        _total("_size").alias("total_blobs"),
-        tidy(_mean("overhead"), 2).alias("avg_overhead_ms"),
-        tidy(ratio(_total("overhead"), _total("_size")), 2).alias("overhead_per_blob_ms"),
-    ]
     named = rows.where(F.col("el_client") != "")
-    out = agg_with_quantiles(named, ["el_client"], aggs, "overhead", probs, weight="pairs")
+    counted = counted_values(named, ["el_client"], "overhead", "pairs", _sums("_size", "overhead"))
+    out = quantiles_of(counted, ["el_client"], probs, {c: f"sum({c})" for c in ("_pairs", "__size", "_overhead")})
     return out.select(
         "el_client",
-        "calls",
-        "total_blobs",
-        "avg_overhead_ms",
+        F.col("_pairs").alias("calls"),
+        F.col("__size").alias("total_blobs"),
+        tidy(ratio(F.col("_overhead"), F.col("_pairs")), 2).alias("avg_overhead_ms"),
         *[tidy(p, 2).alias(p) for p in probs],
-        "overhead_per_blob_ms",
+        tidy(ratio(F.col("_overhead"), F.col("__size")), 2).alias("overhead_per_blob_ms"),
     ).orderBy("el_client")
