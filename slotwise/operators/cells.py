@@ -54,9 +54,13 @@ def place(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in order]) if len(order) > 1 else F.col(f"`{order[0]}`")
 
 
-def opened(rows: DataFrame, facts: DataFrame, keys: Sequence[str], order: Sequence[str], cells: str) -> DataFrame:
+def opened(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], order: Sequence[str], cells: str, also: Column | None = None
+) -> DataFrame:
     """The rows that lie in one of the ``cells`` (sorted array of _low, _high, ...) of their key, with that ``_cell`` and the facts.
 
+    ``also`` keeps further rows, without a cell.
+
     A row looks through runs of cells, then through the cells of one run.
     """
     at = place(order)
@@ -69,8 +73,9 @@ def opened(rows: DataFrame, facts: DataFrame, keys: Sequence[str], order: Sequen
     facts = facts.withColumn("_runs", F.when(F.size(cells) > 0, runs)).drop(cells)
     run = F.try_element_at(F.filter("_runs", lambda r: holds(F.element_at(r, 1), F.element_at(r, -1))), F.lit(1))
     cell = F.try_element_at(F.filter(run, lambda c: holds(c, c)), F.lit(1))
+    kept = F.col("_cell").isNotNull() if also is None else F.col("_cell").isNotNull() | also
     # A left join: only the facts, a row for each key, can ever be the broadcast side.
-    return with_facts(rows, facts, keys, "left").withColumn("_cell", cell).where(F.col("_cell").isNotNull()).drop("_runs")
+    return with_facts(rows, facts, keys, "left").withColumn("_cell", cell).where(kept).drop("_runs")
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from slotwise.operators.cells import BEFORE, HIGH as LAST, LOW as FIRST, UPTO, opened, ordered_cells, over, with_facts
 from slotwise.operators.joins import null_safe_join
+from slotwise.operators.scalars import shared
 
 # Aggregates of the value itself, from the cells.
 COUNT, TOTAL, MEAN = "sum(_mass)", "sum(_sum)", "sum(_sum) / sum(_mass)"
@@ -85,13 +86,14 @@ def at_ranks(
     facts = cells.groupBy(*[F.col(f"`{c}`") for c in group]).agg(
         F.expr(f"array_sort(collect_list(case when {hit} then struct({FIRST}, {LAST}, {BEFORE}) end)) as _open"),  # one per rank at most
         *[F.max(f"`{c}`").alias(c) for c in ("_total", *given)],
+        F.min(FIRST).alias("_least"),
         *[F.expr(f"{text} as `{name}`") for name, text in stats.items()],
     )
     within, rows = [*group, "_start"], counted
     if extra := [c for c in counted.columns if c in sums]:
-        # Always true.  It keeps the sums in this branch, so that the counted values are shuffled once for both.
-        rows = rows.where(F.hash(*extra) >= -(1 << 31)).drop(*extra)
-    rows = opened(rows, facts, group, ["_v"], "_open").withColumns({"_start": F.col("_cell")[FIRST], "_from": F.col("_cell")[BEFORE]})
+        rows = shared(counted).drop(*extra)
+    # The least value stays in any case, so that no group is lost whose ranks are all past its end.
+    rows = opened(rows, facts, group, ["_v"], "_open", also=F.col("_v").eqNullSafe(F.col("_least"))).withColumns({"_start": F.col("_cell")[FIRST], "_from": F.col("_cell")[BEFORE]})
     ranked = rows.selectExpr("*", f"_from + sum(_n) {over(within, '_v', UPTO)} as _stop")
     return ranked.groupBy(*[F.col(f"`{c}`") for c in group]).agg(
         *[F.expr(f"max(case when {rank} >= _stop - _n and {rank} < _stop then _v end) as `{name}`") for name, rank in ranks.items()],

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` for several uses in one plan.
+
+    The condition always holds.  It reads every column, so column pruning leaves each use
+    of ``df`` alike and Spark makes the shuffles below it once.
+    """
+    return df.where(F.hash(*[F.col(f"`{c}`") for c in df.columns]) >= -(1 << 31))
+
+
 def one_row(df: DataFrame, **aggs: Column) -> Column:
     """Aggregates over all rows of ``df`` as a struct scalar.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from slotwise.functions import timeparts as tp
 from slotwise.functions.labels import label_like, null_default, percentage, tidy
 from slotwise.operators.aggregates import min_sample
-from slotwise.operators.joins import null_safe_join, parent_child
-from slotwise.operators.quantiles import exact_quantiles
+from slotwise.operators.joins import parent_child
+from slotwise.operators.quantiles import HIGH, counted_values, quantiles_of
 from slotwise.operators.ranges import range_max
+from slotwise.operators.scalars import shared
 from slotwise.operators.shares import share_of_total, top_k
 from slotwise.sources.scan import Period, scan_window
 from slotwise.sources.tables import SLOT_TIME, Tables
@@ -31,10 +32,14 @@ CANONICAL, ORPHANED = "canonical", "orphaned"
 def blocks_with_parent(t: Tables, period: Period = QUARTER, lookback: Period = LOOKBACK) -> DataFrame:
     """Blocks of the period with their parent's slot and the staleness verdict.
 
-    Only blocks more than one slot behind their parent need the range lookup.
+    Only blocks more than one slot behind their parent need the range lookup.  Parents and
+    canonical points lie below the block they are asked for, so one history, from the
+    earlier start to the period's end, is read and reduced for all three.
     """
-    known = t.latest("fct_block", lookback)
-    blocks = scan_window(t.latest("fct_block", period), SLOT_TIME, period)
+    starts = (period.start, lookback.start)
+    history = t.latest("fct_block", Period(None if None in starts else min(starts), period.end))
+    history = shared(history.select("slot", "block_root", "parent_root", "status", SLOT_TIME))
+    known, blocks = (scan_window(history, SLOT_TIME, part) for part in (lookback, period))
     linked = parent_child(blocks, known, [("parent_root", "block_root")], {"slot": "parent_slot"})
     linked = linked.select(
         F.col("slot").alias("proposed_slot"),
@@ -70,16 +75,21 @@ def _stale_columns() -> list[Column]:
     ]
 
 
-def _with_entity(t: Tables, links: DataFrame) -> DataFrame:
-    entities = t.latest("fct_block_proposer_entity").select(F.col("slot").alias("proposed_slot"), "entity")
+def _with_entity(t: Tables, links: DataFrame, period: Period) -> DataFrame:
+    entities = t.latest("fct_block_proposer_entity", period).select(F.col("slot").alias("proposed_slot"), "entity")
     return links.join(entities, "proposed_slot", "left").withColumn(
         "entity_group", label_like(F.col("entity"), GROUPS, "Other", null_label="Unknown")
     )
 
 
-def _stale_distance_quantiles(rows: DataFrame, key: str) -> DataFrame:
-    stale = rows.where(F.col("is_truly_stale"))
-    return exact_quantiles(stale, [key], "parent_distance", {"p50_distance": 0.5, "p95_distance": 0.95})
+def _stale_summary(rows: DataFrame, key: str) -> DataFrame:
+    """Counts of all blocks and quantiles of the stale ones' distance, from one counted table."""
+    rows = rows.withColumn("stale_distance", F.when(F.col("is_truly_stale"), F.col("parent_distance")))
+    sums = {"total_blocks": F.count("*"), "truly_stale_blocks": F.count_if(F.col("is_truly_stale")), "orphaned_truly_stale": _count_orphaned_stale()}
+    counted = counted_values(rows, [key], "stale_distance", sums=sums)
+    stats = {c: f"sum({c})" for c in sums} | {"max_distance": HIGH}
+    out = quantiles_of(counted, [key], {"p50_distance": 0.5, "p95_distance": 0.95}, stats)
+    return out.withColumn("truly_stale_pct", percentage(F.col("truly_stale_blocks"), F.col("total_blocks"), 4))
 
 
 def daily(t: Tables, period: Period = QUARTER, lookback: Period = LOOKBACK) -> DataFrame:
@@ -116,7 +126,7 @@ def distances_by_group(t: Tables, period: Period = QUARTER, lookback: Period = L
     links = blocks_with_parent(t, period, lookback).where(F.col("parent_distance") > 1)
     keys = ["entity_group", "parent_distance"]
     return (
-        _with_entity(t, links)
+        _with_entity(t, links, period)
         .groupBy(*keys)
         .agg(
             F.count("*").alias("total_blocks"),
@@ -127,31 +137,27 @@ def distances_by_group(t: Tables, period: Period = QUARTER, lookback: Period = L
     )
 
 
+_STALE = ["total_blocks", "truly_stale_blocks", "truly_stale_pct", "orphaned_truly_stale"]
+
+
 def by_group(t: Tables, period: Period = QUARTER, lookback: Period = LOOKBACK) -> DataFrame:
-    rows = _with_entity(t, blocks_with_parent(t, period, lookback))
-    sums = rows.groupBy("entity_group").agg(
-        *_stale_columns(),
-        _count_orphaned_stale().alias("orphaned_truly_stale"),
-        F.max(F.when(F.col("is_truly_stale"), F.col("parent_distance"))).alias("max_distance"),
-    )
-    out = sums.join(_stale_distance_quantiles(rows, "entity_group"), "entity_group", "left")
+    out = _stale_summary(_with_entity(t, blocks_with_parent(t, period, lookback), period), "entity_group")
+    out = out.select("entity_group", *_STALE, "max_distance", "p50_distance", "p95_distance")
     return out.orderBy(F.col("truly_stale_pct").desc(), "entity_group")
 
 
 def top_entities(
     t: Tables, period: Period = QUARTER, lookback: Period = LOOKBACK, min_blocks: int = 100, n: int = 30
 ) -> DataFrame:
-    rows = _with_entity(t, blocks_with_parent(t, period, lookback))
-    rows = rows.withColumn("entity", null_default(F.col("entity"), "Unknown"))
-    sums = rows.groupBy("entity").agg(*_stale_columns(), _count_orphaned_stale().alias("orphaned_truly_stale"))
-    best = min_sample(sums, "total_blocks", min_blocks)
-    out = null_safe_join(best, _stale_distance_quantiles(rows, "entity"), ["entity"], "left")
-    out = out.withColumns({p: tidy(p, 1) for p in ("p50_distance", "p95_distance")})
-    return top_k(out, [F.col("truly_stale_pct").desc(), F.col("entity")], n)
+    rows = _with_entity(t, blocks_with_parent(t, period, lookback), period)
+    out = _stale_summary(rows.withColumn("entity", null_default(F.col("entity"), "Unknown")), "entity")
+    shown = [tidy(p, 1).alias(p) for p in ("p50_distance", "p95_distance")]
+    best = min_sample(out, "total_blocks", min_blocks).select("entity", *_STALE, *shown)
+    return top_k(best, [F.col("truly_stale_pct").desc(), F.col("entity")], n)
 
 
 def weekly_by_group(t: Tables, period: Period = QUARTER, lookback: Period = LOOKBACK) -> DataFrame:
-    rows = _with_entity(t, blocks_with_parent(t, period, lookback))
+    rows = _with_entity(t, blocks_with_parent(t, period, lookback), period)
     rows = rows.withColumn("week", tp.week(F.col(SLOT_TIME)))
     if period.end is not None:
         rows = rows.where(F.col("week") < F.lit(period.end).cast("timestamp").cast("date"))

@@ -113,8 +113,8 @@ def vote_impact(t: Tables, period: Period = EIGHT_DAYS) -> DataFrame:
     so votes for blocks without an entity do not match.
     """
     votes = t.latest("fct_attestation_correctness_head", period).where(F.col("votes_head").isNotNull())
-    rows = votes.join(t.latest("fct_block_proposer_entity").select("slot", "entity"), "slot")
-    blobs = t.latest("fct_block_blob_count_head").select("slot", "blob_count")
+    rows = votes.join(t.latest("fct_block_proposer_entity", period).select("slot", "entity"), "slot")
+    blobs = t.latest("fct_block_blob_count_head", period).select("slot", "blob_count")
     rows = left_fill(rows, blobs, ["slot"], {"blob_count": 0})
     sums = rows.groupBy("entity", "blob_count").agg(F.sum("votes_head").alias("_head"), F.sum("votes_max").alias("_max"))
     labelled = sums.join(scored(t, period).select("entity", "classification"), "entity")

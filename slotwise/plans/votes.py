@@ -92,7 +92,7 @@ def attester_accuracy_by_blobs(t: Tables, period: Period = ATTESTER_WEEK, dedup:
     Votes are summed per (group, slot) before the blob counts are joined.
     """
     sums = _grouped_votes(t, period, dedup, "slot")
-    blobs = t.latest("fct_block_blob_count_head").select("slot", "blob_count")
+    blobs = t.latest("fct_block_blob_count_head", period).select("slot", "blob_count")
     rows = left_fill(sums, blobs, ["slot"], {"blob_count": 0})
     keys = ["entity_group", "blob_count"]
     out = rows.groupBy(*keys).agg(F.sum("correct_head").alias("correct_head"), F.sum("total").alias("total"))
@@ -132,7 +132,7 @@ def _vote_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def proposer_votes_by_blobs(t: Tables, period: Period = PROPOSER_MONTH) -> DataFrame:
-    blobs = t.latest("fct_block_blob_count_head").select("slot", "blob_count")
+    blobs = t.latest("fct_block_blob_count_head", period).select("slot", "blob_count")
     rows = left_fill(_proposer_votes(t, period), blobs, ["slot"], {"blob_count": 0})
     keys = ["entity_group", "blob_count"]
     return _vote_sums(rows, keys).orderBy(*keys)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,38 @@ class Period:
     end: str | None = None
 
 
+@dataclass(frozen=True)
+class Clock:
+    """Slots of a fixed length, counted from a start in Unix seconds."""
+
+    start: int
+    length: int
+
+    def slots(self, period: Period) -> tuple[int | None, int | None]:
+        """The slots that begin in a period: first, and first beyond it; an open side is None."""
+        return self._first(period.start), self._first(period.end)
+
+    def _first(self, at: str | None) -> int | None:
+        if at is None:
+            return None
+        moment = datetime.fromisoformat(at)
+        moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
+        return max(-int((self.start - Fraction(moment.timestamp())) // self.length), 0)
+
+
+def slot_window(df: DataFrame, slot_col: str, period: Period, clock: Clock) -> DataFrame:
+    """A period cut by slot numbers, for tables without a time column.
+
+    Plain comparisons with literals, as in ``scan_window``.
+    """
+    first, beyond = clock.slots(period)
+    if first is not None:
+        df = df.where(F.col(slot_col) >= first)
+    if beyond is not None:
+        df = df.where(F.col(slot_col) < beyond)
+    return df
+
+
 def scan_window(
     df: DataFrame,
     time_col: str,

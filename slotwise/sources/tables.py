@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.sources.scan import Period, latest_version, scan_window
+from slotwise.functions.timeparts import GENESIS, SLOT_SECONDS
+from slotwise.sources.scan import Clock, Period, latest_version, scan_window, slot_window
 
 SLOT_TIME = "slot_start_date_time"
 EVENT_TIME = "event_date_time"
@@ -24,6 +25,7 @@ class TableSpec:
     keys: tuple[str, ...] = ()
     ties: tuple[str, ...] = ()
     network: bool = False  # rows of several networks
+    slot: str | None = None  # slot number by which a table without time is cut
 
 
 SPECS = {
@@ -49,7 +51,7 @@ SPECS = {
         SLOT_TIME, ("slot", "block_root", "node_id"), ("seen_slot_start_diff",)
     ),
     "fct_block_proposer_entity": TableSpec(SLOT_TIME, ("slot",)),
-    "fct_block_blob_count_head": TableSpec(None, ("slot",)),
+    "fct_block_blob_count_head": TableSpec(None, ("slot",), slot="slot"),
     "fct_attestation_correctness_head": TableSpec(SLOT_TIME, ("slot",)),
     "fct_attestation_correctness_canonical": TableSpec(SLOT_TIME),
     "fct_attestation_correctness_by_validator_head": TableSpec(
@@ -65,9 +67,18 @@ SPECS = {
 }
 
 
+# Start of the first slot of a network.
+CLOCKS = {"mainnet": Clock(GENESIS, SLOT_SECONDS)}
+
+
 class Tables(dict):
-    """DataFrames by table name, with the two ways the analyses read them."""
+    """DataFrames by table name, with the two ways the analyses read them.
+
+    A network with a known clock lets a period cut tables that have slots but no time;
+    others are read whole.
+    """
 
+    clocks = CLOCKS
     network = "mainnet"
     reduced = False
     source = ""  # what the tables were made from, for fingerprints of results
@@ -85,11 +96,13 @@ class Tables(dict):
     def latest(self, name: str, period: Period | None = None) -> DataFrame:
         """Newest row per key in the period.
 
-        The period cuts whole keys, so it may run before the reduction; every
-        other filter belongs after it.
+        The period cuts whole keys, by time or by slot, so it may run before the
+        reduction; every other filter belongs after it.
         """
-        spec = SPECS[name]
+        spec, clock = SPECS[name], self.clocks.get(self.network)
         df = self[name] if spec.time is None else self.window(name, period)
+        if spec.time is None and spec.slot and period and clock:
+            df = slot_window(df, spec.slot, period, clock)
         if self.reduced or not spec.keys:
             return df
         if VERSION not in df.columns:
