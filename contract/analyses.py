@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contract.registry import Given, Registry
 from contract.sqltools import ladder, pct, quant, rnd
 from slotwise.functions import timeparts as tp
-from slotwise.functions.labels import ratio, tidy
+from slotwise.functions.labels import range_label, ratio, tidy
 from slotwise.operators import aggregates as agg
 from slotwise.operators import quantiles, series
 from slotwise.plans import measures, records, voter_sets
@@ -123,6 +123,38 @@ def reached_curve_pa3(d: Given) -> DataFrame:
     return voter_sets.reached_curve(waited, "waited", 3600, 24)
 
 
+PLACE_SQL = """c as (select ts::date as day, event_type, max(bit_count(user_id) - 1) as best from events group by all),
+       e as (select day, sum(best) as expected from c group by 1),
+       f as (select ts::date as day, event_type as place, user_id, min(epoch_us(ts)) as first from events group by all),
+       r as (select *, row_number() over (partition by day, place order by first) as rk, count(*) over (partition by day, place) as seen from f),
+       g as (select day, place, max(first) filter (rk = cast(ceil(expected * 0.9::double) as bigint)) as reached, max(seen) as voters
+             from r left join e using (day) group by all)"""
+
+
+def _reach_by_place(d: Given) -> DataFrame:
+    """When each place had seen 0.9 of the voters expected on a day, which are estimated for that day."""
+    rows = d.events.select(
+        tp.day(F.col("ts")).alias("day"), F.col("event_type").alias("place"), "user_id", tp.micros(F.col("ts")).alias("at")
+    )
+    expected = voter_sets.estimated_voters(rows, ["day"], "place", F.bit_count("user_id"), "expected")
+    return voter_sets.time_to_share(rows, ["day", "place"], "user_id", "at", 0.9, expected, "reached")
+
+
+@query(f"with {PLACE_SQL} select day, place, make_timestamp(reached) as reached_at, voters from g")
+def time_to_share_by_place_pa3(d: Given) -> DataFrame:
+    return _reach_by_place(d).select("day", "place", F.timestamp_micros("reached").alias("reached_at"), "voters")
+
+
+@query(
+    f"""with {PLACE_SQL}, w as (select place, greatest(ceil((reached - epoch_us(day::timestamp)) / 3600000000), 0) as cell from g),
+        x as (select distinct place, c from w, (select unnest(range(25)) as c) as grid)
+        select x.place, c * 3600 as at, {pct('count(*) filter (cell <= c)', 'count(*)', 4)} as reached_pct from x join w using (place) group by x.place, c"""
+)
+def reached_curve_by_place_pa3(d: Given) -> DataFrame:
+    waited = _reach_by_place(d).withColumn("waited", (F.col("reached") - tp.seconds(F.col("day")) * 1_000_000) / F.lit(1e6))
+    return voter_sets.reached_curve(waited, "waited", 3600, 24, keys=["place"])
+
+
 # --- verdicts, inclusion, drift -----------------------------------------------------------
 
 
@@ -250,6 +282,34 @@ def recovery_time_pa9(d: Given) -> DataFrame:
     return measures.recovery_time(rows, "user_id", "at", F.col("event_type") == "error", keep=["event_id"])
 
 
+STRETCH_SQL = """b as (select user_id, epoch_us(ts) as t, cast(floor(value / 40) as bigint) as distance,
+             (select min(epoch_us(n.ts)) from events n where n.user_id = e.user_id and n.ts > e.ts and n.event_type <> 'error') as nxt
+             from events e where event_type = 'error'),
+       s as (select user_id, min(t) as behind_from, max(t) as behind_until, count(*) as behind_rows, max(distance) as greatest_distance,
+             nxt - min(t) as recovered_after, coalesce(nxt - min(t) <= 43200000000, false) as recovered from b group by user_id, nxt)"""
+BAND_EDGES, BAND_LABELS = [1, 4], ["0", "1-3", "4+"]
+
+
+def _stretches(d: Given) -> DataFrame:
+    rows = d.events.withColumn("at", tp.micros(F.col("ts")))
+    distance = F.floor(F.col("value") / 40)
+    return measures.behind_stretches(rows, "user_id", "at", F.col("event_type") == "error", distance, limit=43_200_000_000)
+
+
+@query(f"with {STRETCH_SQL} select * from s")
+def behind_stretches_pa9(d: Given) -> DataFrame:
+    return _stretches(d)
+
+
+@query(
+    f"""with {STRETCH_SQL} select {ladder('greatest_distance', BAND_EDGES, BAND_LABELS)} as distance_band, count(*) as stretches,
+        cast(sum(behind_rows) as bigint) as behind_rows, count(*) filter (recovered) as recovered,
+        {pct('count(*) filter (recovered)', 'count(*)', 2)} as recovered_pct, count(*) filter (recovered_after is null) as never from s group by 1"""
+)
+def recovered_share_pa9(d: Given) -> DataFrame:
+    return measures.recovered_share(_stretches(d), range_label(F.col("greatest_distance"), BAND_EDGES, BAND_LABELS))
+
+
 KINDS = ["click", "error", "purchase", "signup", "view"]
 FIELDS_SQL = """f as (select user_id, event_type, arg_min(cast(floor(value / 40) as bigint), (ts, event_id)) as v,
              arg_min(cast(json_extract_string(props, '$.k') as bigint) // 25, (ts, event_id)) as k from events group by all),
@@ -352,7 +412,7 @@ RATES_SQL = """e as (select user_id, cast(floor(epoch(ts)) as bigint) as t, valu
 def _rates(d: Given) -> DataFrame:
     """The running total per user is the counter; rates over six hours, hourly, also where nothing happened."""
     rows = d.events.select("user_id", "event_id", tp.micros(F.col("ts")).alias("us"), tp.seconds(F.col("ts")).alias("t"), "value")
-    total = series.running_total(rows, ["user_id"], "us", "value", "counter", width=86_400_000_000, ties=["event_id"])
+    total = series.running_total(rows, ["user_id"], "us", "value", "counter", ties=["event_id"])
     return series.counter_rate(total, ["user_id"], "t", "counter", window=21600, step=3600, ties=["us", "event_id"])
 
 

@@ -47,7 +47,8 @@ def ordered_cells(
         .agg(F.min(found).alias(LOW), F.max(found).alias(HIGH), mass.alias("_mass"), *[agg.alias(name) for name, agg in aggs.items()])
         .drop("_part")
     )
-    return cells.selectExpr("*", f"sum(_mass) {over(keys, LOW, UPTO)} - _mass as {BEFORE}")
+    earlier = "rows between unbounded preceding and 1 preceding"
+    return cells.selectExpr("*", f"coalesce(sum(_mass) {over(keys, LOW, earlier)}, 0) as {BEFORE}")
 
 
 def place(order: Sequence[str]) -> Column:

@@ -52,7 +52,8 @@ def values_at_ranks(
     """Per key the value at each rank (0 is the smallest); NULL past the end.
 
     ``ranks`` maps an output name to an SQL expression over ``_total``, the group's row
-    count, and the ``constants``: columns, or a table with one row per key.  ``stats`` are
+    count, and the ``constants``: columns, or a table with one row for each value of the
+    keys (or some of them) that it has.  ``stats`` are
     aggregates over cells (COUNT, TOTAL, MEAN, LOW, HIGH, sums of sums).  ``_total`` and the stats come
     out as well.  NULL values are left out.  ``weight`` names a column that says how many
     rows a row stands for; ``parts`` fixes the number of range partitions.
@@ -78,7 +79,7 @@ def at_ranks(
     cells = cells.selectExpr("*", f"sum(_mass) {over(group)} as _total")
     if isinstance(constants, DataFrame):
         given = [c for c in constants.columns if c not in group]
-        cells = with_facts(cells, constants, group)
+        cells = with_facts(cells, constants, [c for c in group if c in constants.columns], "left")
     else:
         given = list(constants or {})
         cells = cells.withColumns(dict(constants or {}))

@@ -1,62 +1,57 @@
-"""Ordered series per key, in time buckets so that one key spreads over tasks."""
+"""Ordered series per key: a prefix scan over cells of about equal size.
+
+Rows are cut into cells by their own places (``operators/cells.py``), so a key that holds
+most rows, even all in one second, spreads over tasks.  A first pass sums up each cell, a
+running value over the few cells is the carry, and a second pass works inside cells only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from slotwise.operators.cells import BEFORE, HIGH, LOW, opened, ordered_cells, over
 from slotwise.operators.joins import null_safe_join
 
 
-def _bucketed(df: DataFrame, position: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)).cast("bigint"))
+def _in_cells(df: DataFrame, keys: list[str], order: list[str], cells: DataFrame, *carries: str) -> tuple[DataFrame, WindowSpec]:
+    """``df`` with its cell's carries in ``_cell``, and the window inside a cell."""
+    of_key = cells.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.expr(f"array_sort(collect_list(struct({', '.join((LOW, HIGH, *carries))}))) as _cells")
+    )
+    rows = opened(df, of_key, keys, order, "_cells").withColumn("_start", F.col("_cell")[LOW])
+    return rows, Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_start").orderBy(*order)
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int, ties: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, ties: Sequence[str] = (), parts: int | None = None
 ) -> DataFrame:
-    """Cumulative sum along ``position``: inside buckets, plus the sum of earlier buckets.
+    """Cumulative sum along ``position`` and ``ties``, which must tell the rows of a key apart.
 
-    The window over a key holds one row per bucket.
+    ``parts`` fixes the number of range partitions.
     """
-    keys = list(keys)
-    rows = _bucketed(df, position, width)
-    sums = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(position, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        rows.withColumn("_part", F.sum(value).over(inside))
-        .join(sums, [*keys, "_bucket"], "inner")
-        .withColumn(out, F.col("_part") + F.col("_base"))
-        .drop("_bucket", "_part", "_base")
-    )
+    keys, order = list(keys), [position, *ties]
+    cells = ordered_cells(df, keys, order, F.coalesce(F.sum(value), F.lit(0)), parts)
+    rows, inside = _in_cells(df, keys, order, cells, BEFORE)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, F.sum(value).over(upto) + F.col("_cell")[BEFORE]).drop("_cell", "_start")
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int, ties: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, ties: Sequence[str] = (), parts: int | None = None
 ) -> DataFrame:
-    """The value of the row before along ``position``; NULL for a key's first row."""
-    keys = list(keys)
-    rows = _bucketed(df, position, width)
-    order = F.struct(position, *ties)
-    tails = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(order.alias("o"), F.col(value).alias("v"))).alias("_t"))
-    tails = tails.select(
-        *keys,
-        "_bucket",
-        F.lag(F.col("_t").getField("v")).over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(position, *ties)
-    return (
-        rows.withColumn("_lag", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(tails, [*keys, "_bucket"], "inner")
-        .withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_lag", "_first", "_before")
+    """The value of the row before along ``position`` and ``ties``; NULL for a key's first row."""
+    keys, order = list(keys), [position, *ties]
+    last = F.max(F.struct(F.struct(*order).alias("at"), F.col(value).alias("value"))).getField("value")
+    cells = ordered_cells(df, keys, order, F.count("*"), parts, _tail=last)
+    cells = cells.selectExpr("*", f"lag(_tail) {over(keys, LOW)} as _carry")
+    rows, inside = _in_cells(df, keys, order, cells, "_carry")
+    first = F.row_number().over(inside) == 1
+    rows = rows.withColumns({"_lag": F.lag(value).over(inside), "_first": first})
+    return rows.withColumn(out, F.when(F.col("_first"), F.col("_cell")["_carry"]).otherwise(F.col("_lag"))).drop(
+        "_cell", "_start", "_lag", "_first"
     )
 
 
@@ -67,7 +62,6 @@ def counter_rate(
     counter: str,
     window: int,
     step: int,
-    bucket: int = 86400,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Per-second rate of a rising counter over the last ``window`` seconds, at
@@ -77,7 +71,7 @@ def counter_rate(
     nothing rose in the window the rate is 0.
     """
     keys = list(keys)
-    prior = previous_value(df, keys, seconds, counter, "_prior", bucket, ties)
+    prior = previous_value(df, keys, seconds, counter, "_prior", ties)
     gain = F.when(F.col(counter) >= F.col("_prior"), F.col(counter) - F.col("_prior")).otherwise(F.col(counter))
 
     def step_from(position: Column) -> Column:

@@ -44,6 +44,44 @@ def threshold_exceedance(
     return agg_with_quantiles(df, keys, [F.count("*").alias("rows"), *rates], value, probs)
 
 
+def behind_stretches(
+    df: DataFrame, key: str, at: str, behind: Column, distance: Column, limit: int, width: int = 3_600_000_000
+) -> DataFrame:
+    """Each unbroken stretch of rows behind: start, rows, greatest distance, and whether it ended within ``limit``.
+
+    Rows behind that have the same next row not behind are one stretch, so stretches are
+    groups and no key is sorted.  ``recovered_after`` counts from the first row of a
+    stretch and is NULL, ``recovered`` false, for one that never ends.
+    """
+    late = df.where(behind).select(key, at, distance.alias("_distance"))
+    found = next_after(late, df.where(~behind), at, at, "_next", [key], width=width)
+    after = F.col("_next") - F.min(at)
+    return (
+        late.join(found, [key, at], "left")
+        .groupBy(key, "_next")
+        .agg(
+            F.min(at).alias("behind_from"),
+            F.max(at).alias("behind_until"),
+            F.count("*").alias("behind_rows"),
+            F.max("_distance").alias("greatest_distance"),
+            after.alias("recovered_after"),
+            F.coalesce(after <= F.lit(limit), F.lit(False)).alias("recovered"),
+        )
+        .drop("_next")
+    )
+
+
+def recovered_share(stretches: DataFrame, band: Column, out: str = "distance_band") -> DataFrame:
+    """Stretches by how far behind they fell, and the share that recovered within the limit."""
+    return stretches.groupBy(band.alias(out)).agg(
+        F.count("*").alias("stretches"),
+        F.sum("behind_rows").alias("behind_rows"),
+        F.count_if(F.col("recovered")).alias("recovered"),
+        percentage(F.count_if(F.col("recovered")), F.count("*"), 2).alias("recovered_pct"),
+        F.count_if(F.col("recovered_after").isNull()).alias("never"),
+    )
+
+
 def recovery_time(
     df: DataFrame,
     key: str,

@@ -38,6 +38,7 @@ def blocks_with_parent(t: Tables, period: Period = QUARTER, lookback: Period = L
     """
     starts = (period.start, lookback.start)
     history = t.latest("fct_block", Period(None if None in starts else min(starts), period.end))
+    history = history.where(F.col("slot").isNotNull() & F.col("block_root").isNotNull())  # a block has both; joins ask for it
     history = shared(history.select("slot", "block_root", "parent_root", "status", SLOT_TIME))
     known, blocks = (scan_window(history, SLOT_TIME, part) for part in (lookback, period))
     linked = parent_child(blocks, known, [("parent_root", "block_root")], {"slot": "parent_slot"})

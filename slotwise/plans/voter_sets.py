@@ -86,33 +86,48 @@ def estimated_voters(
 
 
 def time_to_share(
-    df: DataFrame, group: Sequence[str], voter: str, at: str, share: float, expected: Column, out: str
+    df: DataFrame, group: Sequence[str], voter: str, at: str, share: float, expected: Column | DataFrame, out: str
 ) -> DataFrame:
     """First time at which ``share`` of the expected voters was seen; NULL if never.
 
-    The wanted voter is the one of rank ceil(share * expected), so the time is a
+    ``expected`` is one number for all groups, or a table with a row for each value of some
+    group columns and the number beside them, as ``estimated_voters`` makes it.  The wanted voter is the one of rank ceil(share * expected), so the time is a
     rank of the first sightings and no group is sorted as a whole.
     """
     first = df.groupBy(*group, voter).agg(F.min(at).alias("_first"))
     rank = f"ceil(_expected * {share!r}D) - 1"
-    found = values_at_ranks(first, group, "_first", {out: rank}, constants={"_expected": expected})
+    if isinstance(expected, DataFrame):
+        (number,) = [c for c in expected.columns if c not in group]
+        constants = expected.withColumnRenamed(number, "_expected")
+    else:
+        constants = {"_expected": expected}
+    found = values_at_ranks(first, group, "_first", {out: rank}, constants=constants)
     return found.select(*group, out, F.col("_total").alias("voters"))
 
 
-def reached_curve(df: DataFrame, waited: str, step: int, cells: int, out: str = "reached_pct") -> DataFrame:
-    """Share of all groups that had reached the limit by each grid time.
+def reached_curve(
+    df: DataFrame, waited: str, step: int, cells: int, out: str = "reached_pct", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Share of all groups, or of those of each key, that had reached the limit by each grid time.
 
-    ``waited`` is NULL for groups that never did; they stay in the total.  The
-    running sum is over the ``cells`` grid rows only.
+    ``waited`` is NULL for groups that never did; they stay in the total.  Groups are
+    counted per grid cell first; the running sum of a key is over its ``cells`` grid rows
+    only, which come from one row a key, so rows and grid are never joined.
     """
-    cell = F.when(F.col(waited).isNotNull(), F.greatest(F.ceil(F.col(waited) / F.lit(step)), F.lit(0)))
-    counted = df.groupBy(cell.cast("int").alias("cell")).agg(F.count("*").alias("_n"))
-    total = one_row(counted, n=F.sum("_n")).getField("n")
-    axis = df.sparkSession.range(cells + 1).select(F.col("id").cast("int").alias("cell"))
-    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    return axis.join(counted, "cell", "left").select(
+    named = [F.col(f"`{k}`") for k in keys]
+    cell = F.when(F.col(waited).isNotNull(), F.greatest(F.ceil(F.col(waited) / F.lit(step)), F.lit(0))).cast("int")
+    counted = df.groupBy(*named, cell.alias("cell")).agg(F.count("*").alias("_n"))
+    # Cells beyond the grid, and groups that never reached, count in the total alone.
+    of_key = counted.groupBy(*named).agg(
+        F.sum("_n").alias("_total"), F.map_from_entries(F.expr(f"collect_list(struct(cell, _n)) filter (where cell <= {cells})")).alias("_counts")
+    )
+    grid = F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda c: F.struct(c.alias("cell"), F.coalesce(F.try_element_at("_counts", c), F.lit(0)).alias("_n")))
+    rows = of_key.select(*named, "_total", F.inline(grid))
+    upto = Window.partitionBy(*named).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        *named,
         (F.col("cell") * F.lit(step)).cast("bigint").alias("at"),
-        percentage(F.coalesce(F.sum("_n").over(upto), F.lit(0)), total, 4).alias(out),
+        percentage(F.sum("_n").over(upto), F.col("_total"), 4).alias(out),
     )
 
 

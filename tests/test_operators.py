@@ -110,8 +110,8 @@ def test_null_keys_join(spark):
 def test_running_total_and_previous_value_across_buckets(spark):
     data = [("a", t, float(t % 7)) for t in range(0, 500, 3)] + [("b", 1000, 1.0)]
     df = spark.createDataFrame(data, "k string, t bigint, v double")
-    got = {(r["k"], r["t"]): r["c"] for r in series.running_total(df, ["k"], "t", "v", "c", 50).collect()}
-    back = {(r["k"], r["t"]): r["p"] for r in series.previous_value(df, ["k"], "t", "v", "p", 50).collect()}
+    got = {(r["k"], r["t"]): r["c"] for r in series.running_total(df, ["k"], "t", "v", "c", parts=4).collect()}
+    back = {(r["k"], r["t"]): r["p"] for r in series.previous_value(df, ["k"], "t", "v", "p", parts=4).collect()}
     total, last = {}, {}
     for k, t, v in data:
         total[k] = total.get(k, 0.0) + v
@@ -120,6 +120,20 @@ def test_running_total_and_previous_value_across_buckets(spark):
         last[k] = v
 
 
+def test_one_busy_second_spreads_over_cells(spark):
+    """All rows of the busy key lie in one second; the number of the row orders them."""
+    n, parts = 12_000, 12
+    df = spark.range(n).select(F.when(F.col("id") % 20 == 0, "calm").otherwise("busy").alias("k"), F.lit(7).alias("t"), "id", (F.col("id") % 13).alias("v"))
+    cells = ordered_cells(df, ["k"], ["t", "id"], F.count("*"), parts).collect()
+    assert max(c._mass for c in cells) <= 3 * n / parts and len(cells) >= parts // 2
+    window = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumns({"c": F.sum("v").over(window), "p": F.lag("v").over(window)})
+    got = series.previous_value(series.running_total(df, ["k"], "t", "v", "c", ["id"], parts), ["k"], "t", "v", "p", ["id"], parts)
+    assert rows(got) == rows(want)
+    alone = Window.orderBy("t", "id")
+    assert rows(series.running_total(df, [], "t", "v", "c", ["id"], parts)) == rows(df.withColumn("c", F.sum("v").over(alone)))
+
+
 def test_counter_restart_counts_the_new_reading(spark):
     df = spark.createDataFrame([("a", 0, 10.0), ("a", 60, 40.0), ("a", 120, 5.0)], "k string, t bigint, c double")
     out = rows(series.counter_rate(df, ["k"], "t", "c", window=120, step=60))

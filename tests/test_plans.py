@@ -1,8 +1,11 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from helpers import rows
+from contract.derived import DerivedTables
+from helpers import final_plan, planned, rows
+from slotwise.operators.joins import only_keys_of
 from slotwise.plans import block_size, call_frames, catalogue, gossip, measures, observers, parents, records, scores, voter_sets, votes
 from slotwise.plans.refresh import refresh
 from slotwise.sources import Period, ResultStore
@@ -55,6 +58,58 @@ def test_missed_slots_are_not_stale_parents(spark):
     assert (table[5]["truly_stale_or_normal"], table[5]["missed_slots_only"]) == (1, 0)
 
 
+def test_one_history_serves_period_and_lookback(spark, tmp_path):
+    """Blocks of hour two on parents of hour one: one scan and one reduction of the blocks."""
+    blocks = spark.range(1, 600).select(
+        F.col("id").alias("slot"),
+        F.concat(F.lit("r"), "id").alias("block_root"),
+        F.concat(F.lit("r"), F.col("id") - F.when(F.col("id") % 7 == 0, 3).otherwise(1)).alias("parent_root"),
+        F.when(F.col("id") % 11 == 0, "orphaned").otherwise("canonical").alias("status"),
+        F.timestamp_seconds(1606824023 + F.col("id") * 12).alias("slot_start_date_time"),
+        F.lit(0).cast("timestamp").alias("updated_date_time"),
+    )
+    blocks.write.parquet(f"{tmp_path}/blocks")
+    t = Tables({"fct_block": spark.read.parquet(f"{tmp_path}/blocks")})
+    t.network = None
+    period, lookback = Period("2020-12-01 13:00:23", "2020-12-01 13:30:23"), Period("2020-12-01 12:30:23")
+    links = parents.blocks_with_parent(t, period, lookback)
+    got = {(r.proposed_slot, r.parent_slot, r.latest_canonical_slot, r.is_truly_stale) for r in links.collect()}
+    want = set()
+    for slot in range(300, 450):
+        parent = slot - (3 if slot % 7 == 0 else 1)
+        newest = max((s for s in range(parent, slot) if s % 11), default=None) if slot - parent > 1 else None
+        want.add((slot, parent, newest, newest is not None and newest > parent))
+    assert got == want
+    plan = final_plan(links).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") >= 1
+    bounds = r"slot_start_date_time#\d+ >= 2020-12-01 12:30:23.+slot_start_date_time#\d+ < 2020-12-01 13:30:23.+\n.+ColumnarToRow"
+    assert re.search(bounds, plan)
+
+
+def test_outer_observer_is_cut_to_the_inner_keys_before_its_shuffle(spark):
+    outer = spark.range(50_000).select((F.col("id") % 10_000).alias("k"), F.lit(5).alias("duration_ms"))
+    inner = spark.createDataFrame([(3, 1), (3, 2), (77, 4), (None, 9)], "k bigint, duration_ms int")
+    cut = only_keys_of(outer, inner, ["k"])
+    assert cut.count() == 10 and "LeftSemi, BuildRight" in planned(cut)
+    assert planned(cut).count("Exchange hashpartitioning") == 1  # of the inner keys alone
+    assert only_keys_of(outer, inner, ["k"], held=1).count() == 10
+    pairs = observers.observer_pairs(inner, outer, ["k"])
+    assert rows(pairs.select("k", "overhead", "pairs")) == [(3, 3, 5), (3, 4, 5), (77, 1, 5)]
+
+
+def test_results_follow_the_period_with_and_without_slot_numbers(spark, sf_dir):
+    """Side tables cut by slots give what the whole history gives, for a part of the time."""
+    for name in ("attester_accuracy_by_blobs", "proposer_votes_by_blobs", "score_vote_impact", "stale_parents_by_group"):
+        period = {"period": Period("2020-12-01 12:10:23", "2020-12-01 16:10:23")}
+        if name.startswith("stale"):
+            period["lookback"] = Period("2020-12-01 12:00:23")
+        cut, whole = DerivedTables(spark, sf_dir), DerivedTables(spark, sf_dir)
+        whole.clocks = {}
+        found = rows(catalogue.run(name, cut, spark, **period))
+        assert found, name
+        assert found == rows(catalogue.run(name, whole, spark, **period))
+
+
 def test_entity_groups_of_parents(spark):
     got = {r["entity_group"]: r["total_blocks"] for r in parents.by_group(_chain(spark), ALL, ALL).collect()}
     assert got == {"Lido Professional": 2, "Lido CSM": 1, "Solo Stakers": 1, "Unknown": 2}

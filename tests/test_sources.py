@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from helpers import final_plan, planned, rows
 from slotwise.sources import Period, ResultStore, latest_version, scan_window
 from slotwise.sources.results import fingerprint, shared_root
+from slotwise.sources.scan import Clock
 from slotwise.sources.tables import Tables
 
 
@@ -71,6 +72,49 @@ def test_store_hits_bypasses_and_empty_results(spark, tmp_path):
     assert rows(store.result_view("demo.one", "q 1")) == rows(spark.table("demo_one"))
 
 
+def test_a_refresh_that_dies_or_runs_twice_leaves_one_whole_result(spark, tmp_path):
+    store, text = ResultStore(spark, str(tmp_path)), "q"
+    one, two = (spark.createDataFrame([(n,)], "n int") for n in (1, 2))
+
+    class Dies:
+        write = property(lambda self: (_ for _ in ()).throw(RuntimeError("lost")))
+
+    one.write.parquet(f"{store.path(text)}/version-dead")  # written, never published
+    assert not store.stored(text)
+    with pytest.raises(RuntimeError):
+        store.publish(text, Dies())
+    assert not store.stored(text)
+    assert rows(store.materialize(text, lambda: one)) == [(1,)]
+    reading = spark.read.parquet(store.published(text))
+    store.publish(text, two)  # a second job switches the pointer; who reads goes on reading
+    assert rows(reading) == [(1,)]
+    assert rows(store.materialize(text, lambda: one)) == [(2,)]
+
+
+def test_views_of_two_names_never_meet(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path))
+    store.result_view("a.b_c", "select 1 as n")
+    store.result_view("a.b_c", "select 1 as n")
+    with pytest.raises(ValueError, match="a_b_c"):
+        store.result_view("a_b.c", "select 2 as n")
+
+
+def test_a_period_cuts_slots_where_there_is_no_time(spark, tmp_path):
+    clock = Clock(1_606_824_023, 12)
+    assert clock.slots(Period("2020-12-01 12:00:23", "2020-12-01 12:00:47")) == (0, 2)
+    assert clock.slots(Period("2020-12-01 12:00:24", None)) == (1, None)
+    assert clock.slots(Period("2019-01-01")) == (0, None)
+    counts = spark.range(100).select(F.col("id").alias("slot"), F.lit(1).alias("blob_count"), F.lit(0).cast("timestamp").alias("updated_date_time"))
+    counts.write.parquet(f"{tmp_path}/counts")
+    t = Tables({"fct_block_blob_count_head": spark.read.parquet(f"{tmp_path}/counts")})
+    period = Period("2020-12-01 12:02:23", "2020-12-01 12:04:23")
+    cut = t.latest("fct_block_blob_count_head", period)
+    assert [r.slot for r in cut.orderBy("slot").collect()] == list(range(10, 20))
+    assert "PushedFilters: [IsNotNull(slot), GreaterThanOrEqual(slot,10), LessThan(slot,20)]" in planned(cut)
+    t.network = "elsewhere"  # no known clock: read whole
+    assert t.latest("fct_block_blob_count_head", period).count() == 100
+
+
 def test_shared_root_follows_the_session(spark):
     class Named:
         """A session whose cluster names a shared folder."""
