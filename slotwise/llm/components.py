@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.store import written
+from slotwise.llm.store import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,10 +29,12 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("a").alias("from"), "least.to"),
             "moves",
         )
+        known, left = labels, edges
         labels = written(_moved(labels, moves, "root"), "labels")
         edges = written(_moved(_moved(edges, moves, "a"), moves, "b").filter("a <> b").distinct(), "links")
+        forget(moves, left, *([known] if turn else []))
         turn += 1
-    return labels
+    return labels if turn else written(labels, "labels")
 
 
 def _moved(df: DataFrame, moves: DataFrame, column: str) -> DataFrame:

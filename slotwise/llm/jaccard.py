@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.components import components
 from slotwise.llm.hashing import U, mix, shingle_hashes, words_of
-from slotwise.llm.store import in_small_batches, written
+from slotwise.llm.store import forget, in_small_batches, written
 
 BLOCK = 2048  # list members that meet at once
 CELLS = 256  # sketch cells of one byte
@@ -243,7 +243,10 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("name")).alias("x"),
         F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"),
     )
-    return members.join(alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    kept = alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    one_of_each = written(members.join(kept, "key", "left_semi"), "members")
+    forget(members)
+    return one_of_each
 
 
 def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
@@ -303,7 +306,6 @@ def jaccard_components(
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = written(profiles(docs, rule), "profiles")
-    classes = held.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     lists = written(
         held.select(F.explode("keys").alias("key"), "name")
         .groupBy("key")
@@ -312,7 +314,10 @@ def jaccard_components(
         .select("key", "hub"),
         "lists",
     )
-    members = written(_members(held, lists), "members")
+    members = _members(held, lists)
+    full, held = held, written(held.drop("keys"), "sizes")
+    classes = held.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    forget(full, lists)
     firsts = written(members.select("name").distinct().join(classes.select("name", "first_id"), "name"), "firsts")
     sets = written(_candidate_sets(docs, firsts, rule), "sets")
     stars = members.groupBy(F.col("name").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
@@ -323,14 +328,17 @@ def jaccard_components(
         rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
             "key", "name", "n", F.coalesce("root", "name").alias("root")
         )
-        pairs = written(_list_pairs(written(rows, "rows"), sketches, rule, spanning), "pairs")
+        rows = written(rows, "rows")
+        pairs = written(_list_pairs(rows, sketches, rule, spanning), "pairs")
         more = written(overlap_links(pairs, sets, rule), "more")
+        forget(rows, pairs)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
     named = classes.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.select("name", "root").join(least, "root").select("name", "component_id"), "classes")
+    forget(members, firsts, sets, sketches, roots)
     return held.join(of_class, "name", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
