@@ -6,8 +6,8 @@ hands the next one what it reads back.  All but the last return the columns of
 ``documents``; the last returns the pieces of the packed sequences.
 
 Ids need not name rows.  Language and quality are found for each row by itself and stand
-beside it; the two dedup stages run on a number that every row is given and that is
-written with it, so what a stage decides about a row holds for that row alone.
+beside it; the two dedup stages run on the place of a row in the files of the stage
+before, so what a stage decides about a row holds for that row alone.
 
 Defined cases: a row with a null id is kept or dropped by its text like any other (it is
 no labelled row); rows that share an id and differ in text each have their own fate; of
@@ -18,7 +18,8 @@ smallest id (a null id last); texts without words are no near copies of each oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm import dedup, jaccard, language, packing, quality
@@ -66,8 +67,20 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written, so that a row keeps it."""
-    return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number for each row, which it keeps however often it is read.
+
+    Rows of Parquet files have their place there: the number of the file, in order of
+    names, and of the row.  Other rows are written with a number.
+    """
+    file, row = "file_of_stage", "place_in_file_of_stage"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    order = F.row_number().over(Window.orderBy(file)).cast("long")  # a row for each file
+    files = written(placed.select(file).distinct().withColumn("file_number_of_stage", order), "files")
+    number = F.shiftleft("file_number_of_stage", 40).bitwiseOR(F.col(row))
+    return placed.join(files, file).withColumn(NUMBER, number).drop(file, row, "file_number_of_stage")
 
 
 def _first(docs: DataFrame, rows: DataFrame, found: DataFrame, least: Column) -> DataFrame:
