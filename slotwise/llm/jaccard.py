@@ -49,7 +49,7 @@ BLOCK = 2048  # list members that meet at once
 CELLS = 256  # sketch cells of one byte
 STEP = 1.5  # ratio of neighbouring size classes
 SEEN = 200_000  # sets a task remembers, so as not to emit a copy's keys again
-BITMAP_BITS = 26  # of the filters sent to the tasks: 8 MB each, whatever the input
+BITMAP_BITS = 26  # of a filter sent to the tasks at most: 8 MB, whatever the input
 ROWS_PER_BIN = 20_000
 
 
@@ -161,26 +161,30 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def bitmap(numbers: DataFrame, column: str) -> bytes:
-    """A filter of fixed size that holds every number of the column (and, by chance, others)."""
+    """A filter that holds every number of the column (and, by chance, others), of 8 to 16 bits a number.
+
+    Its size ends at ``BITMAP_BITS``: beyond some 10 million numbers more pass by chance.
+    """
+    size = min(BITMAP_BITS, max(16, (8 * numbers.count()).bit_length()))
     spread = F.xxhash64(F.col(column))
     words = (
         numbers.select(
-            F.shiftrightunsigned(spread, 64 - BITMAP_BITS + 6).alias("w"),
+            F.shiftrightunsigned(spread, 64 - size + 6).alias("w"),
             F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("bit"),
         )
         .groupBy("w")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes()
 
 
 def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the numbers, hashed by Spark's ``xxhash64``, the filter holds."""
-    h = hashed.view(np.uint64)
-    return (bits[(h >> U(64 - BITMAP_BITS + 6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
+    h, size = hashed.view(np.uint64), (64 * len(bits)).bit_length() - 1
+    return (bits[(h >> U(64 - size + 6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
 
 
 def overlap_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
