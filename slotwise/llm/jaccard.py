@@ -14,8 +14,9 @@ keys for their empty blocks too.
 
 1. Documents with the same set are one class.  Classes emit their keys.
 2. Keys with several classes are lists; of lists with the same members one is kept.  Each
-   class first meets one other, the smallest first member of its lists: the exact overlap
-   of the two sets decides.  The links give components.
+   class first meets one other, the smallest first member of its lists: pairs whose
+   sketches differ too much go, of the others the exact overlap of the two sets decides.
+   The links give components.  Whole sets are made for the pairs that are left only.
 3. In lists that still hold several components, members of different components meet,
    in blocks of at most ``BLOCK`` x ``BLOCK``, as a matrix product over small sketches:
    pairs that differ in more sketch cells than the size bound allows go, of the others
@@ -187,8 +188,36 @@ def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bits[(h >> U(64 - size + 6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
 
 
-def overlap_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose sets overlap enough."""
+def sketched_pairs(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """Of the candidate pairs (a, b) those whose sketches differ in no more cells than sizes allow."""
+    left, right = (
+        sketches.select(F.col("name").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")) for end in "ab"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("sa", "sb"))
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= rule.most_different(sizes)))
+
+    near = pairs.join(left, "a").join(right, "b")
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def overlap_links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
+    """Of the candidate pairs (a, b) those whose sets overlap enough, written.
+
+    Only the sets of these pairs are made, from the texts of the classes' first documents.
+    """
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    asked = written(firsts.join(names, "name", "left_semi"), "asked")
+    sets = written(_candidate_sets(docs, asked, rule, whole=True), "sets")
+    links = written(_overlapping(pairs, sets.select("name", "grams"), rule), "overlaps")
+    forget(asked, sets)
+    return links
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     left = sets.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
     na, nb = F.size("ga"), F.size("gb")
@@ -196,13 +225,13 @@ def overlap_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     close = (100 * F.least(na, nb) >= rule.percent * F.greatest(na, nb)) & (
         100 * shared >= rule.percent * (na + nb - shared)
     )
-    return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct()
 
 
-def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
-    """Set and sketch of one document of each class that stands in a list.
+def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """Size and sketch, or the ``whole`` set, of the classes' first documents.
 
-    The filter of ids may let a few other documents through; nothing refers to their sets.
+    The filter of ids may let a few other documents through; nothing refers to them.
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitmap(firsts, "first_id"))
@@ -213,18 +242,16 @@ def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame
             hashed = batch.column("hashed").to_numpy(zero_copy_only=False)
             mine = pa.RecordBatch.from_arrays([batch.column("text")], ["text"]).filter(pa.array(in_bitmap(held, hashed)))
             for at in range(0, mine.num_rows, 256):
-                rows = [(set_hash(g), g.view(np.int64), sketch(g)) for _, g in grams_of(mine.slice(at, 256), rule) if len(g)]
+                grams = [g for _, g in grams_of(mine.slice(at, 256), rule) if len(g)]
+                told = pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())) if whole else pa.array([sketch(g) for g in grams], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in rows], pa.int64()),
-                        pa.array([x[1] for x in rows], pa.list_(pa.int64())),
-                        pa.array([x[2] for x in rows], pa.binary()),
-                    ],
-                    names=["name", "grams", "sketch"],
+                    [pa.array([set_hash(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), told],
+                    names=["name", "n", "grams" if whole else "sketch"],
                 )
 
     hashed = docs.select("text", F.xxhash64("doc_id").alias("hashed"))
-    return hashed.mapInArrow(run, "name long, grams array<long>, sketch binary")
+    found = hashed.mapInArrow(run, f"name long, n long, {'grams array<long>' if whole else 'sketch binary'}")
+    return found.dropDuplicates(["name"])
 
 
 def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
@@ -323,18 +350,18 @@ def jaccard_components(
     classes = held.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     forget(full, lists)
     firsts = written(members.select("name").distinct().join(classes.select("name", "first_id"), "name"), "firsts")
-    sets = written(_candidate_sets(docs, firsts, rule), "sets")
+    sketches = written(_candidate_sets(docs, firsts, rule, whole=False), "sketches")
     stars = members.groupBy(F.col("name").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
-    links = written(overlap_links(stars, sets, rule), "stars")
+    stars = written(sketched_pairs(stars, sketches, rule), "stars")
+    links = overlap_links(stars, docs, firsts, rule)
     roots = components(links)
-    sketches = written(sets.select("name", "sketch").dropDuplicates(["name"]), "sketches")
     for spanning in (True, False):
         rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
             "key", "name", "n", F.coalesce("root", "name").alias("root")
         )
         rows = written(rows, "rows")
-        pairs = written(_list_pairs(rows, sketches, rule, spanning), "pairs")
-        more = written(overlap_links(pairs, sets, rule), "more")
+        pairs = written(_list_pairs(rows, sketches.select("name", "sketch"), rule, spanning), "pairs")
+        more = overlap_links(pairs, docs, firsts, rule)
         forget(rows, pairs)
         if not more.isEmpty():
             links = links.union(more)
@@ -342,7 +369,7 @@ def jaccard_components(
     named = classes.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.select("name", "root").join(least, "root").select("name", "component_id"), "classes")
-    forget(members, firsts, sets, sketches, roots)
+    forget(members, firsts, stars, sketches, roots)
     return held.join(of_class, "name", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
