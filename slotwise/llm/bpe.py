@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,10 +33,20 @@ from pyspark.sql import functions as F
 from slotwise.llm.store import in_small_batches
 from slotwise.llm.vocabulary import LOWER_WORDS, MARK, PLAIN, Memory, byte_letters, load, runs
 
-KNOWN_MOST = 150_000  # words in each of the two generations a worker remembers
+KNOWN_MOST = 400_000  # words in each of the two generations a worker remembers
 NEIGHBOURS_MOST = 500_000  # pairs of tokens it remembers
 
 
+class Place:
+    """A beginning of tokens with the tokens that end there, longest first, and the places one letter on."""
+
+    __slots__ = ("letters", "inner", "last", "after")
+
+    def __init__(self, letters: str, inner: list, last: list):
+        self.letters, self.inner, self.last = letters, inner, last
+        self.after: dict[str, Place] = {}
+
+
 class Merges:
     """Tokens of a BPE file whose words end in a suffix, with their merges."""
 
@@ -69,8 +80,10 @@ class Merges:
                 (self.last if ends else self.inner)[letters] = token
         if not self.end:
             self.last = self.inner
-        self.longest = max(map(len, [*self.inner, *self.last]), default=1)
-        self._meets: dict[tuple[str, str], bool] = {}
+        self._starts = {t[:n] for t in [*self.inner, *self.last] for n in range(len(t) + 1)}
+        self._places: dict[str, Place] = {}
+        self._lefts: dict[str, dict[str, bool]] = {}  # by token: which others can stand left of it
+        self._met = 0
 
     def _derive(self, token: str) -> bool:
         """For a token that several merges make: the merge its own letters lead to."""
@@ -97,14 +110,28 @@ class Merges:
             held[token] = [*below, (token, made[2] if made else -1)]
         return held[token]
 
+    def place(self, letters: str) -> Place:
+        """Where a reader stands after these letters: at their longest end that begins a token."""
+        while letters not in self._starts:
+            letters = letters[1:]
+        if letters not in self._places:
+            ends = [letters[i:] for i in range(len(letters))]
+            inner, last = ([self._ending(held[e], len(e)) for e in ends if e in held] for held in (self.inner, self.last))
+            self._places[letters] = Place(letters, inner, last)
+        return self._places[letters]
+
+    def _ending(self, token: str, length: int) -> tuple[int, str, dict[str, bool]]:
+        return length, token, self._lefts.setdefault(token, {})
+
     def meets(self, left: str, right: str) -> bool:
-        """Whether the two tokens can be neighbours in an encoding."""
-        known = self._meets.get((left, right))
-        if known is None:
-            if len(self._meets) > NEIGHBOURS_MOST:
-                self._meets.clear()
-            known = self._meets[left, right] = self._no_merge_across(left, right)
-        return known
+        """Whether the two tokens can be neighbours in an encoding; remembered by the right one."""
+        if self._met > NEIGHBOURS_MOST:
+            for lefts in self._lefts.values():
+                lefts.clear()
+            self._met = 0
+        self._met += 1
+        met = self._lefts.setdefault(right, {})[left] = self._no_merge_across(left, right)
+        return met
 
     def _no_merge_across(self, left: str, right: str) -> bool:
         a, b = self._spine(left, 1), self._spine(right, 0)
@@ -129,29 +156,44 @@ def encode_words(words: Iterator[str], merges: Merges) -> Iterator[tuple[str, li
     """Each word (as byte letters) with its tokens; sorted words share their prefixes."""
     path = ""
     state: list[str] = [""]  # last token of each prefix of the path
-    inner, last, longest, meets = merges.inner, merges.last, merges.longest, merges.meets
+    places = [merges.place("")]  # and where the reader of the tokens stands there
+    meets, suffix = merges.meets, len(merges.end)
     for word in sorted(words):
         n = len(word)
         same = 0
         top = min(n - 1, len(path))
         while same < top and path[same] == word[same]:
             same += 1
-        del state[same + 1 :]
+        del state[same + 1 :], places[same + 1 :]
         for end in range(same + 1, n):
-            state.append(_last_token(word, end, state, inner, longest, meets))
+            place = _next_place(places[-1], word[end - 1], merges)
+            places.append(place)
+            state.append(_last_token(word, end, state, place.inner, meets))
         path = word[: n - 1]
-        tokens = [_last_token(word, n, state, last, longest, meets)]
-        at = n - len(tokens[0]) + (len(merges.end) if merges.end else 0)
+        token = _last_token(word, n, state, _next_place(places[-1], word[-1], merges).last, meets)
+        tokens = [token]
+        at = n - len(token) + suffix
         while at > 0:
-            tokens.append(state[at])
-            at -= len(state[at])
+            token = state[at]
+            tokens.append(token)
+            at -= len(token)
         yield word, tokens[::-1]
 
 
-def _last_token(word, end, state, tokens, longest, meets) -> str:
-    for start in range(max(0, end - longest), end):
-        token = tokens.get(word[start:end])
-        if token is not None and (start == 0 or meets(state[start], token)):
+def _next_place(place: Place, letter: str, merges: Merges) -> Place:
+    after = place.after.get(letter)
+    if after is None:
+        after = place.after[letter] = merges.place(place.letters + letter)
+    return after
+
+
+def _last_token(word, end, state, endings, meets) -> str:
+    for length, token, lefts in endings:
+        if length == end:
+            return token
+        left = state[end - length]
+        met = lefts.get(left)
+        if met or met is None and meets(left, token):
             return token
     raise ValueError(f"no token ends {word[:end]!r}; the file lacks a letter")
 
@@ -164,10 +206,14 @@ class TrieEncoder:
         self.library = load(path)
         self.letters = byte_letters()
         self.specials = re.compile("|".join(map(re.escape, sorted(self.merges.specials, key=len, reverse=True))) or "(?!)")
-        self.plain = Memory(KNOWN_MOST)  # of a piece of plain text: its ids and its tokens, in text form
+        self.numbers = {i: str(i) for i in self.merges.ids.values()}  # of an id: its text form
+        self.tokens = {i: t for t, i in self.merges.ids.items()}
+        self.plain = Memory(KNOWN_MOST)  # ids of a piece of plain text, four bytes each
         self.other = Memory(KNOWN_MOST)  # the same by word of another text
 
     def _spell(self, word: str) -> str:
+        if word.isascii():  # visible letters stand for themselves
+            return word
         letters = self.letters
         return "".join([letters[b] for b in word.encode()])
 
@@ -191,20 +237,23 @@ class TrieEncoder:
                 cut.append((self.plain, (text or "").lower().split()))
             else:
                 cut.append((self.other, self._other_words(text)))
-        words_of = {p: [self._spell(w) for w in LOWER_WORDS.findall(p)] for p in self._missing(self.plain, cut)}
+        words_of = {p: self._plain_words(p) for p in self._missing(self.plain, cut)}
         words_of_other = {w: [w] for w in self._missing(self.other, cut)}
         every = set().union(*words_of.values(), words_of_other)
-        tokens = {s: [s] for s in every & self.merges.specials.keys() & words_of_other.keys()}
-        tokens.update(encode_words(every - tokens.keys(), self.merges))
-        ids, join = self.merges.ids, " ".join
+        ids = self.merges.ids
+        codes = {s: [ids[s]] for s in every & self.merges.specials.keys() & words_of_other.keys()}
+        codes.update((w, [ids[t] for t in tokens]) for w, tokens in encode_words(every - codes.keys(), self.merges))
         for held, new in ((self.plain, words_of), (self.other, words_of_other)):
             for piece, words in new.items():
-                found = [t for w in words for t in tokens[w]]
-                held[piece] = (join([str(ids[t]) for t in found]), join(found))
+                held[piece] = array("I", [i for w in words for i in codes[w]]).tobytes()
+        number, token = self.numbers.__getitem__, self.tokens.__getitem__
         for held, pieces in cut:
-            found = [held[p] for p in pieces]
-            numbers = join([f[0] for f in found])
-            yield (numbers.count(" ") + 1 if numbers else 0), numbers, join([f[1] for f in found])
+            found = array("I", b"".join([held[p] for p in pieces]))
+            yield len(found), " ".join(map(number, found)), " ".join(map(token, found))
+
+    def _plain_words(self, piece: str) -> list[str]:
+        """Words, as byte letters, of a piece without white space."""
+        return [piece] if piece.isascii() and piece.isalpha() else [self._spell(w) for w in LOWER_WORDS.findall(piece)]
 
     @staticmethod
     def _missing(held: Memory, cut: list) -> list[str]:
