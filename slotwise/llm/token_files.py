@@ -47,6 +47,41 @@ PAGES = (
 _HEAD = struct.Struct("<IBH")
 
 
+def pack_bits(value: np.ndarray, width: int) -> bytes:
+    """Values side by side at ``width`` bits each, low bits first.
+
+    Up to 16 bits eight values are put together at once: four in each of two words of 64
+    bits, and the two words in the ``width`` bytes that eight values fill.
+    """
+    if width > 16:
+        bits = np.unpackbits(value.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    eights = np.zeros((-(-len(value) // 8), 2, 4), "<u8")
+    eights.reshape(-1)[: len(value)] = value
+    eights <<= np.arange(4, dtype=np.uint64) * np.uint64(width)
+    fours = eights[:, :, 0] | eights[:, :, 1] | eights[:, :, 2] | eights[:, :, 3]
+    words = np.empty_like(fours)
+    words[:, 0] = fours[:, 0] | fours[:, 1] << np.uint64(4 * width)
+    words[:, 1] = fours[:, 1] >> np.uint64(64 - 4 * width)
+    return words.view(np.uint8)[:, :width].tobytes()[: (len(value) * width + 7) // 8]
+
+
+def unpack_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    if width > 16:
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :width] = np.unpackbits(packed, bitorder="little")[: n * width].reshape(n, width)
+        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().copy()
+    filled = np.zeros((-(-n // 8), width), np.uint8)
+    filled.reshape(-1)[: len(packed)] = packed
+    words = np.zeros((len(filled), 16), np.uint8)
+    words[:, :width] = filled
+    low, high = words.view("<u8").T
+    fours = np.stack([low, low >> np.uint64(4 * width) | high << np.uint64(64 - 4 * width)], axis=1)
+    ones = np.uint64((1 << width) - 1)
+    value = fours[:, :, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(width)) & ones
+    return value.reshape(-1)[:n].astype(np.uint32)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     least = int(ids.min())
     value = (ids - np.uint32(least)).astype(np.uint32)
@@ -54,8 +89,7 @@ def pack_block(ids: np.ndarray) -> bytes:
     odd = np.flatnonzero(value >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     kept = value.copy()
     kept[odd] = 0
-    bits = np.unpackbits(kept.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
+    packed = pack_bits(kept, width)
     return _HEAD.pack(least, width, len(odd)) + packed + odd.astype("<u2").tobytes() + value[odd].astype("<u4").tobytes()
 
 
@@ -63,10 +97,7 @@ def unpack_block(data: bytes, at: int, n: int) -> np.ndarray:
     least, width, exceptions = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits
-    value = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().copy()
+    value = unpack_bits(np.frombuffer(data, np.uint8, size, at), n, width)
     at += size
     places = np.frombuffer(data, "<u2", exceptions, at)
     value[places] = np.frombuffer(data, "<u4", exceptions, at + 2 * exceptions)

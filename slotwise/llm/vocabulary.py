@@ -59,17 +59,33 @@ class Memory(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, wanted: set) -> list:
-        """Of the wanted keys those not remembered; the others can be read until the next call."""
+    def turn(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+
+    def missing(self, wanted: set) -> list:
+        """Of the wanted keys those not remembered; the others can be read until the next call."""
+        self.turn()
         lacking = wanted - self.keys()
         for key in lacking & self.old.keys():
             self[key] = self.old[key]
         return list(lacking - self.old.keys())
 
 
+class Pieces(Memory):
+    """Makes what it is asked for and doesn't remember; ``turn`` between texts keeps it bounded."""
+
+    def __init__(self, most: int, make):
+        super().__init__(most)
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        ids = self[piece] = self.make(piece) if ids is None else ids
+        return ids
+
+
 class WordIds:
     """Encodes texts into little-endian unsigned 32-bit ids, add_special_tokens=False."""
 
@@ -79,7 +95,8 @@ class WordIds:
         self.lower = lower  # a lower-casing tokenizer that drops white space
         self.words = (LOWER_WORDS if lower else SPACED_WORDS).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.known = Memory(KNOWN_MOST)
+        self.known = Pieces(KNOWN_MOST, self._piece)
+        self.after_space = Pieces(KNOWN_MOST, lambda piece: self._piece(" " + piece))
 
     def _piece(self, piece: str) -> bytes:
         tokenize = self.model.tokenize
@@ -87,18 +104,18 @@ class WordIds:
         spelled = [w.encode().decode("latin-1").translate(self.letters) for w in words]
         return array("I", [t.id for w in spelled for t in tokenize(w)]).tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        """Parts whose ids don't depend on each other; a space stays with what follows it."""
+    def _plain(self, text: str) -> bytes:
+        """Ids of a plain text: of parts whose ids don't depend on each other."""
+        known = self.known.__getitem__
         if self.lower:
-            return text.lower().split()
+            return b"".join(map(known, text.lower().split()))
         if "  " in text or " \n" in text or text.endswith(" ") or "\t" in text or "\r" in text:
-            return SPACED_PIECES.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return b"".join(map(known, SPACED_PIECES.findall(text)))
+        first, *rest = text.split(" ")  # a space stays with what follows it
+        return b"".join([known(first), *map(self.after_space.__getitem__, rest)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        pieces_of: dict[int, list[str]] = {}
         whole = []
         for i, text in enumerate(texts):
             if not text:
@@ -106,14 +123,11 @@ class WordIds:
             if MARK in text or not PLAIN.fullmatch(text):
                 whole.append(i)
             else:
-                pieces_of[i] = self._pieces(text)
+                out[i] = self._plain(text)
+                self.known.turn()
+                self.after_space.turn()
         for i, found in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        for piece in known.missing(set().union(*pieces_of.values())):
-            known[piece] = self._piece(piece)
-        for i, pieces in pieces_of.items():
-            out[i] = b"".join([known[p] for p in pieces])
         return out
 
 
