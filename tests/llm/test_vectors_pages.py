@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,63 @@ def test_odd_markup_is_read():
     assert wrappers.main_text("<!-- <p>no --><p>yes<script>no") == "yes"
 
 
+def test_articles_keep_what_only_sounds_like_boilerplate():
+    article = (
+        "<article><section id='related-work'><h2>Related work</h2><p>Text</section><p class=search>find</p><p class=menu>Lunch: soup"
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p><p hidden>kept</p>{}</article>"
+    )
+    dropped = "<div class='related-posts'>more</div><div id=comments><p>Nice</div><div class=ad>Buy</div><aside>side</aside>"
+    kept = "Related work\nText\nfind\nLunch: soup\nLet x=1 be.\nkept"
+    assert wrappers.main_text(article.format("")) == wrappers.main_text(article.format(dropped)) == kept
+
+
+def test_long_values_stray_quotes_and_deep_parts():
+    long = "a > b " * 2000
+    assert wrappers.main_text(f'<p>A<img alt="{long}> tail"><p>B') == "A\nB"
+    assert wrappers.main_text("<p title=it's>A<p>don't<p>B") == "A\ndon't\nB"
+    assert wrappers.main_text('<p>A<p title="never closed>B<p>C') == "A\nB\nC"
+    assert wrappers.main_text('<p>A<a x=">" <p>B') == "AB"  # one tag
+    assert wrappers.main_text("<p>x" + '<a x=">" ' * 20_000).startswith("x")
+    deep = "<div>" * 250 + "<nav><div>menu</div></nav><p>text</p>" + "</div>" * 250
+    assert wrappers.main_text(f"<article>{deep}<p>end</article><div class=c>after") == "text\nend"
+
+
+def test_classes_with_the_pages_number_align():
+    page = (
+        "<body><div class=top>Top {0}</div><div class='post post-{0}'><p class=note>Subscribers read more</p>"
+        "<p>alpha {0} " + "x" * 100 + "</p></div></body>"
+    )
+    root, constants = wrappers.induce([page.format(n) for n in range(20)])
+    assert wrappers.main_text(page.format(7), root, set(constants)) == "alpha 7 " + "x" * 100
+
+
+def test_matching_is_the_best_of_all():
+    tag = random.Random(5)
+
+    def tree(depth):
+        node = wrappers.Node(tag.choice("ab"), {})
+        node.parts += [tree(depth - 1) for _ in range(tag.randint(0, 3) if depth else 0)]
+        return node
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+
+        def forest(left, right):
+            if not left or not right:
+                return 0
+            both = best(left[0], right[0]) + forest(left[1:], right[1:])
+            return max(both, forest(left[1:], right), forest(left, right[1:]))
+
+        return 1 + forest(a.children(), b.children())
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        score, pairs = wrappers.match(a, b)
+        assert score == len(pairs) == best(a, b)
+
+
 def test_a_text_is_constant_by_pages_and_at_its_path_only():
     page = "<div class=c><p class=note>Subscribe</p><ul>{1}</ul><p>body {0}</p></div>"
     same = "<li>again</li>" * 10
