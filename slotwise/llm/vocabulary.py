@@ -12,6 +12,7 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -26,6 +27,8 @@ SPACED_WORDS = re.compile(
     f"{_CUTS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 SPACED_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_ODD_SPACE = ("  ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c")  # what needs the pattern to be cut
+_MARKS = tuple(".,;:!?")  # a word and one of them are cut apart
 KNOWN_MOST = 400_000  # pieces in each of the two generations a worker remembers
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 MARK = "<|"  # begins every special token
@@ -95,13 +98,31 @@ class WordIds:
         self.lower = lower  # a lower-casing tokenizer that drops white space
         self.words = (LOWER_WORDS if lower else SPACED_WORDS).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.known = Pieces(KNOWN_MOST, self._piece)
-        self.after_space = Pieces(KNOWN_MOST, lambda piece: self._piece(" " + piece))
-
-    def _piece(self, piece: str) -> bytes:
-        tokenize = self.model.tokenize
-        words = (piece,) if piece.lstrip(" ").isalpha() else self.words(piece)
-        spelled = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        self.space = self.letters[ord(" ")]
+        self.known = Pieces(KNOWN_MOST, self._apart)
+        self.after_space = Pieces(KNOWN_MOST, self._spaced)
+
+    def _apart(self, piece: str) -> bytes:
+        """Ids of a piece at the beginning of a text or line, or of any if the tokenizer drops white space."""
+        word, mark = piece[:-1], piece[-1:]
+        if mark in _MARKS and word.isalpha():
+            return self.known[word] + self.known[mark]
+        return self._ids((piece,) if piece.isalpha() else self.words(piece))
+
+    def _spaced(self, piece: str) -> bytes:
+        """Ids of a space and a piece, or of a piece that begins with a line end."""
+        if piece[:1] == "\n":
+            return self.known["\n"] + self.known[piece[1:]] if len(piece) > 1 else self.known["\n"]
+        word, mark = piece[:-1], piece[-1:]
+        if mark in _MARKS and word.isalpha():
+            return self.after_space[word] + self.known[mark]
+        if piece.isalpha() and piece.isascii():
+            return array("I", [t.id for t in self.model.tokenize(self.space + piece)]).tobytes()
+        return self._ids(self.words(" " + piece))
+
+    def _ids(self, words: Iterable[str]) -> bytes:
+        tokenize, letters = self.model.tokenize, self.letters
+        spelled = [w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(letters) for w in words]
         return array("I", [t.id for w in spelled for t in tokenize(w)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
@@ -109,9 +130,9 @@ class WordIds:
         known = self.known.__getitem__
         if self.lower:
             return b"".join(map(known, text.lower().split()))
-        if "  " in text or " \n" in text or text.endswith(" ") or "\t" in text or "\r" in text:
+        if text.endswith((" ", "\n")) or any(map(text.__contains__, _ODD_SPACE)):
             return b"".join(map(known, SPACED_PIECES.findall(text)))
-        first, *rest = text.split(" ")  # a space stays with what follows it
+        first, *rest = text.replace("\n", " \n").split(" ")  # a space or line end stays with what follows it
         return b"".join([known(first), *map(self.after_space.__getitem__, rest)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
