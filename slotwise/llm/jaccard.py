@@ -1,29 +1,34 @@
 """Jaccard join of documents by their word n-grams: components of linked documents.
 
 Two documents link when the Jaccard similarity of their sets of distinct word n-grams
-is at least ``percent`` / 100.  The product of the document by n-gram incidence matrix
-with its transpose is never formed: sizes bound it first.  Documents of sizes x and y
-that link differ in at most ``(100 - percent) * (x + y) / (100 + percent)`` n-grams, d.
-Cut the n-gram space into d + 1 blocks by hash: in one block at least both documents
-hold the same n-grams.  So each document emits one key per block, (size class, block,
-hash of its n-grams there), and only documents that share a key can link; sharing a
-passage is not enough to share a block.  There are some more blocks than d + 1, so that
-empty ones give no keys: of the blocks that two linked sets share, more are filled than
-there are spare ones, unless both sets have more empty blocks than that; such sets emit
-keys for their empty blocks too.
+is at least ``percent`` / 100.  Overlaps are the product of the sparse document by n-gram
+incidence matrix with its transpose, formed in blocks of documents and of n-grams:
+overlap counts grow from one block of n-grams to the next, and a pair goes as soon as its
+sizes rule it out.  Sets of x and y n-grams that link differ in at most
+``(100 - percent) * (x + y) / (100 + percent)`` n-grams, d; what two sets hold in the
+blocks so far less twice their overlap there is a lower bound of that difference, and
+over all blocks it is the difference.
+
+The same bound tells which documents meet at all.  Cut the n-gram space into d + 1 ranges
+of hashes: in one range at least both documents hold the same n-grams.  So each document
+emits one key per range, (size class, range, hash of its n-grams there), and only
+documents that share a key can link; sharing a passage is not enough to share a range.
+There are some more ranges than d + 1, so that empty ones give no keys: of the ranges that
+two linked sets share, more are filled than there are spare ones, unless both sets have
+more empty ranges than that; such sets emit keys for their empty ranges too.
 
 1. Documents with the same set are one class.  Classes emit their keys.
 2. Keys with several classes are lists; of lists with the same members one is kept.  Each
-   class first meets one other, the smallest first member of its lists: pairs whose
-   sketches differ too much go, of the others the exact overlap of the two sets decides.
-   The links give components.  Whole sets are made for the pairs that are left only.
-3. In lists that still hold several components, members of different components meet,
-   in blocks of at most ``BLOCK`` x ``BLOCK``, as a matrix product over small sketches:
-   pairs that differ in more sketch cells than the size bound allows go, of the others
-   the exact overlap decides.  This happens twice: first only pairs that join what is not
-   joined yet in their block (at most one per member), then, between the components that
-   are left, all pairs.  So a group of near copies costs a few comparisons per member, and
-   no link that could join two components is lost.
+   class first meets one other, the smallest first member of its lists.  The first block
+   of n-grams is a quarter of the hash space (less in sets of 8192 and more); pairs that
+   it leaves in reach get the product over whole sets, which are made for them only.
+   Their links give components.
+3. In lists that still hold several components, members of different components meet.
+   Long lists meet in blocks of at most ``BLOCK`` x ``BLOCK`` members, multiplied whole;
+   pairs of short lists are entries of one masked product.  This happens twice: first only
+   pairs that join what is not joined yet in their block, then, between the components
+   that are left, all pairs.  So a group of near copies costs a few whole products per
+   member, and no link that could join two components is lost.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and
 link with nothing; a text shorter than ``n`` words is one n-gram; rows with equal sets
@@ -47,7 +52,12 @@ from slotwise.llm.hashing import U, mix, shingle_hashes, words_of
 from slotwise.llm.store import forget, in_small_batches, written
 
 BLOCK = 2048  # list members that meet at once
-CELLS = 256  # sketch cells of one byte
+SHORT = 64  # members of a list whose pairs are listed
+FIRST_BITS = 62  # of a hash in the first block of n-grams: a quarter of them
+BLOCKS = 4  # of columns in a product of pairs
+ENTRIES = 1 << 22  # of incidence rows multiplied at once
+COLUMNS = 1024  # of a block of a product of long lists
+PAIRS_PER_BIN = 2000
 STEP = 1.5  # ratio of neighbouring size classes
 SEEN = 200_000  # sets a task remembers, so as not to emit a copy's keys again
 BITMAP_BITS = 26  # of a filter sent to the tasks at most: 8 MB, whatever the input
@@ -123,12 +133,107 @@ def _edges(blocks: int) -> np.ndarray:
     return _edge_cache[blocks]
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """One byte per cell over the n-grams that fall there; equal sets, equal bytes."""
-    total = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(mix(grams + U(0x9E37)), out=total[1:])
-    cell = np.diff(total[np.searchsorted(grams, _edges(CELLS))])
-    return (mix(cell) >> U(56)).astype(np.uint8).tobytes()
+def level(n):
+    """Sets of 8192 n-grams and more halve their first block for each doubling."""
+    return np.maximum(np.frexp(np.asarray(n, np.float64))[1] - 13, 0)
+
+
+def first_block(grams: np.ndarray) -> bytes:
+    """The columns of the first block in which a set stands, as 32-bit numbers in order.
+
+    N-grams that share a number count once; that never adds to the difference of two sets.
+    """
+    end = np.searchsorted(grams, U(1 << (FIRST_BITS - int(level(len(grams))))))
+    return np.unique((grams[:end] >> U(FIRST_BITS - 32)).astype(np.uint32)).tobytes()
+
+
+@dataclass(frozen=True)
+class Incidence:
+    """Rows of the incidence matrix: sizes of the whole sets, columns in order, where rows end."""
+
+    sizes: np.ndarray
+    columns: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, packed: list[bytes], kind) -> Incidence:
+        ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // np.dtype(kind).itemsize
+        return Incidence(sizes, np.frombuffer(b"".join(packed), kind), ends)
+
+    def rows(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+
+    def below(self, limit: int) -> Incidence:
+        kept = self.columns < limit
+        ends = np.concatenate([[0], np.cumsum(kept)])[self.ends]
+        return Incidence(self.sizes, self.columns[kept], ends)
+
+
+def by_level(rows: Incidence, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, Incidence]]:
+    """Pairs of first blocks with rows cut to the columns that both ends of a pair tell."""
+    levels = np.maximum(level(rows.sizes[a]), level(rows.sizes[b]))
+    for cut in np.unique(levels):
+        yield np.flatnonzero(levels == cut), rows.below(1 << (32 - int(cut))) if cut else rows
+
+
+def pairs_in_reach(rows: Incidence, a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which pairs of rows differ in no more columns than their sizes allow.
+
+    Only the asked entries of the product are formed, a block of columns at a time.
+    """
+    allowed, differ = rule.most_different(rows.sizes[a] + rows.sizes[b]), np.zeros(len(a), np.int64)
+    if not len(a) or not len(rows.columns):
+        return differ <= allowed
+    names, column = np.unique(rows.columns, return_inverse=True)
+    width = len(names)
+    held = np.bincount(rows.rows() * BLOCKS + column * BLOCKS // width, minlength=len(rows.ends) * BLOCKS)
+    end = np.cumsum(held).reshape(-1, BLOCKS)
+    held = held.reshape(-1, BLOCKS)
+    for block in range(BLOCKS):
+        live = np.flatnonzero(differ <= allowed)
+        weight = np.cumsum(held[a[live], block] + held[b[live], block])
+        for part in np.split(live, np.searchsorted(weight, np.arange(ENTRIES, weight[-1] if len(weight) else 0, ENTRIES))):
+            left, right = (
+                _entries(end[x[part], block] - held[x[part], block], held[x[part], block], column, width) for x in (a, b)
+            )
+            place = np.minimum(np.searchsorted(left, right), max(len(left) - 1, 0))
+            met = right[left[place] == right] // width if len(left) else right[:0]
+            overlap = np.bincount(met, minlength=len(part))
+            differ[part] += held[a[part], block] + held[b[part], block] - 2 * overlap
+    return differ <= allowed
+
+
+def _entries(start: np.ndarray, count: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """(pair, column) of the runs of entries of one side of pairs, as one ascending number."""
+    pair = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(pair)) + np.repeat(start - (np.cumsum(count) - count), count)
+    return pair * width + column[at]
+
+
+def product(rows: Incidence, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Overlaps of all rows of ``left`` with all of ``right``, a block of shared columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    start = rows.ends - np.diff(rows.ends, prepend=0)
+    sides = []
+    for side in (left, right):
+        count = rows.ends[side] - start[side]
+        row = np.repeat(np.arange(len(side)), count)
+        at = np.arange(len(row)) + np.repeat(start[side] - (np.cumsum(count) - count), count)
+        order = np.argsort(rows.columns[at], kind="stable")
+        sides.append((row[order], rows.columns[at][order]))
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    for at in range(0, len(shared), COLUMNS):
+        block, filled = shared[at : at + COLUMNS], []
+        for (row, column), side in zip(sides, (left, right), strict=True):
+            run = slice(np.searchsorted(column, block[0]), np.searchsorted(column, block[-1], side="right"))
+            place = np.searchsorted(block, column[run])
+            known = block[np.minimum(place, len(block) - 1)] == column[run]
+            dense = np.zeros((len(side), len(block)), np.float32)
+            dense[row[run][known], place[known]] = 1
+            filled.append(dense)
+        out += filled[0] @ filled[1].T
+    return out
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -188,48 +293,47 @@ def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bits[(h >> U(64 - size + 6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
 
 
-def sketched_pairs(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose sketches differ in no more cells than sizes allow."""
-    left, right = (
-        sketches.select(F.col("name").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")) for end in "ab"
-    )
+def in_reach(pairs: DataFrame, sets: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """Of the distinct pairs (a, b) those that the product over ``sets`` leaves in reach.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("sa", "sb"))
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= rule.most_different(sizes)))
+    Pairs of one ``b`` stand together, in bins that hold each set once; a ``b`` with many
+    pairs is dealt to several bins.
+    """
+    bins = int(pairs.count() // PAIRS_PER_BIN) + 1
+    spread = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_BIN).alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    placed = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("b", part), F.lit(bins)).alias("bin"))
+    asked = placed.select(F.col("bin").alias("home"), F.col("a").alias("name")).union(placed.select("bin", "b")).distinct()
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        name = sets.column("name").to_numpy()
+        order = np.argsort(name)
+        rows = Incidence.of(sets.column("n").to_numpy(), sets.column("cols").to_pylist(), np.uint64 if whole else np.uint32)
+        a, b = (order[np.searchsorted(name, pairs.column(end).to_numpy(), sorter=order)] for end in "ab")
+        near = np.zeros(len(a), bool)
+        for some, cut in [(np.arange(len(a)), rows)] if whole else by_level(rows, a, b):
+            near[some] = pairs_in_reach(cut, a[some], b[some], rule)
+        return pairs.select(["a", "b"]).filter(pa.array(near))
 
-    near = pairs.join(left, "a").join(right, "b")
-    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    rows = asked.join(sets, "name").select("home", "name", "n", "cols")
+    return placed.groupBy("bin").cogroup(rows.groupBy("home")).applyInArrow(run, "a long, b long")
 
 
-def overlap_links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose sets overlap enough, written.
+def links_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
+    """Of the candidate pairs (a, b) those that link by the product over whole sets, written.
 
     Only the sets of these pairs are made, from the texts of the classes' first documents.
     """
     names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     asked = written(firsts.join(names, "name", "left_semi"), "asked")
     sets = written(_candidate_sets(docs, asked, rule, whole=True), "sets")
-    links = written(_overlapping(pairs, sets.select("name", "grams"), rule), "overlaps")
+    links = written(in_reach(pairs, sets, rule, whole=True), "overlaps")
     forget(asked, sets)
     return links
 
 
-def _overlapping(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    left = sets.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
-    na, nb = F.size("ga"), F.size("gb")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    close = (100 * F.least(na, nb) >= rule.percent * F.greatest(na, nb)) & (
-        100 * shared >= rule.percent * (na + nb - shared)
-    )
-    return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct()
-
-
 def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule, whole: bool) -> DataFrame:
-    """Size and sketch, or the ``whole`` set, of the classes' first documents.
+    """Size and first block of columns, or the ``whole`` set, of the classes' first documents.
 
     The filter of ids may let a few other documents through; nothing refers to them.
     """
@@ -243,15 +347,14 @@ def _candidate_sets(docs: DataFrame, firsts: DataFrame, rule: Rule, whole: bool)
             mine = pa.RecordBatch.from_arrays([batch.column("text")], ["text"]).filter(pa.array(in_bitmap(held, hashed)))
             for at in range(0, mine.num_rows, 256):
                 grams = [g for _, g in grams_of(mine.slice(at, 256), rule) if len(g)]
-                told = pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())) if whole else pa.array([sketch(g) for g in grams], pa.binary())
+                told = [g.tobytes() if whole else first_block(g) for g in grams]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_hash(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), told],
-                    names=["name", "n", "grams" if whole else "sketch"],
+                    [pa.array([set_hash(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.array(told, pa.binary())],
+                    names=["name", "n", "cols"],
                 )
 
     hashed = docs.select("text", F.xxhash64("doc_id").alias("hashed"))
-    found = hashed.mapInArrow(run, f"name long, n long, {'grams array<long>' if whole else 'sketch binary'}")
-    return found.dropDuplicates(["name"])
+    return hashed.mapInArrow(run, "name long, n long, cols binary").dropDuplicates(["name"])
 
 
 def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
@@ -280,8 +383,8 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
     return one_of_each
 
 
-def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
-    """Pairs of members of different components that size and sketch leave open."""
+def _list_pairs(rows: DataFrame, blocks: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
+    """Pairs of members of different components that the first block of columns leaves in reach."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m"), "key")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -294,43 +397,78 @@ def _list_pairs(rows: DataFrame, sketches: DataFrame, rule: Rule, spanning: bool
     )
     bins = int(met.count() // ROWS_PER_BIN) + 1
     met = met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    met = met.join(sketches, "name").select("bin", "key", "i", "j", "own", "name", "n", "root", "sketch")
+    met = met.join(blocks.select("name", "cols"), "name").select("bin", "key", "i", "j", "own", "m", "name", "n", "root", "cols")
 
     def run(table: pa.Table) -> pa.Table:
-        group = table.select(["key", "i", "j", "own", "name", "n", "root"]).to_pandas()
-        cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
-        out = [np.zeros((0, 2), np.int64)]
-        for (_, i, j), at in group.groupby(["key", "i", "j"]).indices.items():
-            own_part = group["own"].to_numpy()[at]
-            left, right = at[own_part == i], at[own_part == j]
-            out.append(_block_pairs(group, cells, left, right, i != j, rule, spanning))
+        group = table.select(["key", "i", "j", "own", "m", "name", "n", "root"]).to_pandas()
+        names, first, row = np.unique(group["name"].to_numpy(), return_index=True, return_inverse=True)
+        n, root, packed = group["n"].to_numpy()[first], group["root"].to_numpy()[first], table.column("cols").take(pa.array(first))
+        held, short = Incidence.of(n, packed.to_pylist(), np.uint32), group["m"].to_numpy() <= min(SHORT, BLOCK)
+        out = [_short_pairs(group["key"].to_numpy()[short], row[short], root, held, rule, spanning)]
+        own = group["own"].to_numpy()
+        for (_, i, j), at in group[~short].groupby(["key", "i", "j"]).groups.items():
+            at = np.asarray(at)
+            left, right = row[at[own[at] == i]], row[at[own[at] == j]]
+            out.append(_long_pairs(left, right, i != j, root, held, rule, spanning))
         pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
     return met.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(group, cells, left, right, apart, rule, spanning) -> np.ndarray:
-    """Open pairs of a block; of these a spanning set of what they would join, if asked."""
-    name, n = group["name"].to_numpy(), group["n"].to_numpy()
-    root = group["root"].to_numpy().copy()
-    out = [np.zeros((0, 2), np.int64)]
-    for x in left:
-        y = right if apart else right[name[right] > name[x]]
-        y = y[root[y] != root[x]]
-        y = y[100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x])]
-        if not len(y):
-            continue
-        y = y[(cells[y] != cells[x]).sum(axis=1) <= rule.most_different(n[y] + n[x])]
+def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool) -> np.ndarray:
+    """Pairs in reach of members of the same short list; if asked, one for each two components."""
+    order = np.argsort(key, kind="stable")
+    key, row, found = key[order], row[order], [np.zeros((0, 2), np.int64)]
+    for step in range(1, SHORT):
+        at = np.flatnonzero(key[step:] == key[:-step])
+        if not len(at):
+            break
+        a, b = np.minimum(row[at], row[at + step]), np.maximum(row[at], row[at + step])
+        open_pair = (root[a] != root[b]) & _sizes_meet(held.sizes[a], held.sizes[b], rule)
+        found.append(np.stack([a[open_pair], b[open_pair]], axis=1))
+    a, b = np.unique(np.concatenate(found), axis=0).T
+    near = np.zeros(len(a), bool)
+    for some, cut in by_level(held, a, b):
+        near[some] = pairs_in_reach(cut, a[some], b[some], rule)
+    a, b = a[near], b[near]
+    if spanning:
+        ends = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])], axis=1)
+        one = np.unique(ends, axis=0, return_index=True)[1]
+        a, b = a[one], b[one]
+    return np.stack([a, b], axis=1)
+
+
+def _long_pairs(left, right, apart: bool, root, held: Incidence, rule: Rule, spanning: bool) -> np.ndarray:
+    """Pairs in reach of two blocks of members; of these a spanning set of what they would join, if asked."""
+    near = np.zeros((len(left), len(right)), bool)
+    levels = level(held.sizes)
+    for cut in np.unique(levels[np.concatenate([left, right])]):
+        rows = held.below(1 << (32 - int(cut))) if cut else held
+        for l, r in ((cut, cut), (cut, cut - 1), (cut - 1, cut)):  # sizes that link are in one level or in neighbours
+            x, y = np.flatnonzero(levels[left] == l), np.flatnonzero(levels[right] == r)
+            if len(x) and len(y):
+                n, count = held.sizes, np.diff(rows.ends, prepend=0)
+                differ = count[left[x]][:, None] + count[right[y]] - 2 * product(rows, left[x], right[y])
+                allowed = rule.most_different(n[left[x]][:, None] + n[right[y]])
+                near[np.ix_(x, y)] = (differ <= allowed) & _sizes_meet(n[left[x]][:, None], n[right[y]], rule)
+    of, out = root.copy(), [np.zeros((0, 2), np.int64)]
+    for at, x in enumerate(left):
+        y = right[near[at]]
+        y = y[(of[y] != of[x]) & (apart | (y > x))]
         if spanning and len(y):
-            joined, first = np.unique(root[y], return_index=True)
+            joined, first = np.unique(of[y], return_index=True)
             y = y[first]
             for part in (left, right):
-                root[part[np.isin(root[part], joined)]] = root[x]
-        out.append(np.stack([np.minimum(name[y], name[x]), np.maximum(name[y], name[x])], axis=1))
+                of[part[np.isin(of[part], joined)]] = of[x]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
     return np.concatenate(out)
 
 
+def _sizes_meet(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= rule.percent * np.maximum(x, y)
+
+
 def jaccard_components(
     docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -350,18 +488,19 @@ def jaccard_components(
     classes = held.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     forget(full, lists)
     firsts = written(members.select("name").distinct().join(classes.select("name", "first_id"), "name"), "firsts")
-    sketches = written(_candidate_sets(docs, firsts, rule, whole=False), "sketches")
+    blocks = written(_candidate_sets(docs, firsts, rule, whole=False), "blocks")
     stars = members.groupBy(F.col("name").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
-    stars = written(sketched_pairs(stars, sketches, rule), "stars")
-    links = overlap_links(stars, docs, firsts, rule)
+    stars = written(stars, "stars")
+    near = written(in_reach(stars, blocks, rule, whole=False), "near")
+    links = links_of(near, docs, firsts, rule)
     roots = components(links)
     for spanning in (True, False):
         rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
             "key", "name", "n", F.coalesce("root", "name").alias("root")
         )
         rows = written(rows, "rows")
-        pairs = written(_list_pairs(rows, sketches.select("name", "sketch"), rule, spanning), "pairs")
-        more = overlap_links(pairs, docs, firsts, rule)
+        pairs = written(_list_pairs(rows, blocks, rule, spanning), "pairs")
+        more = links_of(pairs, docs, firsts, rule)
         forget(rows, pairs)
         if not more.isEmpty():
             links = links.union(more)
@@ -369,7 +508,7 @@ def jaccard_components(
     named = classes.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.select("name", "root").join(least, "root").select("name", "component_id"), "classes")
-    forget(members, firsts, stars, sketches, roots)
+    forget(members, firsts, stars, near, blocks, roots)
     return held.join(of_class, "name", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

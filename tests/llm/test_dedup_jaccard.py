@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from corpus import edge_rows, edited, prose, shingles, table
 
 from slotwise.llm import dedup, jaccard
@@ -94,6 +95,59 @@ def test_jaccard_in_many_small_blocks(spark, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90)
 
 
+def _sets(seed):
+    """Sets of numbers of all sizes, some nearly alike, some of another level, two empty."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 20000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(base[: rng.integers(1, 400)]) for _ in range(20)] + [base[:0]] * 2
+    for cut in (300, 9000, 20000):
+        for gone in (0, 1, cut // 30, cut // 10):
+            sets.append(np.unique(np.concatenate([base[gone:cut], rng.integers(0, 1 << 63, gone // 2, dtype=np.uint64)])))
+    return sets
+
+
+def test_products_match_sets(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 100)
+    monkeypatch.setattr(jaccard, "ENTRIES", 5000)
+    sets = _sets(3)
+    told = [set(x.tolist()) for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    for rule in (jaccard.Rule(3, 90), jaccard.Rule(5, 80)):
+        whole = jaccard.Incidence.of(sizes, [x.tobytes() for x in sets], np.uint64)
+        linked = np.array([100 * len(told[x] & told[y]) >= rule.percent * len(told[x] | told[y]) for x, y in zip(a, b, strict=True)])
+        assert (jaccard.pairs_in_reach(whole, a, b, rule) == linked).all()
+        every = np.arange(len(sets))
+        assert jaccard.product(whole, every, every).tolist() == [[len(x & y) for y in told] for x in told]
+        first = jaccard.Incidence.of(sizes, [jaccard.first_block(x) for x in sets], np.uint32)
+        near = np.zeros(len(a), bool)
+        for some, cut in jaccard.by_level(first, a, b):
+            near[some] = jaccard.pairs_in_reach(cut, a[some], b[some], rule)
+        assert near[linked].all()
+        filled = np.flatnonzero(sizes)
+        long = jaccard._long_pairs(filled, filled, False, every, first, rule, False)
+        both = linked & (sizes[a] > 0) & (sizes[b] > 0)
+        assert set(zip(a[both], b[both], strict=True)) <= {tuple(x) for x in long.tolist()}
+
+
+def test_first_block_tells_unrelated_sets_apart():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (300, 310, 320, 9000, 9100)]
+    first = jaccard.Incidence.of(np.array([len(x) for x in sets]), [jaccard.first_block(x) for x in sets], np.uint32)
+    assert first.ends[-1] < sum(len(x) for x in sets) / 4  # a quarter, an eighth of the large ones
+    a, b = np.triu_indices(len(sets), 1)
+    for some, cut in jaccard.by_level(first, a, b):
+        assert not jaccard.pairs_in_reach(cut, a[some], b[some], jaccard.Rule(3, 90)).any()
+
+
+def test_jaccard_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 3)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_BIN", 5)
+    rows = _near_copies()
+    got = jaccard.jaccard_components(table(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90)
+
+
 def test_jaccard_of_nothing_and_of_empty_texts(spark):
     assert jaccard.jaccard_components(table(spark, [])).collect() == []
     got = jaccard.jaccard_components(table(spark, [(1, None), (2, ""), (3, " ")])).collect()
