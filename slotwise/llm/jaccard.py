@@ -384,9 +384,15 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _list_pairs(rows: DataFrame, blocks: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
-    """Pairs of members of different components that the first block of columns leaves in reach."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m"), "key")
+    """Pairs of members of different components that the first block of columns leaves in reach, written.
+
+    Lists with the same smallest member stand together, as they share most of their
+    members, and a bin holds each member's columns once.
+    """
+    sizes = rows.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("hub")
+    )
+    open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m", "hub"), "key")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("name"), parts).cast("int")
     met = (
@@ -395,14 +401,17 @@ def _list_pairs(rows: DataFrame, blocks: DataFrame, rule: Rule, spanning: bool)
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
     )
+    met = written(met.select("hub", "key", "i", "j", "own", "m", "name", "n", "root"), "met")
     bins = int(met.count() // ROWS_PER_BIN) + 1
-    met = met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    met = met.join(blocks.select("name", "cols"), "name").select("bin", "key", "i", "j", "own", "m", "name", "n", "root", "cols")
+    met_in_bins = met.withColumn("bin", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(bins))).drop("hub")
+    asked = met_in_bins.select(F.col("bin").alias("home"), F.col("name").alias("set")).distinct()
+    columns = asked.join(blocks.select(F.col("name").alias("set"), "cols"), "set")
 
-    def run(table: pa.Table) -> pa.Table:
-        group = table.select(["key", "i", "j", "own", "m", "name", "n", "root"]).to_pandas()
+    def run(lists: pa.Table, columns: pa.Table) -> pa.Table:
+        group = lists.to_pandas()
         names, first, row = np.unique(group["name"].to_numpy(), return_index=True, return_inverse=True)
-        n, root, packed = group["n"].to_numpy()[first], group["root"].to_numpy()[first], table.column("cols").take(pa.array(first))
+        n, root = group["n"].to_numpy()[first], group["root"].to_numpy()[first]
+        packed = columns.column("cols").take(pa.array(np.argsort(columns.column("set").to_numpy())))
         held, short = Incidence.of(n, packed.to_pylist(), np.uint32), group["m"].to_numpy() <= min(SHORT, BLOCK)
         out = [_short_pairs(group["key"].to_numpy()[short], row[short], root, held, rule, spanning)]
         own = group["own"].to_numpy()
@@ -413,7 +422,10 @@ def _list_pairs(rows: DataFrame, blocks: DataFrame, rule: Rule, spanning: bool)
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    return met.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+    near = met_in_bins.groupBy("bin").cogroup(columns.groupBy("home")).applyInArrow(run, "a long, b long")
+    pairs = written(near.distinct(), "pairs")
+    forget(met)
+    return pairs
 
 
 def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool) -> np.ndarray:
@@ -499,7 +511,7 @@ def jaccard_components(
             "key", "name", "n", F.coalesce("root", "name").alias("root")
         )
         rows = written(rows, "rows")
-        pairs = written(_list_pairs(rows, blocks, rule, spanning), "pairs")
+        pairs = _list_pairs(rows, blocks, rule, spanning)
         more = links_of(pairs, docs, firsts, rule)
         forget(rows, pairs)
         if not more.isEmpty():
