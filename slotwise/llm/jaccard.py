@@ -24,11 +24,14 @@ more empty ranges than that; such sets emit keys for their empty ranges too.
    it leaves in reach get the product over whole sets, which are made for them only.
    Their links give components.
 3. In lists that still hold several components, members of different components meet.
-   Long lists meet in blocks of at most ``BLOCK`` x ``BLOCK`` members, multiplied whole;
-   pairs of short lists are entries of one masked product.  This happens twice: first only
-   pairs that join what is not joined yet in their block, then, between the components
-   that are left, all pairs.  So a group of near copies costs a few whole products per
-   member, and no link that could join two components is lost.
+   Lists whose smallest members are of one component by now go together, as they share
+   most of their members; where they do, these meet once, in one cell, else list by list.
+   Large cells are cut into blocks of at most ``BLOCK`` x ``BLOCK`` members, multiplied
+   whole; pairs of small cells are entries of one masked product.  This happens twice: the
+   first block of n-grams says only who has anyone of another component in reach, and
+   those meet again with their whole sets, of which a forest of links comes back.  So a
+   group of near copies costs a row per member and block, no row per pair, and no link
+   that could join two components is lost.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and
 link with nothing; a text shorter than ``n`` words is one n-gram; rows with equal sets
@@ -62,6 +65,9 @@ STEP = 1.5  # ratio of neighbouring size classes
 SEEN = 200_000  # sets a task remembers, so as not to emit a copy's keys again
 BITMAP_BITS = 26  # of a filter sent to the tasks at most: 8 MB, whatever the input
 ROWS_PER_BIN = 20_000
+WHOLE_ROWS_PER_BIN = 5_000  # where whole sets meet
+DENSE = 4  # lists whose pairs are a part of this or more of their members' pairs meet as one
+MET = "home long, deal long, key long, i int, j int, own int, m long, name long, n long, root long"
 
 
 @dataclass(frozen=True)
@@ -212,7 +218,10 @@ def _entries(start: np.ndarray, count: np.ndarray, column: np.ndarray, width: in
 
 
 def product(rows: Incidence, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Overlaps of all rows of ``left`` with all of ``right``, a block of shared columns at a time."""
+    """Overlaps of all rows of ``left`` with all of ``right``, a block of shared columns at a time.
+
+    Rows that meet among themselves share only columns that stand in two of them.
+    """
     out = np.zeros((len(left), len(right)), np.float32)
     start = rows.ends - np.diff(rows.ends, prepend=0)
     sides = []
@@ -222,7 +231,12 @@ def product(rows: Incidence, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at = np.arange(len(row)) + np.repeat(start[side] - (np.cumsum(count) - count), count)
         order = np.argsort(rows.columns[at], kind="stable")
         sides.append((row[order], rows.columns[at][order]))
-    shared = np.intersect1d(sides[0][1], sides[1][1])
+    alike = np.array_equal(left, right)
+    if alike:
+        columns, stand = np.unique(sides[0][1], return_counts=True)
+        shared = columns[stand > 1]
+    else:
+        shared = np.intersect1d(sides[0][1], sides[1][1])
     for at in range(0, len(shared), COLUMNS):
         block, filled = shared[at : at + COLUMNS], []
         for (row, column), side in zip(sides, (left, right), strict=True):
@@ -233,6 +247,8 @@ def product(rows: Incidence, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             dense[row[run][known], place[known]] = 1
             filled.append(dense)
         out += filled[0] @ filled[1].T
+    if alike:
+        np.fill_diagonal(out, rows.ends[left] - start[left])
     return out
 
 
@@ -383,52 +399,98 @@ def _members(held: DataFrame, lists: DataFrame) -> DataFrame:
     return one_of_each
 
 
-def _list_pairs(rows: DataFrame, blocks: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
-    """Pairs of members of different components that the first block of columns leaves in reach, written.
+def _cells(rows: DataFrame) -> DataFrame:
+    """The cells in which members of lists with several components meet, a row per member and block, written.
 
-    Lists with the same smallest member stand together, as they share most of their
-    members, and a bin holds each member's columns once.
+    The home of a list is the component of its smallest member; a home's lists are one cell
+    if they list no small part of the pairs of all their members.
     """
     sizes = rows.groupBy("key").agg(
-        F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("hub")
+        F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "name").alias("home")
+    )
+    open_rows = written(rows.join(sizes.filter("lo <> hi").select("key", "m", "home"), "key"), "open")
+    homes = open_rows.groupBy("home", "name").agg(F.count("*").alias("times"), F.sum("m").alias("pairs"))
+    homes = homes.groupBy("home").agg(
+        F.count("*").alias("every"), F.sum("times").alias("times"), F.sum("pairs").alias("pairs")
+    )
+    one = F.col("every") * F.col("every") <= DENSE * F.col("pairs")
+    deals = F.ceil(F.col("times") / ROWS_PER_BIN)
+    cells = open_rows.join(homes, "home").select(
+        "home",
+        F.when(one, F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), deals)).cast("long").alias("deal"),
+        F.when(one, F.col("home")).otherwise(F.col("key")).alias("key"),
+        F.when(one, F.col("every")).otherwise(F.col("m")).alias("m"),
+        "name",
+        "n",
+        "root",
     )
-    open_rows = rows.join(sizes.filter("lo <> hi").select("key", "m", "hub"), "key")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("name"), parts).cast("int")
     met = (
-        open_rows.withColumn("own", own)
+        cells.distinct()
+        .withColumn("own", F.pmod(F.xxhash64("name"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
     )
-    met = written(met.select("hub", "key", "i", "j", "own", "m", "name", "n", "root"), "met")
-    bins = int(met.count() // ROWS_PER_BIN) + 1
-    met_in_bins = met.withColumn("bin", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(bins))).drop("hub")
-    asked = met_in_bins.select(F.col("bin").alias("home"), F.col("name").alias("set")).distinct()
-    columns = asked.join(blocks.select(F.col("name").alias("set"), "cols"), "set")
+    met = written(met.select([c.split()[0] for c in MET.split(", ")]), "met")
+    forget(open_rows)
+    return met
+
+
+def _meet(met: DataFrame, sets: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """What members of cells find of other components: the rows of those with anyone in reach, or links by ``whole`` sets.
+
+    The links (a, b) of a bin are a forest of its components.  A bin holds each set once.
+    """
+    bins = int(met.count() // (WHOLE_ROWS_PER_BIN if whole else ROWS_PER_BIN)) + 1
+    dealt = met.withColumn("bin", F.pmod(F.xxhash64("home", "deal", "i", "j"), F.lit(bins)))
+    asked = dealt.select(F.col("bin").alias("at"), F.col("name").alias("set")).distinct()
+    columns = asked.join(sets.select(F.col("name").alias("set"), "cols"), "set")
 
     def run(lists: pa.Table, columns: pa.Table) -> pa.Table:
-        group = lists.to_pandas()
+        group = lists.drop_columns(["bin"]).to_pandas()
         names, first, row = np.unique(group["name"].to_numpy(), return_index=True, return_inverse=True)
         n, root = group["n"].to_numpy()[first], group["root"].to_numpy()[first]
         packed = columns.column("cols").take(pa.array(np.argsort(columns.column("set").to_numpy())))
-        held, short = Incidence.of(n, packed.to_pylist(), np.uint32), group["m"].to_numpy() <= min(SHORT, BLOCK)
-        out = [_short_pairs(group["key"].to_numpy()[short], row[short], root, held, rule, spanning)]
-        own = group["own"].to_numpy()
-        for (_, i, j), at in group[~short].groupby(["key", "i", "j"]).groups.items():
-            at = np.asarray(at)
+        held = Incidence.of(n, packed.to_pylist(), np.uint64 if whole else np.uint32)
+        short = group["m"].to_numpy() <= min(SHORT, BLOCK)
+        found = [_short_pairs(group["key"].to_numpy()[short], row[short], root, held, rule, whole, whole)]
+        near = np.zeros(len(names), bool)
+        near[found[0]] = True
+        own, at_cell = group["own"].to_numpy(), np.flatnonzero(~short)
+        for at in group[~short].groupby(["key", "i", "j"]).indices.values():
+            at = at_cell[at]
+            i, j = group["i"].iat[at[0]], group["j"].iat[at[0]]
             left, right = row[at[own[at] == i]], row[at[own[at] == j]]
-            out.append(_long_pairs(left, right, i != j, root, held, rule, spanning))
-        pairs = np.unique(np.concatenate(out), axis=0)
+            pairs = _long_pairs(left, right, i != j, root, held, rule, whole, whole)
+            if whole:
+                found.append(pairs)
+            near[pairs] = True
+        if not whole:
+            return lists.drop_columns(["bin"]).filter(pa.array(near[row]))
+        pairs = np.concatenate(found)
+        pairs = pairs[_forest(root[pairs])]
         return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    near = met_in_bins.groupBy("bin").cogroup(columns.groupBy("home")).applyInArrow(run, "a long, b long")
-    pairs = written(near.distinct(), "pairs")
-    forget(met)
-    return pairs
+    return dealt.groupBy("bin").cogroup(columns.groupBy("at")).applyInArrow(run, "a long, b long" if whole else MET)
+
 
+def _forest(ends: np.ndarray) -> list[int]:
+    """Which of the edges (rows of two ends) join what those before them do not."""
+    parent: dict[int, int] = {}
+    kept = []
+    for at, (a, b) in enumerate(ends.tolist()):
+        while parent.get(a, a) != a:
+            parent[a] = a = parent.get(parent[a], parent[a])
+        while parent.get(b, b) != b:
+            parent[b] = b = parent.get(parent[b], parent[b])
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+    return kept
 
-def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool) -> np.ndarray:
+
+def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool, whole: bool = False) -> np.ndarray:
     """Pairs in reach of members of the same short list; if asked, one for each two components."""
     order = np.argsort(key, kind="stable")
     key, row, found = key[order], row[order], [np.zeros((0, 2), np.int64)]
@@ -441,7 +503,7 @@ def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool) ->
         found.append(np.stack([a[open_pair], b[open_pair]], axis=1))
     a, b = np.unique(np.concatenate(found), axis=0).T
     near = np.zeros(len(a), bool)
-    for some, cut in by_level(held, a, b):
+    for some, cut in [(np.arange(len(a)), held)] if whole else by_level(held, a, b):
         near[some] = pairs_in_reach(cut, a[some], b[some], rule)
     a, b = a[near], b[near]
     if spanning:
@@ -451,10 +513,12 @@ def _short_pairs(key, row, root, held: Incidence, rule: Rule, spanning: bool) ->
     return np.stack([a, b], axis=1)
 
 
-def _long_pairs(left, right, apart: bool, root, held: Incidence, rule: Rule, spanning: bool) -> np.ndarray:
+def _long_pairs(
+    left, right, apart: bool, root, held: Incidence, rule: Rule, spanning: bool, whole: bool = False
+) -> np.ndarray:
     """Pairs in reach of two blocks of members; of these a spanning set of what they would join, if asked."""
     near = np.zeros((len(left), len(right)), bool)
-    levels = level(held.sizes)
+    levels = level(held.sizes) * (not whole)
     for cut in np.unique(levels[np.concatenate([left, right])]):
         rows = held.below(1 << (32 - int(cut))) if cut else held
         for l, r in ((cut, cut), (cut, cut - 1), (cut - 1, cut)):  # sizes that link are in one level or in neighbours
@@ -506,17 +570,22 @@ def jaccard_components(
     near = written(in_reach(stars, blocks, rule, whole=False), "near")
     links = links_of(near, docs, firsts, rule)
     roots = components(links)
-    for spanning in (True, False):
-        rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
-            "key", "name", "n", F.coalesce("root", "name").alias("root")
-        )
-        rows = written(rows, "rows")
-        pairs = _list_pairs(rows, blocks, rule, spanning)
-        more = links_of(pairs, docs, firsts, rule)
-        forget(rows, pairs)
+    rows = members.join(roots, F.col("name") == F.col("node"), "left").select(
+        "key", "name", "n", F.coalesce("root", "name").alias("root")
+    )
+    rows = written(rows, "rows")
+    met = _cells(rows)
+    open_met = written(_meet(met, blocks, rule, whole=False), "open_met")
+    forget(rows, met)
+    if not open_met.isEmpty():
+        asked = written(firsts.join(open_met.select("name").distinct(), "name", "left_semi"), "asked")
+        sets = written(_candidate_sets(docs, asked, rule, whole=True), "sets")
+        more = written(_meet(open_met, sets, rule, whole=True), "more")
+        forget(asked, sets)
         if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
+            forget(roots)
+            roots = components(links.union(more))
+    forget(open_met)
     named = classes.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = written(named.select("name", "root").join(least, "root").select("name", "component_id"), "classes")

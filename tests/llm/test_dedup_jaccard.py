@@ -148,6 +148,22 @@ def test_jaccard_in_long_lists(spark, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90)
 
 
+def test_a_group_of_near_copies_makes_no_row_per_pair(spark, monkeypatch):
+    rows_of, write = {}, jaccard.written
+
+    def counted(df, label):
+        table = write(df, label)
+        rows_of[label] = max(rows_of.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    text = prose(5, 150)
+    rows = [(i, edited(text, i, 4 if i % 3 else 1)) for i in range(160)]
+    got = jaccard.jaccard_components(table(spark, rows, clash=False)).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == _components(rows, 3, 90)
+    assert max(rows_of.values()) <= rows_of["found"], rows_of  # a row per member of a list; the pairs are five times as many
+
+
 def test_jaccard_of_nothing_and_of_empty_texts(spark):
     assert jaccard.jaccard_components(table(spark, [])).collect() == []
     got = jaccard.jaccard_components(table(spark, [(1, None), (2, ""), (3, " ")])).collect()
