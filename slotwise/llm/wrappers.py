@@ -24,8 +24,8 @@ for each path with two votes or more and ``OWN_SHARE`` of the pages that hold it
 by the first, most voted, whose container it holds, the whole page last.
 
 Bounds: no page is left out, whatever its length.  A bin is small, so a host with a large part
-of all pages is many tasks' work.  Trees whose sizes have a product over ``MATCH_CELLS`` are
-aligned in linear time: equal children from both ends, then the nth of a label with the nth.  A
+of all pages is many tasks' work.  Trees of any size are matched by the same rule: children of one
+shape (labels without texts) are compared once, and a table of children takes two bits a cell.  A
 page's row carries the wrappers of its host.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or never
@@ -38,11 +38,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Collection, Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +83,7 @@ GROUPS = set("div section ul ol dl table figure center fieldset details".split()
 HEADERS = {"header", "masthead", "banner"}
 DEEPEST = 200  # elements nested deeper become siblings, but for parts that are left out
 CONSTANT_PAGES, CONSTANT_SHARE, VARYING_SHARE = 4, 0.8, 0.9
-MATCH_CELLS = 200_000  # trees with a larger product of sizes are paired by number
+SMALL_TABLE = 1024  # cells of a table that plain lists fill faster; the alignment is the same
 BIN = 24  # pages in a bin, at least, where a host has more
 ONE_BIN = 2 * BIN
 SALT = b"neighbours"
@@ -222,68 +223,111 @@ def is_article(node: Node, by_wrapper: bool) -> bool:
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: most pairs of nodes in order, and which."""
-    return _match(a, b, _sizes(a) | _sizes(b))
-
-
-def _sizes(tree: Node) -> dict[int, int]:
-    """Nodes in the tree under each node."""
-    nodes = [node for _, node in walk(tree)]
-    sizes: dict[int, int] = {}
-    for node in reversed(nodes):
-        sizes[id(node)] = 1 + sum(sizes[id(c)] for c in node.children())
-    return sizes
-
-
-def _match(a: Node, b: Node, sizes: dict[int, int]) -> tuple[int, list[tuple[Node, Node]]]:
+    shapes = Shapes()
+    shape_of = shapes.under(a) | shapes.under(b)
     if a.label != b.label:
         return 0, []
-    left, right = a.children(), b.children()
-    if sizes[id(a)] * sizes[id(b)] > MATCH_CELLS:
-        return _match_by_number(a, b, left, right, sizes)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(left):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(right):
-            top = row[j] if row[j] > above[j + 1] else above[j + 1]
-            if x.label == y.label:
-                score = 1
-                if x.children() and y.children():
-                    pairs[i, j] = _match(x, y, sizes)
-                    score = pairs[i, j][0]
-                if above[j] + score > top:
-                    top = above[j] + score
-            row[j + 1] = top
-    out, i, j = [(a, b)], len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out += pairs[i, j][1] if (i, j) in pairs else [(left[i], right[j])]
-    return 1 + best[-1][-1], out
-
-
-def _match_by_number(a: Node, b: Node, left: list[Node], right: list[Node], sizes: dict[int, int]) -> tuple[int, list]:
-    """Matching of large trees in linear time: equal children from both ends, of the rest the nth of a label with the nth."""
-    first, last, least = 0, 0, min(len(left), len(right))
-    while first < least and left[first].label == right[first].label:
-        first += 1
-    while last < least - first and left[-1 - last].label == right[-1 - last].label:
-        last += 1
-    met = list(zip(left[:first], right[:first])) + list(zip(left[len(left) - last :], right[len(right) - last :]))
-    open_: dict[str, deque[Node]] = {}
-    for y in right[first : len(right) - last]:
-        open_.setdefault(y.label, deque()).append(y)
-    met += [(x, open_[x.label].popleft()) for x in left[first : len(left) - last] if open_.get(x.label)]
-    score, out = 1, [(a, b)]
-    for x, y in met:
-        n, inner = _match(x, y, sizes)
-        score += n
-        out += inner
-    return score, out
+    out, stack = [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        out.append((x, y))
+        left, right = x.children(), y.children()
+        if left and right:
+            met = shapes.aligned(shape_of[id(x)], shape_of[id(y)])[1]
+            stack += [(left[i], right[j]) for i, j in met]
+    return len(out), out
+
+
+class Shapes:
+    """Trees of labels without their texts, each by a number; what two of them have in common is found once."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def under(self, tree: Node) -> dict[int, int]:
+        """The shape of each node of the tree."""
+        shape_of: dict[int, int] = {}
+        for node in reversed([node for _, node in walk(tree)]):
+            key = (node.label, *[shape_of[id(c)] for c in node.children()])
+            number = self.numbers.setdefault(key, len(self.labels))
+            if number == len(self.labels):
+                self.labels.append(key[0])
+                self.children.append(key[1:])
+                self.sizes.append(1 + sum([self.sizes[c] for c in key[1:]]))
+            shape_of[id(node)] = number
+        return shape_of
+
+    def aligned(self, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """Pairs of nodes of two shapes with one label, and which children meet, the last first."""
+        found = self.known.get((a, b))
+        if found is None:
+            left, right = self.children[a], self.children[b]
+            if a == b:
+                found = self.sizes[a], [(i, i) for i in range(len(left))]
+            elif len(left) * len(right) < SMALL_TABLE:
+                found = self._align_few(left, right)
+            else:
+                found = self._align(left, right)
+            self.known[a, b] = found
+        return found
+
+    def _score(self, x: int, y: int) -> int:
+        if self.labels[x] != self.labels[y]:
+            return 0
+        return self.aligned(x, y)[0] if self.children[x] and self.children[y] else 1
+
+    def _align_few(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        """What ``_align`` finds, by a plain table."""
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        labels, children = self.labels, self.children
+        for i, x in enumerate(left):
+            row, above, label, inner = best[i + 1], best[i], labels[x], children[x]
+            for j, y in enumerate(right):
+                top = row[j] if row[j] > above[j + 1] else above[j + 1]
+                if label == labels[y]:
+                    score = above[j] + (self.aligned(x, y)[0] if inner and children[y] else 1)
+                    if score > top:
+                        top = score
+                row[j + 1] = top
+        met, i, j = [], len(left), len(right)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                met.append((i, j))
+        return 1 + best[-1][-1], met
+
+    def _align(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        """The best alignment, row by row; of the table only its bits "as above" and "as left" are kept."""
+        kinds, kind_of = np.unique(np.array(right), return_inverse=True)
+        scores: dict[int, np.ndarray] = {}
+        above, as_above, as_left = np.zeros(len(right) + 1, np.int64), [], []
+        for x in left:
+            if x not in scores:
+                scores[x] = np.array([self._score(x, y) for y in kinds.tolist()])[kind_of]
+            row = np.zeros_like(above)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + scores[x]), out=row[1:])
+            as_above.append(np.packbits(row[1:] == above[1:]))
+            as_left.append(np.packbits(row[1:] == row[:-1]))
+            above = row
+        met, i, j = [], len(left) - 1, len(right) - 1
+        while i >= 0 and j >= 0:
+            byte, bit = j >> 3, 0x80 >> (j & 7)
+            if as_above[i][byte] & bit:
+                i -= 1
+            elif as_left[i][byte] & bit:
+                j -= 1
+            else:
+                met.append((i, j))
+                i, j = i - 1, j - 1
+        return 1 + int(above[-1]), met
 
 
 def walk(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:

@@ -201,6 +201,30 @@ def test_wrappers_come_from_all_pages_and_every_layout(spark):
     assert all(text[n] == f"alpha {n} " + ("y" if n < 400 else "z") * 200 for n in [*range(300, 380), *range(400, 406)])
 
 
+def test_large_trees_are_matched_by_the_same_rule_as_small_ones():
+    tag = random.Random(6)
+
+    def tree():
+        node = wrappers.Node("div", {})
+        node.parts += [wrappers.Node(tag.choice("abc"), {}) for _ in range(600)]
+        for child in node.children()[::7]:
+            child.parts.append(wrappers.Node("i", {}))
+        return node
+
+    a, b = tree(), tree()
+    row = [0] * 601
+    for x in a.children():
+        above, row = row, [0]
+        for j, y in enumerate(b.children()):
+            met = (x.label == y.label) * (1 + min(len(x.children()), len(y.children())))
+            row.append(max(row[-1], above[j + 1], above[j] + met))
+    score, pairs = wrappers.match(a, b)
+    assert score == len(pairs) == 1 + row[-1]
+    place = {id(n): i for top in (a, b) for i, n in enumerate(top.children())}
+    met = sorted((place[id(x)], place[id(y)]) for x, y in pairs if id(x) in place)
+    assert all(p[1] < q[1] for p, q in zip(met, met[1:]))
+
+
 def test_large_trees_are_matched_in_linear_time():
     pages = ["<div class=c>" + "".join(f"<p>{n} {i}</p>" for i in range(9000)) + "<h2>same</h2></div>" for n in (1, 2)]
     score, pairs = wrappers.match(*map(wrappers.parse, pages))
