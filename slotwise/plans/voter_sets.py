@@ -163,8 +163,8 @@ def first_following_share(
     keys = list(keys)
     total = subjects.groupBy(start).agg(F.count("*").alias("members"))
     first = next_after(total, events, start, at, "first_at")
-    met = members.select(start, *keys, at).distinct()
-    hits = met.join(first, start).where(F.col(at) == F.col("first_at")).groupBy(start).agg(F.count("*").alias("included"))
+    met = members.select(start, *keys, at).join(first, start).where(F.col(at) == F.col("first_at"))
+    hits = met.select(start, *keys, at).distinct().groupBy(start).agg(F.count("*").alias("included"))
     out = total.join(first, start, "left").join(hits, start, "left")
     out = out.withColumn("included", F.coalesce("included", F.lit(0)))
     return out.withColumn("included_share", percentage(F.col("included"), F.col("members"), 4))

@@ -356,3 +356,14 @@ def test_call_differences_keep_the_published_observer(spark):
         )
         results.append([rows(f(t)) for f in (observers.difference_by_client, observers.difference_hourly, observers.difference_ranges)])
     assert results[0] == results[1] and all(results[0])
+
+
+def test_members_of_the_first_event_are_cut_before_they_are_counted_once(spark):
+    subjects = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "start long, member_key long")
+    events = spark.createDataFrame([(2,), (3,)], "at long")
+    members = spark.createDataFrame([(1, 10, 2), (1, 10, 2), (1, 11, 3), (2, 12, 3), (2, None, 3)], "start long, member_key long, at long")
+    found = voter_sets.first_following_share(subjects, events, members, "start", "at", ["member_key"])
+    assert sorted((r.start, r.members, r.first_at, r.included) for r in found.collect()) == [(1, 2, 2, 1), (2, 1, 3, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    once = next(i for i, line in enumerate(plan) if "Aggregate [" in line and "member_key" in line)
+    assert once < next(i for i, line in enumerate(plan) if "Join Inner" in line)
